@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basinweave.llm import queries_leakage, queries_tokens, queries_values
+from basinweave.llm import queries_leakage, queries_pages, queries_tokens, queries_values
 
-_MODULES = (queries_values, queries_tokens, queries_leakage)
+_MODULES = (queries_values, queries_tokens, queries_leakage, queries_pages)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
