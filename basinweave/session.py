@@ -45,6 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """The table, written once to the checkpoint folder: several later steps read it, and lost executors don't undo it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives the executors this package, once for each Spark context, so that Python functions can be unpickled there."""
     sc = spark.sparkContext
