@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Headers of sections by kind of source, tried in this order.
@@ -44,20 +44,27 @@ def importance(section_type: Column) -> Column:
     return F.coalesce(F.try_element_at(table, section_type), F.lit(0.5))
 
 
-def sections(text: Column, source_type: Column) -> Column:
-    """Array of sections (type, title, importance, start_line, end_line, text) of a text, in order.
+SECTION = "struct<type:string,title:string,importance:double,start_line:int,end_line:int,text:string>"
 
-    Text before the first header belongs to no section; a text without headers is one section of type content.
+
+def with_sections(df: DataFrame, text: str = "text", source_type: str = "source_type", out: str = "sections") -> DataFrame:
+    """Adds the array of sections (type, title, importance, start_line, end_line, text) of a text, in order. No shuffle.
+
+    Text before the first header belongs to no section; a text without headers is one section of type content; null and empty
+    texts have none. Lines and headers are columns of their own, so that they are found once for each text.
     """
-    lines = F.split(text, "\n", -1)
-    n = F.size(lines)
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"), header_type(x, source_type).alias("type")))
-    heads = F.filter(marked, lambda s: s["type"].isNotNull())
+    lines, heads = F.col("_lines"), F.col("_heads")
+    full = F.col(text)
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(x.startswith("#"), x).alias("line")))
+    staged = df.withColumn("_lines", F.split(full, "\n", -1)).withColumn("_n", F.size(lines))
+    staged = staged.withColumn("_marked", F.filter(marked, lambda s: s["line"].isNotNull()))
+    typed = F.transform("_marked", lambda s: F.struct(s["i"].alias("i"), s["line"].alias("line"), header_type(s["line"], F.col(source_type)).alias("type")))
+    staged = staged.withColumn("_heads", F.filter(typed, lambda s: s["type"].isNotNull()))
 
     def section(h, k):
         nxt = F.get(heads, k + 1)
         last = nxt.isNull()
-        end = F.when(last, n).otherwise(nxt["i"])
+        end = F.when(last, F.col("_n")).otherwise(nxt["i"])
         count = end - h["i"] - 1
         body = F.when(count > 0, F.array_join(F.slice(lines, h["i"] + 2, count), "\n")).when(last, F.lit("")).otherwise(F.lit("\n"))
         return F.struct(
@@ -66,11 +73,10 @@ def sections(text: Column, source_type: Column) -> Column:
         )
 
     whole = F.array(
-        F.struct(F.lit("content").alias("type"), F.lit("Content").alias("title"), F.lit(0.5).alias("importance"), F.lit(0).alias("start_line"), (n - 1).alias("end_line"), text.alias("text"))
+        F.struct(F.lit("content").alias("type"), F.lit("Content").alias("title"), F.lit(0.5).alias("importance"), F.lit(0).alias("start_line"), (F.col("_n") - 1).alias("end_line"), full.alias("text"))
     )
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<struct<type:string,title:string,importance:double,start_line:int,end_line:int,text:string>>")).when(
-        F.size(heads) == 0, whole
-    ).otherwise(F.transform(heads, section))
+    found = F.when(full.isNull() | (full == ""), F.array().cast(f"array<{SECTION}>")).when(F.size(heads) == 0, whole).otherwise(F.transform(heads, section))
+    return staged.withColumn(out, found).drop("_lines", "_n", "_marked", "_heads")
 
 
 def chunk_sizes(section_array: Column, max_chunk: int = MAX_CHUNK) -> Column:

@@ -31,20 +31,20 @@ def _repos(spark, d):
 
 def t_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of all documents: type, title, lines and length."""
-    rows = _docs(spark, d).select("doc_id", F.posexplode(text.sections(F.col("text"), F.col("source_type"))).alias("pos", "s"))
+    rows = text.with_sections(_docs(spark, d).select("doc_id", "text", "source_type")).select("doc_id", F.posexplode("sections").alias("pos", "s"))
     return rows.select("doc_id", "pos", "s.type", "s.title", "s.start_line", "s.end_line", F.length("s.text").alias("chars"))
 
 
 def t_section_stats(spark: SparkSession, d: str) -> DataFrame:
     """Sections and characters per source type and section type."""
-    rows = _docs(spark, d).select("source_type", F.explode(text.sections(F.col("text"), F.col("source_type"))).alias("s"))
+    rows = text.with_sections(_docs(spark, d).select("text", "source_type")).select("source_type", F.explode("sections").alias("s"))
     return rows.groupBy("source_type", "s.type").agg(F.count("*").alias("n"), F.sum(F.length("s.text")).alias("chars"), F.max("s.importance").alias("importance"))
 
 
 def t_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the documents that need more than one."""
-    sizes = text.chunk_sizes(text.sections(F.col("text"), F.col("source_type")))
-    return _docs(spark, d).select("doc_id", sizes.alias("s")).where("size(s) > 1").select("doc_id", F.size("s").alias("chunks"), F.array_max("s").alias("largest"), F.aggregate("s", F.lit(0), lambda a, b: a + b).alias("chars"))
+    rows = text.with_sections(_docs(spark, d).select("doc_id", "text", "source_type"))
+    return rows.select("doc_id", text.chunk_sizes(F.col("sections")).alias("s")).where("size(s) > 1").select("doc_id", F.size("s").alias("chunks"), F.array_max("s").alias("largest"), F.aggregate("s", F.lit(0), lambda a, b: a + b).alias("chars"))
 
 
 def t_tokens(spark: SparkSession, d: str) -> DataFrame:

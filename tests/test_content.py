@@ -17,12 +17,15 @@ def one(spark, value, column):
     return spark.createDataFrame([(value, "Paper")], "v string, t string").select(column.alias("x")).first().x
 
 
+def secs(spark, value):
+    return text.with_sections(spark.createDataFrame([(value, "Paper")], "v string, t string"), "v", "t").first().sections
+
+
 def test_sections(spark):
-    got = one(spark, TEXT, text.sections(F.col("v"), F.col("t")))
+    got = secs(spark, TEXT)
     assert [(s.type, s.title, s.start_line, s.end_line, s.text) for s in got] == [("abstract", "Abstract", 1, 2, "short"), ("subsection", "Sub One", 3, 6, "\nbody a\nbody b"), ("references", "References", 7, 8, "")]
-    assert [s.type for s in one(spark, "no header", text.sections(F.col("v"), F.col("t")))] == ["content"]
-    for empty in (None, ""):
-        assert one(spark, empty, text.sections(F.col("v"), F.col("t"))) == []
+    assert [s.type for s in secs(spark, "no header")] == ["content"]
+    assert secs(spark, None) == secs(spark, "") == []
 
 
 def brute_chunks(secs, most=8000):
@@ -43,8 +46,7 @@ def test_chunks_against_brute_force(spark):
     names = ["Abstract", "Methods", "Results", "Discussion", "References"]
     docs = ["".join(f"# {n}\n{'x' * rng.randint(1, 6000)}\n" for n in rng.sample(names, rng.randint(1, 5))) for _ in range(20)]
     df = spark.createDataFrame([(d, "Paper") for d in docs], "v string, t string")
-    secs = text.sections(F.col("v"), F.col("t"))
-    for r in df.select(secs.alias("s"), text.chunk_sizes(secs).alias("c")).collect():
+    for r in text.with_sections(df, "v", "t").select(F.col("sections").alias("s"), text.chunk_sizes(F.col("sections")).alias("c")).collect():
         assert r.c == brute_chunks([(s.importance, len(s.text)) for s in r.s])
 
 
