@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basinweave.session import stable
+
 SOURCE = re.compile(r"\.(?:py|js)$", re.I)
 MINED_REPOS, MINED_SHARE = 5, 0.9
 
@@ -220,6 +222,6 @@ def mined_names(files: DataFrame) -> DataFrame:
 
 def found_files(repositories: DataFrame) -> DataFrame:
     """(full_name, path) of all source files that nobody wrote by hand."""
-    files = classify_files(repositories.select("full_name", "tree", "key_files"))
+    files = stable(classify_files(repositories.select("full_name", "tree", "key_files")))  # read three times below
     unknown = files.where("kind is null and not known").join(mined_names(files), "stem", "left_semi")
     return files.where("kind is not null").select("full_name", "path").unionByName(unknown.select("full_name", "path")).distinct()
