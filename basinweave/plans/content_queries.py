@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basinweave.functions import text
 from basinweave.operators import admission, decompose, graph, nested, ontology, quality, repositories, spatial, state
+from basinweave.plans.graph_queries import MEMBERS as _M
 from basinweave.plans.graph_queries import E, T, _values
 from basinweave.session import table
 
@@ -60,11 +61,16 @@ def t_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_best_match(spark: SparkSession, d: str) -> DataFrame:
-    """Papers and the paper entity whose title shares the most tokens, through an inverted index of tokens."""
-    ents = graph.latest_entities(table(spark, d, "entities")).where("type = 'Paper'")
-    p = _papers(spark, d).select(F.lit("all").alias("source_id"), F.col("paper_id").alias("node_id"), text.significant_tokens(F.col("title")).alias("tokens"))
-    o = ents.select(F.lit("all").alias("source_id"), F.col("id").alias("name"), text.significant_tokens(F.get_json_object("attributes", "$.title")).alias("tokens"))
-    return decompose.traceability(p, o).select("node_id", "score", "level")
+    """Claims of each project and how well the dataset or paper of the project fits that shares the most tokens, through an inverted index."""
+    from basinweave.operators.lenses import member_entities, project_members
+
+    m = member_entities(project_members(table(spark, d, "projects")), graph.latest_entities(table(spark, d, "entities")))
+    value = lambda n: F.get_json_object("attributes", f"$.{n}")
+    nodes = m.where("type = 'Claim'").select(F.col("project_id").alias("source_id"), F.col("id").alias("node_id"), text.significant_tokens(value("statement")).alias("tokens"))
+    objects = m.where("type in ('Dataset', 'Paper', 'Variable')").select(
+        F.col("project_id").alias("source_id"), F.col("id").alias("name"), text.significant_tokens(F.concat_ws(" ", "name", value("title"), value("description"))).alias("tokens")
+    )
+    return decompose.traceability(nodes, objects).select("source_id", "node_id", "score", "level")
 
 
 def t_validate_text(spark: SparkSession, d: str) -> DataFrame:
@@ -450,7 +456,7 @@ ORACLES = {
     "t_section_stats": f"WITH {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}) SELECT st AS source_type, type, count(*) AS n, sum(chars)::BIGINT AS chars, max(coalesce(w, 0.5))::DOUBLE AS importance FROM se LEFT JOIN im ON ty = type GROUP BY 1, 2",
     "t_tokens": f"SELECT token, count(*) AS documents FROM (SELECT unnest({_tok('text')}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 50",
     "t_overlap": f"WITH {_P}, x AS (SELECT paper_id, {_tok('title')} AS a, {_tok('abstract')} AS b FROM p) SELECT paper_id, CASE WHEN least(len(a), len(b)) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) END AS score FROM x",
-    "t_best_match": f"WITH {_P}, {E}, n AS (SELECT paper_id AS node_id, {_tok('title')} AS ts FROM p), o AS (SELECT id AS name, {_tok('attributes->>$$$.title$$')} AS ts FROM e WHERE type = 'Paper'), a AS (SELECT node_id, len(ts) AS na, unnest(ts) AS t FROM n), b AS (SELECT name, len(ts) AS nb, unnest(ts) AS t FROM o), h AS (SELECT node_id, name, round(count(*) / least(na, nb), 6) AS s FROM a JOIN b USING (t) GROUP BY node_id, name, na, nb) SELECT node_id, max(s) AS score, CASE WHEN max(s) >= 0.18 THEN 'traceable' ELSE 'weak' END AS level FROM h GROUP BY 1",
+    "t_best_match": f"WITH {E.replace('SELECT * FROM (', 'SELECT * EXCLUDE (project_id) FROM (', 1)}, {_M}, mm AS (SELECT m.project_id, e.* FROM m JOIN e ON e.id = m.id), n AS (SELECT project_id, id AS node_id, {_tok('attributes->>$$$.statement$$')} AS ts FROM mm WHERE type = 'Claim'), o AS (SELECT project_id, id AS name, {_tok('concat_ws($$ $$, name, attributes->>$$$.title$$, attributes->>$$$.description$$)')} AS ts FROM mm WHERE type IN ('Dataset', 'Paper', 'Variable')), h AS (SELECT n.project_id, node_id, round(len(list_intersect(n.ts, o.ts)) / least(len(n.ts), len(o.ts)), 6) AS s FROM n JOIN o ON o.project_id = n.project_id AND len(list_intersect(n.ts, o.ts)) > 0) SELECT project_id AS source_id, node_id, max(s) AS score, CASE WHEN max(s) >= 0.18 THEN 'traceable' ELSE 'weak' END AS level FROM h GROUP BY 1, 2",
     "t_urls": f"SELECT {_KIND} AS kind, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_URL}) AS url FROM documents) GROUP BY 1",
     "t_doi": rf"WITH {_P} SELECT doi, count(*) AS papers FROM (SELECT nullif(regexp_replace(regexp_extract(lower(doi), '(10\.[0-9]{{4,9}}/[^\s\"<>]+)', 1), '[.,;:)\]}}]+$', ''), '') AS doi FROM p) WHERE doi IS NOT NULL GROUP BY 1",
     "t_slug": rf"WITH {_P}, x AS (SELECT paper_id, title, trim(regexp_replace(abstract, '\s+', ' ', 'g')) AS a FROM p) SELECT paper_id, left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50) AS slug, coalesce(nullif(regexp_extract(a, '^(.+?[.!?])(\s|$)', 1), ''), a) AS first FROM x",

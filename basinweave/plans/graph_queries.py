@@ -25,6 +25,12 @@ def _t(spark, d):
 E = "e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, created_at DESC, ingested_at DESC) AS rn FROM entities WHERE id IS NOT NULL) WHERE rn = 1)"
 T = "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY triple_id ORDER BY seq DESC, created_at DESC) AS rn FROM triples WHERE triple_id IS NOT NULL) WHERE rn = 1)"
 
+#: SQL of the members of projects.
+MEMBERS = r"""m AS (SELECT project_id, id, min(pos) AS pos FROM (
+ SELECT p.id AS project_id, lower(regexp_replace(u.x, '^\s+|\s+$', '', 'g')) AS id, u.i - 1 AS pos
+ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, entities DESC) AS rn FROM projects WHERE id IS NOT NULL) WHERE rn = 1) p,
+ LATERAL (SELECT unnest(p.entities) AS x, generate_subscripts(p.entities, 1) AS i) u) WHERE id <> '' GROUP BY 1, 2)"""
+
 
 def _values(rows, names):
     lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else "'" + str(x).replace("'", "''") + "'"

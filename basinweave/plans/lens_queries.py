@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basinweave.operators import evidence, graph, lenses, ontology
 from basinweave.plans.graph_queries import E as ALL_COLUMNS
+from basinweave.plans.graph_queries import MEMBERS as _M
 from basinweave.plans.graph_queries import T
 from basinweave.session import table
 
@@ -163,10 +164,6 @@ def _in(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-_M = r"""m AS (SELECT project_id, id, min(pos) AS pos FROM (
- SELECT p.id AS project_id, lower(regexp_replace(u.x, '^\s+|\s+$', '', 'g')) AS id, u.i - 1 AS pos
- FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, entities DESC) AS rn FROM projects WHERE id IS NOT NULL) WHERE rn = 1) p,
- LATERAL (SELECT unnest(p.entities) AS x, generate_subscripts(p.entities, 1) AS i) u) WHERE id <> '' GROUP BY 1, 2)"""
 _LE = f"{E}, le AS (SELECT e.*, coalesce(o.layer, 'unknown') AS type_layer, coalesce(o.category, 'other') AS type_category FROM e LEFT JOIN ontology_types o ON o.name = e.type)"
 _FLAGS = f"""fl AS (SELECT id, count(*) FILTER (WHERE o) AS n_out, count(*) FILTER (WHERE NOT o) AS n_in,
  coalesce(bool_or(o AND predicate IN {_in(lenses.EVIDENCE_RELATIONS)}), false) AS out_evidence, coalesce(bool_or(o AND predicate IN {_in(lenses.WORKFLOW_RELATIONS)}), false) AS out_workflow,
