@@ -16,8 +16,10 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of one person under different names, and different spellings of one organisation."""
     mentions = _mentions(spark, sf_dir)
-    persons = linkage.person_pairs(mentions).select(F.lit("person").alias("kind"), "key_a", "key_b")
-    return persons.unionByName(linkage.organisation_pairs(mentions.select("affiliation")).select(F.lit("organisation").alias("kind"), "key_a", "key_b"))
+    affiliations = mentions.select("affiliation")
+    orgs = linkage.organisations(affiliations)
+    persons = linkage.person_pairs(mentions, orgs).select(F.lit("person").alias("kind"), "key_a", "key_b")
+    return persons.unionByName(linkage.organisation_pairs(affiliations, orgs).select(F.lit("organisation").alias("kind"), "key_a", "key_b"))
 
 
 def p5_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
