@@ -6,7 +6,7 @@ content words irregularly and far apart; stuffing brings them back at short, reg
     * or recur within ``LONG_LAG`` words almost always while function words are few,
     * or function words are all but absent: a list of distinct nouns, links, tags or products.
 A page is reported if stuffed windows hold more than ``SHARE`` of its words. Numbered references, table rows and headers say
-nothing either way and are left out; an address is one word.
+nothing either way and are left out; an address is one word in its window and ``URL_WORDS`` in the share.
 
 One pass without shuffle; nothing about the corpus is needed.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 WINDOW, SHORT_LAG, LONG_LAG = 24, 5, 24
 SHORT_RECUR, LONG_RECUR = 0.4, 0.6
 FEW_FUNCTION, SOME_FUNCTION, CJK_FUNCTION = 0.08, 0.2, 0.035
-SHARE, LEAST_WORDS = 0.5, 25
+SHARE, LEAST_WORDS, URL_WORDS = 0.5, 25, 4
 
 #: Common function words of English, Spanish, French, German, Portuguese, Italian and Dutch (fixed values).
 FUNCTION_WORDS = frozenset(
@@ -35,8 +35,8 @@ FUNCTION_WORDS = frozenset(
     is are was were be been being am do does did has have had can could may might will would shall should must not no
     it its he she they we you i his her their our your my them him however also more most each every some any all both such only
     el la los las un una unos unas de del al en con por para sin sobre entre desde hasta y o pero que como su sus se es son fue ser ha han lo más muy no si según
-    le les des du au aux dans sur avec pour par sans sous entre et ou mais que qui dont ce cette ces il elle ils elles est sont a été ont ne plus se sa son ses leur
-    der die das den dem des ein eine einer einem einen im in am an auf aus bei mit nach seit von vor zu zum zur über unter für gegen ohne um durch und oder aber
+    l d n c j qu s t à le les des du au aux dans sur avec pour par sans sous entre et ou mais que qui dont ce cette ces il elle ils elles est sont a été ont ne plus encore près autre se sa son ses leur
+    der die das den des ein eine einer einem einen im in am an auf aus bei mit nach seit von vor zu zum zur über unter für gegen ohne um durch und oder aber
     dass wenn weil als wie ist sind war waren wird werden wurde hat haben hatte nicht kein keine sich es er sie wir ihr ab rund bisher vor auch noch nur
     o os as um uma do da dos das no na nos nas em com e il lo gli dei della nel nella con che di per het een van en op te met voor""".split()
 )
@@ -56,44 +56,44 @@ def page_words(text: str) -> list[str]:
     return [_URL if w[:4] == "http" or w[:4] == "www." else w for w in _TOKEN.findall("\n".join(lines).lower())]
 
 
-def stuffed_words(words: list[str]) -> int:
-    """Number of words in stuffed windows."""
-    if not words:
-        return 0
-    last: dict[str, int] = {}
-    short = long_ = content = function = cjk = 0
-    stuffed, start = 0, 0
+def page_weights(words: list[str]) -> tuple[int, int]:
+    """(words in stuffed windows, all words); an address counts as ``URL_WORDS``.
+
+    The gap of a word is that to its nearest occurrence on either side.
+    """
     n = len(words)
-    for i, w in enumerate(words, 1):
-        if w in FUNCTION_WORDS:
-            function += 1
-        elif w in _PARTICLES:
-            function += 1
-            cjk += 1
-        else:
-            content += 1
-            if len(w) == 1 and _CJK.match(w):
-                cjk += 1
-            gap = i - last.get(w, -LONG_LAG - 1)
-            if gap <= LONG_LAG:
-                long_ += 1
-                if gap <= SHORT_LAG:
-                    short += 1
-            last[w] = i
-        if i - start == WINDOW or i == n:
-            size = i - start
-            share = function / size
-            in_cjk = cjk > size / 2
-            # Chinese characters recur as parts of different words, so only the absence of particles or regular lags tell
-            if (
-                share < (CJK_FUNCTION if in_cjk else FEW_FUNCTION)
-                or (short >= SHORT_RECUR * content and not in_cjk)
-                or (long_ >= LONG_RECUR * content and share < SOME_FUNCTION and not in_cjk)
-            ):
-                stuffed += size
-            start = i
-            short = long_ = content = function = cjk = 0
-    return stuffed
+    last: dict[str, int] = {}
+    near = bytearray(n)  # 2: recurs within SHORT_LAG, 1: within LONG_LAG
+    function = bytearray(n)
+    for i, w in enumerate(words):
+        if w in FUNCTION_WORDS or w in _PARTICLES:
+            function[i] = 1
+            continue
+        j = last.get(w)
+        if j is not None and i - j <= LONG_LAG:
+            mark = 2 if i - j <= SHORT_LAG else 1
+            if near[i] < mark:
+                near[i] = mark
+            if near[j] < mark:
+                near[j] = mark
+        last[w] = i
+    stuffed = total = 0
+    for a in range(0, n, WINDOW):
+        part, marks = words[a : a + WINDOW], near[a : a + WINDOW]
+        size = len(part)
+        weight = size + (URL_WORDS - 1) * part.count(_URL)
+        total += weight
+        few = sum(function[a : a + WINDOW])
+        share, content = few / size, size - few
+        # Chinese characters recur as parts of different words, so there only the absence of particles tells
+        if sum(1 for w in part if len(w) == 1 and _CJK.match(w)) > size / 2:
+            if share < CJK_FUNCTION:
+                stuffed += weight
+            continue
+        short = marks.count(2)
+        if share < FEW_FUNCTION or short >= SHORT_RECUR * content or (short + marks.count(1) >= LONG_RECUR * content and share < SOME_FUNCTION):
+            stuffed += weight
+    return stuffed, total
 
 
 def stuffed_share(text: str | None) -> float:
@@ -101,9 +101,8 @@ def stuffed_share(text: str | None) -> float:
     if not text:
         return 0.0
     words = page_words(text)
-    if len(words) + 4 * words.count(_URL) < LEAST_WORDS:  # an address has several words
-        return 0.0
-    return stuffed_words(words) / len(words)
+    stuffed, total = page_weights(words)
+    return stuffed / total if total >= LEAST_WORDS else 0.0
 
 
 def stuffed_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", scores: bool = False) -> DataFrame:
