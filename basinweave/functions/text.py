@@ -191,3 +191,45 @@ def resource_class(url: Column, context: Column) -> Column:
         .when(has("privacy", "cookie", "terms", "login", "subscribe"), "navigation")
         .otherwise("external")
     )
+
+
+def title_case(c: Column) -> Column:
+    """Words with a capital first letter, separators made blanks."""
+    return F.initcap(F.trim(F.regexp_replace(c, r"[\s_-]+", " ")))
+
+
+def humanize_key(c: Column) -> Column:
+    """Field name as words: separators and changes of case made blanks, first letter a capital."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[_-]+", " "), "([a-z])([A-Z])", "$1 $2"), r"\s+", " "))
+    return F.concat(F.upper(F.left(t, F.lit(1))), F.substr(t, F.lit(2)))
+
+
+def singular(c: Column) -> Column:
+    """Singular of an English noun by its ending."""
+    return (
+        F.when(c.rlike("(?i)(ss|us|is)$"), c).when(c.rlike("(?i)ies$"), F.regexp_replace(c, "(?i)ies$", "y")).when(c.rlike("(?i)(ches|shes|xes|zes)$"), F.regexp_replace(c, "(?i)es$", ""))
+        .when(c.rlike("(?i)s$"), F.regexp_replace(c, "(?i)s$", "")).otherwise(c)
+    )
+
+
+def plural(c: Column, n: Column) -> Column:
+    """Number and noun, the noun in the plural unless there is one."""
+    many = F.when(c.rlike("(?i)[^aeiou]y$"), F.regexp_replace(c, "(?i)y$", "ies")).when(c.rlike("(?i)(s|x|z|ch|sh)$"), F.concat(c, F.lit("es"))).otherwise(F.concat(c, F.lit("s")))
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, c).otherwise(many))
+
+
+def context(search: Column, full: Column, around: int = 50) -> Column:
+    """A quotation with the ``around`` characters before and after it; null if the text doesn't have it."""
+    at = F.position(search, full)
+    start = F.greatest(at - around, F.lit(1))
+    return F.when((at > 0) & (search != ""), F.substr(full, start, at - start + F.length(search) + around))
+
+
+def scope_signal(c: Column) -> Column:
+    """Whether a text speaks of the whole globe."""
+    return F.coalesce(c.rlike(r"(?i)\b(global|worldwide|world-wide|planetary|all continents)\b"), F.lit(False))
+
+
+def place_pair(c: Column) -> Column:
+    """A place named as 'Town, Country' in a text; null if there is none."""
+    return F.nullif(F.regexp_extract(c, r"\b([A-Z][\p{L}'-]+(?: [A-Z][\p{L}'-]+)*, [A-Z][\p{L}'-]+(?: [A-Z][\p{L}'-]+)*)", 1), F.lit(""))

@@ -141,3 +141,49 @@ def traceability(nodes: DataFrame, objects: DataFrame) -> DataFrame:
     score = F.round(F.col("shared") / F.least("na", "nb"), 6)
     best = hit.withColumn("score", score).groupBy("source_id", "node_id").agg(F.max(F.struct("score", "name")).alias("b"))
     return best.select("source_id", "node_id", F.col("b.name").alias("object"), F.col("b.score").alias("score"), F.when(F.col("b.score") >= 0.18, "traceable").otherwise("weak").alias("level"))
+
+
+# Arrays of a source's metadata, the type of their items and the confidence that these have.
+METADATA_ARRAYS: tuple[tuple[str, str, float], ...] = (
+    ("datasets", "Dataset", 0.8), ("variables", "Variable", 0.9), ("satellites", "Satellite", 0.8), ("gauges", "Gauge", 0.8), ("stations", "Gauge", 0.8), ("models", "Model", 0.8),
+    ("algorithms", "Algorithm", 0.8), ("packages", "Software", 0.8), ("dependencies", "Software", 0.8), ("workflows", "Workflow", 0.8), ("institutions", "Institution", 0.8),
+    ("policies", "Policy", 0.8), ("exposures", "ExposureDataset", 0.8), ("assessments", "Assessment", 0.8), ("indicators", "Indicator", 0.8), ("interventions", "Intervention", 0.8),
+    ("measures", "Intervention", 0.8), ("regions", "Region", 0.8), ("studyAreas", "Region", 0.8), ("geoFeatures", "Region", 0.8), ("earthVariables", "EarthVariable", 0.8), ("hazards", "Hazard", 0.8),
+    ("risks", "EarthRisk", 0.8), ("impacts", "Exposure", 0.8), ("forecasts", "Forecast", 0.8), ("projections", "Projection", 0.8), ("claims", "Claim", 0.8), ("evidence", "Evidence", 0.8),
+)
+
+
+def metadata_objects(sources: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(source_id, type, name, confidence, pos, origin) of all objects that the arrays of JSON metadata name.
+
+    Items are texts, or records with a name, title, statement or id; items without any are left out. The arrays are gathered into
+    one and unfolded once, so the metadata are read in a single narrow pass.
+    """
+
+    def items(field: str, type_: str, confidence: float) -> Column:
+        texts = F.coalesce(F.from_json(F.get_json_object(json_col, f"$.{field}"), "array<string>"), F.array().cast("array<string>"))
+        return F.transform(
+            texts, lambda x, k: F.struct(F.lit(type_).alias("type"), x.alias("x"), F.lit(confidence).alias("confidence"), k.alias("pos"), F.lit(field).alias("origin"))
+        )
+
+    parts = [items(*spec) for spec in METADATA_ARRAYS]
+    each = sources.select(F.col(id_col).alias("source_id"), F.explode(F.concat(*parts)).alias("o")).select("source_id", "o.*")
+    field = lambda n: F.nullif(F.get_json_object("x", f"$.{n}"), F.lit(""))
+    name = F.when(F.ltrim("x").startswith("{"), F.coalesce(field("name"), field("title"), field("statement"), field("id"))).otherwise(F.trim("x"))
+    return each.select("source_id", "type", name.alias("name"), "confidence", "pos", "origin").where("name is not null and name != ''")
+
+
+def cap_by_rank(rows: DataFrame, group: str, most: int, *order: str) -> DataFrame:
+    """The first ``most`` rows of each group in the given order, with their rank: a report's top list."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def merge_projects(items: DataFrame, group: str, label: str, most: int) -> DataFrame:
+    """Items of several sources (group, source_id, label, pos) merged by their normalised label: sources per item, first label, top ``most``."""
+    key = F.trim(F.regexp_replace(F.lower(F.col(label)), "[^a-z0-9]+", " "))
+    merged = items.withColumn("_k", key).where("_k != ''").groupBy(group, "_k").agg(
+        F.min(F.struct("source_id", "pos", F.col(label).alias("l"))).alias("m"), F.countDistinct("source_id").alias("sources")
+    )
+    flat = merged.select(group, F.col("m.l").alias("label"), "sources", F.col("m.source_id").alias("first_source"), F.col("m.pos").alias("pos"))
+    return cap_by_rank(flat, group, most, "first_source", "pos", "label")

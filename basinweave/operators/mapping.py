@@ -48,3 +48,24 @@ def fill_defaults(attributes: Column, required: dict[str, str]) -> Column:
     defaults = F.create_map(*[F.lit(x) for kv in required.items() for x in kv])
     missing = F.map_filter(defaults, lambda k, v: ~F.coalesce(F.array_contains(F.map_keys(own), k), F.lit(False)))
     return F.to_json(F.map_concat(F.coalesce(own, F.create_map().cast("map<string,string>")), missing))
+
+
+# Fields whose attribute has another name, by kind; all other fields keep theirs.
+RENAMED: dict[str, dict[str, str]] = {
+    "station": {"type": "stationType", "id": "stationId"}, "aquifer": {"type": "aquiferType"}, "precipitation": {"type": "precipType"}, "temperature": {"type": "tempType"},
+    "flood": {"type": "floodType"}, "flood_event": {"type": "floodType"},
+}
+
+
+def kind_type(c: Column) -> Column:
+    """Type that a kind of record stands for: its words with capital letters, joined."""
+    return F.regexp_replace(F.initcap(F.regexp_replace(c, r"[\s_-]+", " ")), " ", "")
+
+
+def map_any(records: DataFrame, kind_col: str, json: str = "record") -> DataFrame:
+    """(type, attributes) of JSON records of kinds without a rule of their own: fields keep their names but for ``RENAMED``."""
+    own = F.from_json(json, "map<string,string>")
+    names = F.create_map(*[x for k, m in RENAMED.items() for x in (F.lit(k), F.create_map(*[F.lit(y) for kv in m.items() for y in kv]))])
+    rename = F.coalesce(F.try_element_at(names, F.col(kind_col)), F.create_map().cast("map<string,string>"))
+    fields = F.map_filter(F.transform_keys(own, lambda k, v: F.coalesce(F.try_element_at(rename, k), k)), lambda k, v: v.isNotNull())
+    return records.select(*[c for c in records.columns if c != json], kind_type(F.col(kind_col)).alias("type"), F.to_json(fields).alias("attributes"))

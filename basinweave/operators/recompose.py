@@ -72,8 +72,13 @@ def layers(rows: DataFrame, group: str) -> DataFrame:
 def primary_mode(layer_rows: DataFrame, group: str) -> DataFrame:
     """(group, mode): what a map mainly shows."""
     has = lambda p: F.max(F.col("primitive") == p)
-    flags = layer_rows.groupBy(group).agg(has("classified-area-layer").alias("k"), has("raster-layer").alias("t"), has("route-or-flow-layer").alias("l"), has("region-layer").alias("g"), has("point-layer").alias("p"))
-    mode = F.when(F.col("k"), "classified-map").when(F.col("t"), "raster-map").when(F.col("l"), "route-map").when(F.col("g"), "regional-map").when(F.col("p"), "point-map").otherwise("spatial-overview")
+    flags = layer_rows.groupBy(group).agg(
+        has("classified-area-layer").alias("_classes"), has("raster-layer").alias("_raster"), has("route-or-flow-layer").alias("_lines"), has("region-layer").alias("_areas"), has("point-layer").alias("_points")
+    )
+    c = F.col
+    mode = (
+        F.when(c("_classes"), "classified-map").when(c("_raster"), "raster-map").when(c("_lines"), "route-map").when(c("_areas"), "regional-map").when(c("_points"), "point-map").otherwise("spatial-overview")
+    )
     return flags.select(group, mode.alias("mode"))
 
 

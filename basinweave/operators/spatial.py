@@ -161,3 +161,38 @@ def join_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFr
     b = b.withColumn("_y", F.explode(F.sequence(at(F.col("min_lat")), at(F.col("max_lat")))))
     inside = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
     return p.join(b, ["_x", "_y"]).where(inside).drop("_x", "_y")
+
+
+def platform_of(url: Column) -> Column:
+    """(platform, record) of an address of a data platform; null for other addresses."""
+    u = F.lower(url)
+    hit = lambda name, p: F.when(F.regexp_extract(u, p, 1) != "", F.struct(F.lit(name).alias("platform"), F.regexp_extract(u, p, 1).alias("record")))
+    return F.coalesce(
+        hit("zenodo", r"zenodo\.org/(?:records?|deposit)/([0-9]+)"), hit("figshare", r"figshare\.com/articles/(?:[a-z_]+/)?(?:[^/]+/)?([0-9]+)"),
+        hit("dryad", r"datadryad\.org/.*(doi:10\.[0-9]+/[^\s?#]+)"), hit("dataverse", r"dataverse[^/]*/.*persistentid=([^&\s]+)"), hit("osf", r"osf\.io/([a-z0-9]{4,6})"),
+        hit("pangaea", r"pangaea\.(?:de/)?([0-9]+)"), hit("huggingface", r"huggingface\.co/datasets/([^/\s?#]+/[^/\s?#]+)"),
+    )
+
+
+def candidate_score(name: Column, size_mb: Column) -> Column:
+    """How promising a file of a data repository is for a map: by format and words in its name, less for its size."""
+    fmt = format_of_url(name)
+    eligible = fmt.isin("geojson", "csv", "shapefile", "geotiff")
+    by = F.when(fmt.isin("geojson", "shapefile"), 40).when(fmt == "csv", 28).when(fmt == "geotiff", 20).otherwise(0)
+    words = F.when(F.lower(name).rlike("basin|catchment|station|gauge|region|boundary|grid|map|spatial|geo"), 10).otherwise(0)
+    return F.when(eligible, 100).otherwise(0) + by + words - F.least(F.lit(20.0), F.coalesce(size_mb, F.lit(0.0)) / 10)
+
+
+def place_query(names: list[Column], kind: Column) -> Column:
+    """Name to look up for an entity that has no geometry; null for those that stand for the whole globe or for no place."""
+    name = F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names])
+    whole = name.rlike(r"(?i)^(global|world|worldwide|earth|planet)\b")
+    return F.when(kind.isin("Region", "Basin", "Watershed", "Location", "City", "River", "Lake", "Glacier", "FloodEvent", "DroughtEvent", "Heatwave", "Wildfire", "Landslide") & ~whole, name)
+
+
+def geocode(entities: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Entities (id, place) with the place of a gazetteer (name, lon, lat, importance): the most important of that name; confidence .45 to .9."""
+    best = gazetteer.groupBy(F.lower(F.trim("name")).alias("_k")).agg(F.max(F.struct("importance", "lon", "lat")).alias("g"))
+    hit = entities.where("place is not null").withColumn("_k", F.lower(F.trim("place"))).join(best, "_k")
+    confidence = F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.45), 0.45 + F.coalesce("g.importance", F.lit(0.0)) * 0.45)), 4)
+    return hit.select("id", F.col("g.lon").alias("lon"), F.col("g.lat").alias("lat"), confidence.alias("confidence"))

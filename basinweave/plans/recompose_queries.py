@@ -106,10 +106,27 @@ def n_status_fsm(spark: SparkSession, d: str) -> DataFrame:
     return state.analysis_state(progress).groupBy("state").agg(F.count("*").alias("projects"))
 
 
+def n_metadata_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that the metadata arrays of papers name, by type and field."""
+    from basinweave.operators import decompose
+
+    meta = F.to_json(F.struct("datasets", F.col("keywords").alias("variables"), F.transform("authors", lambda a: a["affiliation"]).alias("institutions")))
+    o = decompose.metadata_objects(_papers(spark, d).select("paper_id", meta.alias("m")), "paper_id", "m")
+    return o.groupBy("type", "origin").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.max("pos").alias("last_pos"))
+
+
+def n_merge_points(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords of each venue's papers, merged by their normalised form: the twelve first, with the papers that have each."""
+    from basinweave.operators import decompose
+
+    kw = _papers(spark, d).select("venue", F.col("paper_id").alias("source_id"), F.posexplode("keywords").alias("pos", "k")).where("venue is not null and k is not null")
+    return decompose.merge_projects(kw, "venue", "k", 12).select("venue", "label", "sources", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        n_route_nodes, n_route_edges, n_route_quality, n_evidence_graph, n_facets, n_map_layers, n_map_mode, n_map_diagnostics, n_cite_match, n_input_kinds, n_activated_types,
+        n_metadata_objects, n_merge_points, n_route_nodes, n_route_edges, n_route_quality, n_evidence_graph, n_facets, n_map_layers, n_map_mode, n_map_diagnostics, n_cite_match, n_input_kinds, n_activated_types,
         n_allowed_relations, n_status_fsm,
     )
 }
@@ -144,6 +161,8 @@ def _links(left: str, right: str, label: str, threshold: float) -> str:
 
 
 ORACLES = {
+    "n_metadata_objects": f"WITH {_P}, x AS (SELECT 'Dataset' AS type, 'datasets' AS origin, u.d.name AS name, u.i - 1 AS pos FROM p, LATERAL (SELECT unnest(datasets) AS d, generate_subscripts(datasets, 1) AS i) u UNION ALL SELECT 'Variable', 'variables', trim(u.k), u.i - 1 FROM p, LATERAL (SELECT unnest(keywords) AS k, generate_subscripts(keywords, 1) AS i) u UNION ALL SELECT 'Institution', 'institutions', trim(u.a.affiliation), u.i - 1 FROM p, LATERAL (SELECT unnest(authors) AS a, generate_subscripts(authors, 1) AS i) u) SELECT type, origin, count(*) AS n, count(DISTINCT name) AS names, max(pos) AS last_pos FROM x WHERE name <> '' GROUP BY 1, 2",
+    "n_merge_points": f"WITH {_P}, x AS (SELECT venue, paper_id, u.k AS k, u.i - 1 AS pos FROM p, LATERAL (SELECT unnest(keywords) AS k, generate_subscripts(keywords, 1) AS i) u WHERE venue IS NOT NULL), y AS (SELECT venue, trim(regexp_replace(lower(k), '[^a-z0-9]+', ' ', 'g')) AS key, min(row(paper_id, pos, k)) AS m, count(DISTINCT paper_id) AS sources FROM x WHERE k IS NOT NULL GROUP BY 1, 2), z AS (SELECT venue, m[3] AS label, sources, row_number() OVER (PARTITION BY venue ORDER BY m[1], m[2], m[3]) AS rank FROM y WHERE key <> '') SELECT * FROM z WHERE rank <= 12",
     "n_route_nodes": f"WITH {_ROUTE} SELECT * FROM rn",
     "n_route_edges": f"WITH {_ROUTE}, e2 AS (SELECT stage AS from_stage, lead(stage) OVER (PARTITION BY project_id ORDER BY pos) AS to_stage FROM rn) SELECT from_stage, to_stage, count(*) AS n FROM e2 WHERE to_stage IS NOT NULL GROUP BY 1, 2",
     "n_route_quality": f"WITH {_ROUTE}, q AS (SELECT project_id, count(*) AS nodes, count(DISTINCT stage) AS stages FROM rn GROUP BY 1) SELECT CASE WHEN nodes >= 3 AND stages >= 3 THEN 'content' WHEN nodes >= 2 THEN 'partial' ELSE 'limited' END AS level, count(*) AS projects, sum(nodes)::BIGINT AS nodes FROM q GROUP BY 1",
