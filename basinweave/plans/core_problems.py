@@ -78,7 +78,36 @@ WITH refs AS (
 )
 """
 
+
+
+def _dec(e: str) -> str:
+    """The JSON that a value stands for: text which holds an object, an array or null is read."""
+    return f"(CASE WHEN json_type({e}) = 'VARCHAR' AND json_valid({e}->>'$') AND regexp_matches({e}->>'$', '^\\s*([\\[{{]|null\\s*$)') THEN ({e}->>'$')::JSON ELSE {e} END)"
+
+
+def _items(cte: str, src: str, step: str, parent: str, value: str) -> str:
+    """A CTE with the elements (project_id, parent_path, item_path, v) of an array of the records in ``src``."""
+    x, cond = _dec(f"json_extract({value}, '{step}')") if "brief" not in step else _dec(f"json_extract({_dec(f'json_extract({value}, {chr(39)}$.brief{chr(39)})')}, '$.keyPoints')"), f"json_type({value}) = 'OBJECT'"
+    name = step[2:].replace('"', "")
+    return f"""{cte}0 AS (SELECT project_id, {parent} AS parent_path, {x} AS a FROM {src} WHERE {cond}),
+ {cte}1 AS (SELECT project_id, parent_path, CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'NULL' THEN []::JSON[] ELSE [a] END AS l FROM {cte}0 WHERE a IS NOT NULL),
+ {cte}2 AS (SELECT project_id, parent_path, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS i FROM {cte}1),
+ {cte} AS (SELECT project_id, parent_path, CASE WHEN parent_path = '' THEN '' ELSE parent_path || '.' END || '{name}[' || i || ']' AS item_path, {_dec('e')} AS v FROM {cte}2 WHERE json_type({_dec('e')}) <> 'NULL')"""
+
+
+_P4 = f"""
+WITH cur AS (SELECT id AS project_id, metadata FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, metadata DESC) AS rn FROM projects WHERE id IS NOT NULL) WHERE rn = 1),
+ j0 AS (SELECT project_id, metadata::JSON AS v FROM cur WHERE json_valid(metadata)), j AS (SELECT project_id, {_dec('v')} AS v FROM j0),
+ pr AS (SELECT project_id, {_dec("json_extract(v, '$.projectRecomposition')")} AS v FROM j WHERE json_type(v) = 'OBJECT'), mr AS (SELECT project_id, {_dec("json_extract(v, '$.mapRecomposition')")} AS v FROM j WHERE json_type(v) = 'OBJECT'),
+ {_items('ps', 'pr', '$.sources', "''", 'v')}, {_items('kp', 'ps', '$.brief.keyPoints', 'item_path', 'v')}, {_items('ms', 'mr', '$.sources', "''", 'v')}, {_items('an', 'ms', '$.anchors', 'item_path', 'v')},
+ {_items('re', 'ms', '$.results', 'item_path', 'v')}, {_items('ev', 're', '$.evidence', 'item_path', 'v')}, {_items('att', 'ms', '$.attachments', 'item_path', 'v')},
+ nodes AS (SELECT project_id, replace(parent_path, 'sources[', 'projectRecomposition.sources[') AS parent_path, replace(item_path, 'sources[', 'projectRecomposition.sources[') AS item_path, v, t FROM (SELECT *, 'project_source' AS t FROM ps UNION ALL SELECT *, 'key_point' FROM kp)
+ UNION ALL SELECT project_id, replace(parent_path, 'sources[', 'mapRecomposition.sources['), replace(item_path, 'sources[', 'mapRecomposition.sources['), v, t FROM (SELECT *, 'map_source' AS t FROM ms UNION ALL SELECT *, 'anchor' FROM an UNION ALL SELECT *, 'result' FROM re UNION ALL SELECT *, 'evidence' FROM ev UNION ALL SELECT *, 'attachment' FROM att))
+"""
+
 ORACLES = {
+    "p4_found": _P4 + "SELECT project_id, parent_path, item_path, CASE WHEN json_type(v) = 'OBJECT' THEN coalesce(json_extract_string(v, '$.id'), '') ELSE '' END AS item_id FROM nodes",
+    "p4_node_counts": _P4 + "SELECT t AS node_type, count(*) AS nodes, count(DISTINCT project_id) AS documents FROM nodes GROUP BY 1",
     "p6_found": _P6 + "SELECT * FROM found",
     "p6_counts": _P6
     + "SELECT tbl, ref_month, reason, count(*) AS refs, count(DISTINCT to_key) AS keys FROM found GROUP BY tbl, ref_month, reason",
