@@ -10,17 +10,20 @@ from basinweave.functions.js import attr, first_true
 STATES = ("extracted", "reviewed", "verified", "uncertain", "rejected")
 
 
-def latest_entities(entities: DataFrame) -> DataFrame:
-    """One row per id: the one that was written last. One shuffle on the id, with partial maxima before it."""
-    cols = [c for c in entities.columns if c != "id"]
+def latest_entities(entities: DataFrame, *columns: str) -> DataFrame:
+    """One row per id: the one that was written last. One shuffle on the id, with partial maxima before it.
+
+    Only ``columns`` are read and kept if any are given; a maximum over whole rows would keep the scan from being pruned.
+    """
+    cols = list(dict.fromkeys(columns)) or [c for c in entities.columns if c != "id"]
     order = F.struct("seq", "created_at", "ingested_at")
     best = F.max_by(F.struct(*cols), order).alias("_e")
     return entities.where("id is not null").groupBy("id").agg(best).select("id", *[F.col(f"_e.{c}").alias(c) for c in cols])
 
 
-def distinct_triples(triples: DataFrame) -> DataFrame:
-    """One row per triple id, repeated rows removed."""
-    cols = [c for c in triples.columns if c != "triple_id"]
+def distinct_triples(triples: DataFrame, *columns: str) -> DataFrame:
+    """One row per triple id, repeated rows removed; only ``columns`` if any are given."""
+    cols = list(dict.fromkeys(columns)) or [c for c in triples.columns if c != "triple_id"]
     best = F.max_by(F.struct(*cols), F.struct("seq", "created_at")).alias("_t")
     return triples.where("triple_id is not null").groupBy("triple_id").agg(best).select("triple_id", *[F.col(f"_t.{c}").alias(c) for c in cols])
 

@@ -64,7 +64,7 @@ def t_best_match(spark: SparkSession, d: str) -> DataFrame:
     """Claims of each project and how well the dataset or paper of the project fits that shares the most tokens, through an inverted index."""
     from basinweave.operators.lenses import member_entities, project_members
 
-    m = member_entities(project_members(table(spark, d, "projects")), graph.latest_entities(table(spark, d, "entities")))
+    m = member_entities(project_members(table(spark, d, "projects")), graph.latest_entities(table(spark, d, "entities"), "type", "name", "attributes"))
     value = lambda n: F.get_json_object("attributes", f"$.{n}")
     nodes = m.where("type = 'Claim'").select(F.col("project_id").alias("source_id"), F.col("id").alias("node_id"), text.significant_tokens(value("statement")).alias("tokens"))
     objects = m.where("type in ('Dataset', 'Paper', 'Variable')").select(
@@ -207,19 +207,19 @@ def m_paper_triples(spark: SparkSession, d: str) -> DataFrame:
 
 def m_scope_filter(spark: SparkSession, d: str) -> DataFrame:
     """Triples by section and whether it is out of scope."""
-    t = graph.distinct_triples(table(spark, d, "triples"))
+    t = graph.distinct_triples(table(spark, d, "triples"), "provenance")
     return t.groupBy(F.col("provenance.section").alias("section"), decompose.out_of_scope(F.col("provenance.section")).alias("dropped")).agg(F.count("*").alias("n"))
 
 
 def m_canonical_relations(spark: SparkSession, d: str) -> DataFrame:
     """Predicates and the relation that each means."""
-    t = graph.distinct_triples(table(spark, d, "triples"))
+    t = graph.distinct_triples(table(spark, d, "triples"), "predicate")
     return t.groupBy("predicate", decompose.canonical_relation(F.col("predicate")).alias("relation")).agg(F.count("*").alias("n"))
 
 
 def m_bridge_infer(spark: SparkSession, d: str) -> DataFrame:
     """Bridge relations that types suggest within each project's own entities, by predicate."""
-    e = graph.latest_entities(table(spark, d, "entities")).select("id", "type", "project_id").where("project_id is not null")
+    e = graph.latest_entities(table(spark, d, "entities"), "type", "project_id").select("id", "type", "project_id").where("project_id is not null")
     return decompose.bridge_counts(e, "project_id").groupBy("predicate").agg(F.sum("n").alias("n"), F.count("*").alias("projects"))
 
 
@@ -289,7 +289,7 @@ def q_action_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def q_review_actions(spark: SparkSession, d: str) -> DataFrame:
     """Entities by the review actions they need."""
-    e = ontology.with_layers(graph.latest_entities(table(spark, d, "entities")), table(spark, d, "ontology_types"))
+    e = ontology.with_layers(graph.latest_entities(table(spark, d, "entities"), "type", "verification_state"), table(spark, d, "ontology_types"))
     return quality.review_actions(e).groupBy("actions").agg(F.count("*").alias("n"))
 
 
@@ -298,7 +298,7 @@ def q_review_actions(spark: SparkSession, d: str) -> DataFrame:
 
 def s_profile_fields(spark: SparkSession, d: str) -> DataFrame:
     """Profile of the attributes of each type of entity."""
-    e = graph.latest_entities(table(spark, d, "entities")).where("attributes is not null")
+    e = graph.latest_entities(table(spark, d, "entities"), "type", "attributes").where("attributes is not null")
     return spatial.profile_fields(e, "type").select("type", "field", "features", "distinct", "coverage", "series", "is_series")
 
 
@@ -311,7 +311,7 @@ def s_resource_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def s_containment(spark: SparkSession, d: str) -> DataFrame:
     """Entities with a centroid inside the boxes of basins, per basin: a grid join."""
-    e = graph.latest_entities(table(spark, d, "entities"))
+    e = graph.latest_entities(table(spark, d, "entities"), "type", "attributes")
     num = lambda p: F.get_json_object("attributes", p).cast("double")
     pts = e.where("get_json_object(attributes, '$.centroid') is not null").select(F.col("id").alias("point"), num("$.centroid[0]").alias("lon"), num("$.centroid[1]").alias("lat")).where("lon is not null and lat is not null")
     box = e.where("type = 'Basin' and get_json_object(attributes, '$.bbox[3]') is not null").select(
@@ -357,7 +357,7 @@ def k_export_triples(spark: SparkSession, d: str) -> DataFrame:
     """Triples with an end in each project."""
     from basinweave.operators.lenses import project_members
 
-    found = state.export_triples(project_members(table(spark, d, "projects")), graph.distinct_triples(table(spark, d, "triples")))
+    found = state.export_triples(project_members(table(spark, d, "projects")), graph.distinct_triples(table(spark, d, "triples"), "subject", "object"))
     return found.groupBy("project_id").agg(F.count("*").alias("triples"))
 
 

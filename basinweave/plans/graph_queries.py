@@ -13,12 +13,15 @@ from basinweave.session import table
 HUB = "wld-0001234567"
 
 
-def _e(spark, d):
-    return graph.latest_entities(table(spark, d, "entities"))
+def _e(spark, d, *columns):
+    return graph.latest_entities(table(spark, d, "entities"), *columns)
 
 
-def _t(spark, d):
-    return graph.distinct_triples(table(spark, d, "triples"))
+def _t(spark, d, *columns):
+    return graph.distinct_triples(table(spark, d, "triples"), *(columns or SPO))
+
+
+SPO = ("subject", "predicate", "object")
 
 
 #: SQL of the same two tables, with one row per id.
@@ -56,7 +59,7 @@ def g_path_3hop_bag(spark: SparkSession, d: str) -> DataFrame:
 
 def g_path_triples(spark: SparkSession, d: str) -> DataFrame:
     """Walks uses, part_of from datasets to existing entities, by type of the end."""
-    ents, trip = _e(spark, d), _t(spark, d)
+    ents, trip = _e(spark, d, "type"), _t(spark, d)
     walks = graph.query_path(ents.where("type = 'Dataset'").select("id"), trip, ["uses", "part_of"], ents)
     types = ents.select(F.col("id").alias("end"), "type")
     return walks.join(types, "end").groupBy("type").agg(F.sum("walks").alias("walks"), F.countDistinct("start").alias("starts"))
@@ -65,12 +68,12 @@ def g_path_triples(spark: SparkSession, d: str) -> DataFrame:
 def g_current_entities(spark: SparkSession, d: str) -> DataFrame:
     """The current row of each entity that was written more than once."""
     again = table(spark, d, "entities").groupBy("id").count().where("count > 1").select("id")
-    return _e(spark, d).join(again, "id", "left_semi").select("id", "type", "seq", "confidence", "created_at")
+    return _e(spark, d, "type", "seq", "confidence", "created_at").join(again, "id", "left_semi").select("id", "type", "seq", "confidence", "created_at")
 
 
 def g_query_sp(spark: SparkSession, d: str) -> DataFrame:
     """Subjects and objects of located_at, in order of writing."""
-    return graph.query(_t(spark, d), predicate="located_at").select("subject", "object", "seq")
+    return graph.query(_t(spark, d, *SPO, "seq"), predicate="located_at").select("subject", "object", "seq")
 
 
 def g_query_inverse_po(spark: SparkSession, d: str) -> DataFrame:
@@ -85,41 +88,41 @@ def g_query_inverse_p(spark: SparkSession, d: str) -> DataFrame:
 
 def g_match_exists(spark: SparkSession, d: str) -> DataFrame:
     """Datasets that cover a region and use anything."""
-    return graph.match(_e(spark, d), _t(spark, d), "Dataset", None, [("covers", {"type": "Region"}), ("uses", None)]).select("id", "name")
+    return graph.match(_e(spark, d, "type", "name"), _t(spark, d), "Dataset", None, [("covers", {"type": "Region"}), ("uses", None)]).select("id", "name")
 
 
 def g_match_attr(spark: SparkSession, d: str) -> DataFrame:
     """Datasets with global coverage."""
-    return graph.match(_e(spark, d), _t(spark, d), "Dataset", {"spatialCoverage": "global"}).select("id", "name", "confidence")
+    return graph.match(_e(spark, d, "type", "name", "attributes", "confidence"), _t(spark, d), "Dataset", {"spatialCoverage": "global"}).select("id", "name", "confidence")
 
 
 def g_relations_both_ways(spark: SparkSession, d: str) -> DataFrame:
     """Relations of all rivers, in and out, by predicate."""
-    rel = graph.relations_of(_e(spark, d).where("type = 'River'").select("id"), _t(spark, d))
+    rel = graph.relations_of(_e(spark, d, "type").where("type = 'River'").select("id"), _t(spark, d, *SPO, "confidence", "verification_state"))
     return rel.groupBy("direction", "predicate").agg(F.count("*").alias("n"), F.countDistinct("id").alias("rivers"), F.round(F.avg("confidence"), 6).alias("avg_conf"))
 
 
 def g_explore(spark: SparkSession, d: str) -> DataFrame:
     """Types and sources at the other end of the relations of all basins."""
-    ents = _e(spark, d)
-    found = graph.explore(ents.where("type = 'Basin'").select("id"), _t(spark, d), ents)
+    ents = _e(spark, d, "type", "name", "source", "attributes")
+    found = graph.explore(ents.where("type = 'Basin'").select("id"), _t(spark, d, *SPO, "confidence", "verification_state"), ents)
     return found.groupBy("direction", "other_type").agg(F.count("*").alias("n"), F.countDistinct("other_source").alias("sources"))
 
 
 def g_stats(spark: SparkSession, d: str) -> DataFrame:
     """Counts of entities by type and state and of triples by predicate and state."""
-    return graph.stats(_e(spark, d), _t(spark, d))
+    return graph.stats(_e(spark, d, "type", "verification_state"), _t(spark, d, "predicate", "verification_state"))
 
 
 def g_validation(spark: SparkSession, d: str) -> DataFrame:
     """Triples by reason of rejection; accepted ones have none."""
-    checked = graph.validate_triples(_t(spark, d), _e(spark, d), ontology.relation_table(spark), F.lower(F.trim("object")).rlike(ENTITY_KEY))
+    checked = graph.validate_triples(_t(spark, d), _e(spark, d, "type"), ontology.relation_table(spark), F.lower(F.trim("object")).rlike(ENTITY_KEY))
     return checked.groupBy("reject_reason").agg(F.count("*").alias("n"), F.countDistinct("predicate").alias("predicates"))
 
 
 def g_unverified(spark: SparkSession, d: str) -> DataFrame:
     """Unverified entities per type."""
-    return graph.in_state(_e(spark, d), "extracted").groupBy("type").agg(F.count("*").alias("n"))
+    return graph.in_state(_e(spark, d, "type", "verification_state"), "extracted").groupBy("type").agg(F.count("*").alias("n"))
 
 
 def g_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -131,26 +134,26 @@ def g_verify(spark: SparkSession, d: str) -> DataFrame:
 
 def g_display_names(spark: SparkSession, d: str) -> DataFrame:
     """Display names of the entities that have no name of their own."""
-    return _e(spark, d).where("name is null or name = ''").select("id", graph.display_name(F.col("name")).alias("label"))
+    return _e(spark, d, "name", "attributes").where("name is null or name = ''").select("id", graph.display_name(F.col("name")).alias("label"))
 
 
 def g_degree_top(spark: SparkSession, d: str) -> DataFrame:
     """The 25 entities with the most relations."""
     t = _t(spark, d)
     ends = t.select(F.col("subject").alias("id")).unionByName(t.select(F.col("object").alias("id")))
-    known = _e(spark, d).select("id")
+    known = _e(spark, d, "type").select("id")
     return ends.groupBy("id").agg(F.count("*").alias("degree")).join(known, "id", "left_semi").orderBy(F.desc("degree"), "id").limit(25)
 
 
 def g_dot(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the Graphviz text of the verified rivers."""
-    ents = _e(spark, d).where("type = 'River' and verification_state = 'verified'")
+    ents = _e(spark, d, "type", "name", "attributes", "verification_state").where("type = 'River' and verification_state = 'verified'")
     return graph.to_dot(ents, _t(spark, d)).select("ord", "key", "line")
 
 
 def o_layer_counts(spark: SparkSession, d: str) -> DataFrame:
     """Entities by layer and category of their type."""
-    return ontology.with_layers(_e(spark, d), table(spark, d, "ontology_types")).groupBy("type_layer", "type_category").agg(F.count("*").alias("n"))
+    return ontology.with_layers(_e(spark, d, "type"), table(spark, d, "ontology_types")).groupBy("type_layer", "type_category").agg(F.count("*").alias("n"))
 
 
 def o_types_by_category(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +174,7 @@ def o_alias_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 def o_bridge_valid_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of types that occur in triples and the bridge predicates that allow them."""
-    t, e = _t(spark, d), _e(spark, d)
+    t, e = _t(spark, d), _e(spark, d, "type")
     s = e.select(F.col("id").alias("subject"), F.col("type").alias("subject_type"))
     o = e.select(F.col("id").alias("object"), F.col("type").alias("object_type"))
     pairs = t.select("subject", "object").join(s, "subject").join(o, "object").select("subject_type", "object_type").distinct()
@@ -181,7 +184,7 @@ def o_bridge_valid_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def o_conf_cap(spark: SparkSession, d: str) -> DataFrame:
     """Triples whose confidence is above the cap of their predicate, with evidence where there is a source text."""
-    t = _t(spark, d)
+    t = _t(spark, d, "predicate", "provenance", "confidence")
     has = F.coalesce(F.col("provenance.source_text") != "", F.lit(False))
     cap = ontology.confidence_cap(F.col("predicate"), has)
     return t.withColumn("cap", cap).groupBy("predicate", "cap").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") > F.col("cap")).alias("above"))

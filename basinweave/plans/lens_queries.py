@@ -14,12 +14,16 @@ from basinweave.session import table
 E = ALL_COLUMNS.replace("SELECT * FROM (", "SELECT * EXCLUDE (project_id) FROM (", 1)
 
 
-def _entities(spark, d):
-    return ontology.with_layers(graph.latest_entities(table(spark, d, "entities")), table(spark, d, "ontology_types"))
+COLUMNS = ("type", "name", "attributes", "confidence", "source", "verification_state")
 
 
-def _triples(spark, d):
-    return graph.distinct_triples(table(spark, d, "triples"))
+def _entities(spark, d, *columns):
+    """Current entities with their layers; ``columns`` (all that a view may read if none are given) are read."""
+    return ontology.with_layers(graph.latest_entities(table(spark, d, "entities"), *(columns or COLUMNS)), table(spark, d, "ontology_types"))
+
+
+def _triples(spark, d, *columns):
+    return graph.distinct_triples(table(spark, d, "triples"), "subject", "predicate", "object", *columns)
 
 
 def _members(spark, d):
@@ -28,54 +32,54 @@ def _members(spark, d):
 
 def l_members(spark: SparkSession, d: str) -> DataFrame:
     """Members of each project and whether they exist."""
-    ids = graph.latest_entities(table(spark, d, "entities")).select("id", F.lit(1).alias("there"))
+    ids = graph.latest_entities(table(spark, d, "entities"), "seq").select("id", F.lit(1).alias("there"))
     return _members(spark, d).join(ids, "id", "left").groupBy("project_id").agg(F.count("*").alias("members"), F.count("there").alias("existing"))
 
 
 def l_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the five views per project."""
-    return lenses.lens_scores(_members(spark, d), _entities(spark, d), _triples(spark, d))
+    return lenses.lens_scores(_members(spark, d), _entities(spark, d, "type", "attributes"), _triples(spark, d))
 
 
 def l_recommend(spark: SparkSession, d: str) -> DataFrame:
     """Recommended view per project."""
-    return lenses.recommended_lens(_members(spark, d), _entities(spark, d), _triples(spark, d))
+    return lenses.recommended_lens(_members(spark, d), _entities(spark, d, "type", "attributes"), _triples(spark, d))
 
 
 def l_graph_edges_in_project(spark: SparkSession, d: str) -> DataFrame:
     """Edges with both ends in the project, per project and predicate."""
-    edges = lenses.project_graph(_members(spark, d), _triples(spark, d))
+    edges = lenses.project_graph(_members(spark, d), _triples(spark, d, "confidence"))
     return edges.groupBy("project_id", "predicate").agg(F.count("*").alias("n"))
 
 
 def l_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Entities per project, type and category."""
-    return lenses.project_metadata(_members(spark, d), _entities(spark, d))
+    return lenses.project_metadata(_members(spark, d), _entities(spark, d, "type"))
 
 
 def l_map_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Bounds and feature counts of each project's map."""
-    return lenses.map_bounds(_members(spark, d), _entities(spark, d))
+    return lenses.map_bounds(_members(spark, d), _entities(spark, d, "type", "attributes"))
 
 
 def l_geometry_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Entities by the attribute that gives their geometry."""
-    return lenses.map_features(_entities(spark, d)).groupBy("geometry_from", "type_layer").agg(F.count("*").alias("n"))
+    return lenses.map_features(_entities(spark, d, "type", "attributes")).groupBy("geometry_from", "type_layer").agg(F.count("*").alias("n"))
 
 
 def l_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Datasets that cover each region of a project's map."""
-    return lenses.coverage(_members(spark, d), _entities(spark, d), _triples(spark, d))
+    return lenses.coverage(_members(spark, d), _entities(spark, d, "type", "name", "attributes"), _triples(spark, d))
 
 
 def l_workflow_stage(spark: SparkSession, d: str) -> DataFrame:
     """Entities per project and workflow stage."""
-    return lenses.workflow_stages(_members(spark, d), _entities(spark, d), _triples(spark, d))
+    return lenses.workflow_stages(_members(spark, d), _entities(spark, d, "type", "attributes"), _triples(spark, d))
 
 
 def l_data_flows(spark: SparkSession, d: str) -> DataFrame:
     """Flows from inputs over their users to outputs, counted by relation and whether an output follows."""
-    ents, trip = _entities(spark, d), _triples(spark, d)
+    ents, trip = _entities(spark, d, "type", "attributes"), _triples(spark, d)
     inputs = lenses.with_edges(ents, trip).where(lenses.workflow_stage() == "input").select("id")
     flows = lenses.data_flows(inputs, ents, trip)
     return flows.groupBy("used_by", F.col("output").isNotNull().alias("has_output")).agg(F.count("*").alias("flows"), F.countDistinct("input").alias("inputs"))
@@ -83,33 +87,33 @@ def l_data_flows(spark: SparkSession, d: str) -> DataFrame:
 
 def l_timeline_decades(spark: SparkSession, d: str) -> DataFrame:
     """Events per project and decade."""
-    return lenses.timeline_decades(_members(spark, d), _entities(spark, d))
+    return lenses.timeline_decades(_members(spark, d), _entities(spark, d, "type", "attributes"))
 
 
 def l_compare_scope(spark: SparkSession, d: str) -> DataFrame:
     """What is compared in each project."""
-    return lenses.comparable_scope(_members(spark, d), _entities(spark, d)).select("project_id", "n")
+    return lenses.comparable_scope(_members(spark, d), _entities(spark, d, "type")).select("project_id", "n")
 
 
 def l_compare_diff(spark: SparkSession, d: str) -> DataFrame:
     """Attributes in which the first two entities of each project differ."""
-    found = lenses.first_two_differences(_members(spark, d), _entities(spark, d))
+    found = lenses.first_two_differences(_members(spark, d), _entities(spark, d, "type", "attributes"))
     return found.select("project_id", "attribute", F.col("left").isNull().alias("left_missing"), F.col("right").isNull().alias("right_missing"))
 
 
 def l_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics that entities are evaluated by."""
-    return lenses.metrics(_entities(spark, d), _triples(spark, d))
+    return lenses.metrics(_entities(spark, d, "type", "name", "attributes"), _triples(spark, d))
 
 
 def ev_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims per type."""
-    return lenses.evidence_claims(_entities(spark, d), _triples(spark, d)).groupBy("type").agg(F.count("*").alias("claims"))
+    return lenses.evidence_claims(_entities(spark, d, "type", "attributes"), _triples(spark, d)).groupBy("type").agg(F.count("*").alias("claims"))
 
 
 def ev_chain_depth(spark: SparkSession, d: str) -> DataFrame:
     """Claims by depth of their support and by direct supporters."""
-    ents, trip = _entities(spark, d), _triples(spark, d)
+    ents, trip = _entities(spark, d, "type", "attributes"), _triples(spark, d)
     chains = lenses.evidence_chains(lenses.evidence_claims(ents, trip), ents, trip)
     return chains.groupBy("depth").agg(F.count("*").alias("claims"), F.sum("supporters").alias("supporters"))
 

@@ -14,7 +14,7 @@ from basinweave.session import table
 
 
 def _members(spark, d):
-    e = ontology.with_layers(graph.latest_entities(table(spark, d, "entities")), table(spark, d, "ontology_types"))
+    e = ontology.with_layers(graph.latest_entities(table(spark, d, "entities"), "type", "name", "attributes"), table(spark, d, "ontology_types"))
     return lenses.member_entities(lenses.project_members(table(spark, d, "projects")), e)
 
 
@@ -72,7 +72,7 @@ def n_map_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 def n_cite_match(spark: SparkSession, d: str) -> DataFrame:
     """Paper entities and the paper record that their title and year mean."""
-    e = graph.latest_entities(table(spark, d, "entities")).where("type in ('Paper', 'Preprint')")
+    e = graph.latest_entities(table(spark, d, "entities"), "type", "attributes").where("type in ('Paper', 'Preprint')")
     q = e.select(F.col("id").alias("query_id"), attr("title").alias("title"), F.expr("try_cast(get_json_object(attributes, '$.year') as int)").alias("year"))
     return citations.match_titles(q, _papers(spark, d).select(F.col("paper_id").alias("record_id"), "title", "year")).select("query_id", "score")
 
@@ -91,8 +91,8 @@ def n_activated_types(spark: SparkSession, d: str) -> DataFrame:
 
 def n_allowed_relations(spark: SparkSession, d: str) -> DataFrame:
     """Triples by the type of their subject and whether that type's list of relations has the predicate."""
-    e = graph.latest_entities(table(spark, d, "entities")).select(F.col("id").alias("subject"), "type")
-    t = graph.distinct_triples(table(spark, d, "triples")).select("subject", "predicate")
+    e = graph.latest_entities(table(spark, d, "entities"), "type").select(F.col("id").alias("subject"), "type")
+    t = graph.distinct_triples(table(spark, d, "triples"), "subject", "predicate").select("subject", "predicate")
     rows = t.join(e, "subject").where(F.col("type").isin(list(registry.ALLOWED_RELATIONS)))
     ok = F.array_contains(registry.allowed_relations(F.col("type")), F.col("predicate"))
     return rows.groupBy("type", ok.alias("allowed")).agg(F.count("*").alias("n"))

@@ -32,3 +32,19 @@ def test_query_equals_sql(spark, name):
     cols = sorted(names)
     want = sorted(tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall())
     assert sorted(tuple(norm(r[c]) for c in cols) for r in rows) == want
+
+
+def test_the_library_does_not_import_the_llm_subpackage():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for folder, _, files in os.walk(os.path.join(root, "basinweave")):
+        if os.path.basename(folder) == "llm":
+            continue
+        for f in files:
+            if f.endswith(".py"):
+                with open(os.path.join(folder, f)) as text:
+                    assert "basinweave.llm" not in text.read(), f
+
+
+def test_scans_are_pruned(spark):
+    plan = entry.queries()["g_stats"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "attributes" not in plan.partition("== Physical Plan ==")[2]
