@@ -178,3 +178,30 @@ def decide(relevance: Column, evidence: Column, dens: Column, is_research: Colum
     """Depth by the weighted sum of relevance, evidence and density."""
     s = 0.5 * relevance + 0.3 * evidence + 0.2 * dens
     return F.when((s < 0.2) | ~is_research, "reject").when(s < 0.35, "light").when(s < 0.55, "structured").otherwise("deep")
+
+
+# Roles by type where no evaluator is at hand.
+TYPE_ROLES: dict[str, dict[str, float]] = {
+    "Paper": {"modeling_capability": 0.3, "evidence_assessment": 0.4}, "Preprint": {"earth_content": 0.4}, "Report": {"governance_capability": 0.4, "evidence_assessment": 0.3},
+    "AssessmentReport": {"evidence_assessment": 0.6, "governance_capability": 0.4}, "Repository": {"computing_capability": 0.5, "modeling_capability": 0.3},
+    "ModelCard": {"modeling_capability": 0.7}, "DatasetPage": {"data_capability": 0.7}, "DataCatalog": {"data_capability": 0.6},
+    "PolicyDocument": {"governance_capability": 0.7, "action_capability": 0.4}, "StandardDocument": {"governance_capability": 0.6}, "News": {"event_signal": 0.3}, "PressRelease": {"event_signal": 0.2},
+}
+
+
+def fallback_roles(sources: DataFrame) -> DataFrame:
+    """Adds one column per role by the type alone, and for dates with places, hazards and regions; 0 for other types."""
+    rows = with_defaults(sources)
+    hazard = (F.col("n_hazards") > 0) | (F.col("n_regions") > 0)
+    out = {}
+    for role in ROLES:
+        weights = [(t, w[role]) for t, w in TYPE_ROLES.items() if role in w]
+        c = F.lit(0.0)
+        if weights:
+            c = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights for x in kv]), F.col("type")), F.lit(0.0))
+        if role == "event_signal":
+            c = F.least(F.lit(1.0), F.round(c + F.when(_there("date") & _there("location"), 0.3).otherwise(0.0) + F.when(hazard, 0.3).otherwise(0.0), 6))
+        if role == "earth_content":
+            c = F.greatest(c, F.when(hazard, 0.2).otherwise(0.0))
+        out[role] = c
+    return rows.select("*", *[c.alias(r) for r, c in out.items()])

@@ -103,3 +103,44 @@ def integrity_issues(sources: DataFrame) -> DataFrame:
         )
     )
     return sources.select("source_id", F.explode(found).alias("x")).select("source_id", "x.*")
+
+
+def resource_links(nodes: DataFrame, resources: DataFrame, group: str) -> DataFrame:
+    """(group, url, node_id, label): resources (group, url, kind) joined to the route nodes of the stages that their kind serves.
+
+    Kinds and stages are both few, so each side is joined on (group, stage) after the kind is unfolded to its stages.
+    """
+    kind = F.lower("kind")
+    stages = F.array_compact(
+        F.array(
+            F.when(kind.isin("dataset", "data"), F.lit("data")), F.when(kind.isin("repository", "code", "software"), F.lit("method")),
+            F.when(kind.isin("repository", "code", "software"), F.lit("execution")), F.when(kind.isin("source", "paper", "doi", "supplement"), F.lit("evidence")),
+        )
+    )
+    r = resources.select(group, "url", kind.alias("kind"), F.explode(stages).alias("stage")).distinct()
+    label = (
+        F.when(F.col("stage") == "data", "provides_input").when(F.col("stage").isin("method", "execution"), F.when(F.col("kind") == "repository", "may_implement").otherwise("supports_method"))
+        .when(F.col("stage") == "evidence", "supports_evidence").otherwise("relates_to")
+    )
+    return r.join(nodes.select(group, "stage", F.col("id").alias("node_id")), [group, "stage"]).select(group, "url", "node_id", label.alias("label"))
+
+
+def resource_coverage(resources: DataFrame, links: DataFrame, group: str) -> DataFrame:
+    """Resources of each group, how many are linked, the share in percent and the level."""
+    linked = links.select(group, "url").distinct().withColumn("has", F.lit(1))
+    out = resources.select(group, "url").distinct().join(linked, [group, "url"], "left").groupBy(group).agg(F.count("*").alias("resources"), F.count("has").alias("linked"))
+    score = F.floor(F.col("linked") * 100 / F.col("resources") + 0.5)
+    return out.withColumn("score", score).withColumn("level", F.when(score >= 80, "complete").when(score >= 45, "partial").otherwise("weak"))
+
+
+def limitations(sources: DataFrame) -> DataFrame:
+    """(source_id, limitation, severity) that follow from what an extraction lacks; needs n_world, n_capability, n_evidence, n_relations, deep."""
+    c = F.col
+    rule = lambda cond, name, sev: F.when(cond, F.struct(F.lit(name).alias("limitation"), F.lit(sev).alias("severity")))
+    found = F.array_compact(
+        F.array(
+            rule(c("n_world") == 0, "spatial-context", "warning"), rule(c("n_capability") == 0, "method-route", "warning"), rule(c("n_evidence") == 0, "evidence-chain", "info"),
+            rule(c("n_relations") == 0, "relations", "info"), rule(~c("deep"), "llm-extraction", "info"),
+        )
+    )
+    return sources.select("source_id", F.explode(found).alias("x")).select("source_id", "x.*")

@@ -312,7 +312,7 @@ def s_resource_rank(spark: SparkSession, d: str) -> DataFrame:
 def s_containment(spark: SparkSession, d: str) -> DataFrame:
     """Entities with a centroid inside the boxes of basins, per basin: a grid join."""
     e = graph.latest_entities(table(spark, d, "entities"), "type", "attributes")
-    num = lambda p: F.get_json_object("attributes", p).cast("double")
+    num = lambda p: F.get_json_object("attributes", p).try_cast("double")
     pts = e.where("get_json_object(attributes, '$.centroid') is not null").select(F.col("id").alias("point"), num("$.centroid[0]").alias("lon"), num("$.centroid[1]").alias("lat")).where("lon is not null and lat is not null")
     box = e.where("type = 'Basin' and get_json_object(attributes, '$.bbox[3]') is not null").select(
         F.col("id").alias("box"), F.least(num("$.bbox[0]"), num("$.bbox[2]")).alias("min_lon"), F.least(num("$.bbox[1]"), num("$.bbox[3]")).alias("min_lat"),

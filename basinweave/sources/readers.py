@@ -24,7 +24,7 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     from their content."""
     doc = spark.read.schema(STORE_SCHEMA).option("multiLine", True).json(path)
     state = lambda c: F.coalesce(F.col(c), F.lit("extracted"))
-    number = lambda m: F.get_json_object(m, "$.confidence").cast("double")
+    number = lambda m: F.get_json_object(m, "$.confidence").try_cast("double")
     e = doc.select(F.posexplode("entities").alias("seq", "e")).select(
         F.col("e.id").alias("id"), F.col("e.type").alias("type"), F.get_json_object("e.attributes", "$.name").alias("name"), F.col("e.attributes").alias("attributes"),
         F.coalesce(number("e.metadata"), F.lit(1.0)).alias("confidence"), state("e.verificationState").alias("verification_state"),

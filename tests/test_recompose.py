@@ -99,3 +99,17 @@ def test_small_functions(spark):
     e = spark.createDataFrame([("1", "Ulm"), ("2", None), ("3", "nowhere")], "id string, place string")
     g = spark.createDataFrame([("ulm", 10.0, 48.0, 0.5), ("Ulm", 1.0, 2.0, 0.1)], "name string, lon double, lat double, importance double")
     assert [tuple(r) for r in spatial.geocode(e, g).collect()] == [("1", 10.0, 48.0, 0.675)]
+
+
+def test_resources_limits_and_fallback(spark):
+    from basinweave.operators import admission
+
+    nodes = spark.createDataFrame([("p", "data", "n1"), ("p", "method", "n2"), ("q", "evidence", "n3")], "g string, stage string, id string")
+    res = spark.createDataFrame([("p", "u1", "dataset"), ("p", "u2", "Repository"), ("p", "u3", "external"), ("q", "u4", "doi"), ("q", "u5", None)], "g string, url string, kind string")
+    links = routes.resource_links(nodes, res, "g")
+    assert {(r.url, r.node_id, r.label) for r in links.collect()} == {("u1", "n1", "provides_input"), ("u2", "n2", "may_implement"), ("u4", "n3", "supports_evidence")}
+    assert {r.g: (r.resources, r.linked, r.level) for r in routes.resource_coverage(res, links, "g").collect()} == {"p": (3, 2, "partial"), "q": (2, 1, "partial")}
+    src = spark.createDataFrame([("s", 0, 1, 1, 0, True), ("t", 1, 1, 1, 1, True)], "source_id string, n_world int, n_capability int, n_evidence int, n_relations int, deep boolean")
+    assert {(r.source_id, r.limitation) for r in routes.limitations(src).collect()} == {("s", "spatial-context"), ("s", "relations")}
+    roles = admission.fallback_roles(spark.createDataFrame([("News", "2024", "x", 1), ("Nothing", None, None, 0)], "type string, date string, location string, n_hazards int")).collect()
+    assert (roles[0].event_signal, roles[0].earth_content, roles[1].event_signal) == (0.9, 0.2, 0.0)
