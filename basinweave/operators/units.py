@@ -8,15 +8,15 @@ but for a final maximum per entity.
 
 ``unit_shifts`` handles histories whose unit is *not* stated: the values of each source, in time order, are cut into levels
 by exact penalised changepoint search on the logarithm, and shifts between neighbouring levels that match a known conversion
-factor are reported with the factor that reverses them. Histories are worked in bounded blocks (source and month, then at most
-``max_block`` rows at a time), so a source that holds a third of all rows is spread over many tasks.
+factor are reported with the factor that reverses them. Each history is searched as a whole: rows of a source come sorted to one
+task, the search takes them one by one with a small state, and levels are given out as soon as no later row can change them.
 
 Defined cases
     * null, blank or unreadable attributes, numbers without any unit and units of no fixed size (pixel, level) give no row;
     * of several figures of one entity the larger counts, lengths before times where an entity tells both;
     * repeated rows of an entity count once; a decimal comma is a decimal point ("0,125", "12,5"), but "1,000" is a thousand;
     * extra columns are ignored;
-    * non-positive, infinite or missing values take no part in a history; a block of one value is one level.
+    * non-positive, infinite or missing values take no part in a history; a history of one value is one level.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -271,28 +272,79 @@ KNOWN_FACTORS: dict[str, float] = {
 }
 
 
+class LevelSearch:
+    """The levels of a history that minimise squared error plus ``penalty`` a level, searched exactly, one value at a time.
+
+    Kept is the least cost as a function of the open level's value: pieces (from, to, n, sum, squares, start) of parabolas, of which
+    a piece goes once no value of the open level makes its start the best (functional pruning). Of equal costs the earlier start
+    counts. ``back`` holds the start of the last level for each prefix from ``base`` on.
+    """
+
+    def __init__(self, penalty: float):
+        self.penalty, self.best, self.base, self.origin = penalty, -penalty, 0, 0.0
+        self.pieces: list[tuple[float, float, int, float, float, int]] = []
+        self.back = array("q")
+
+    def add(self, x: float) -> None:
+        t = self.base + len(self.back)
+        if t == 0:
+            self.origin = x
+        x -= self.origin
+        anew = self.best + self.penalty  # cost of a level that starts here
+        cut: list[tuple[float, float, int, float, float, int]] = []
+        free = -math.inf  # from here to the next piece kept, the new level is the best
+        for lo, hi, n, s, q, start in self.pieces:
+            inside = s * s - n * (q - anew)
+            if inside < 0:
+                continue
+            root = math.sqrt(inside)
+            lo, hi = max(lo, (s - root) / n), min(hi, (s + root) / n)
+            if lo > hi:
+                continue
+            if free < lo:
+                cut.append((free, lo, 0, 0.0, anew, t))
+            cut.append((lo, hi, n, s, q, start))
+            free = hi
+        if free < math.inf:
+            cut.append((free, math.inf, 0, 0.0, anew, t))
+        self.best, last, self.pieces, square = math.inf, t, [], x * x
+        for lo, hi, n, s, q, start in cut:
+            n, s, q = n + 1, s + x, q + square
+            self.pieces.append((lo, hi, n, s, q, start))
+            level = min(max(s / n, lo), hi)
+            cost = (n * level - 2 * s) * level + q
+            if cost < self.best or (cost == self.best and start < last):
+                self.best, last = cost, start
+        self.back.append(last)
+
+    def starts(self, end: int) -> list[int]:
+        """Starts of the levels of the values from ``base`` up to ``end``."""
+        out = []
+        while end > self.base:
+            end = self.back[end - self.base - 1]
+            out.append(end)
+        return out[::-1]
+
+    def settled(self) -> int:
+        """The last cut that every history that goes on from here has."""
+        live = {start for *_, start in self.pieces}
+        while len(live) > 1:
+            latest = max(live)
+            live.remove(latest)
+            live.add(self.back[latest - self.base - 1])
+        return live.pop() if live else self.base
+
+    def forget(self, end: int) -> None:
+        """Leaves out what lies before a settled cut."""
+        self.back, self.base = self.back[end - self.base :], end
+
+
 def changepoints(x: np.ndarray, penalty: float) -> list[int]:
     """Starts of the levels of ``x`` that minimise squared error plus ``penalty`` a level: exact search with pruning."""
-    n = len(x)
-    if n == 0:
-        return []
-    s = np.concatenate([[0.0], np.cumsum(x)])
-    q = np.concatenate([[0.0], np.cumsum(x * x)])
-    best = np.empty(n + 1)
-    best[0] = -penalty
-    last = np.zeros(n + 1, dtype=np.int64)
-    live = np.array([0])
-    for t in range(1, n + 1):
-        d = s[t] - s[live]
-        cost = best[live] + (q[t] - q[live]) - d * d / (t - live)
-        k = int(np.argmin(cost))
-        best[t], last[t] = cost[k] + penalty, live[k]
-        live = np.append(live[cost <= best[t]], t)
-    cuts, t = [], n
-    while t > 0:
-        t = int(last[t])
-        cuts.append(t)
-    return cuts[::-1]
+    search = LevelSearch(penalty)
+    for value in x.tolist():
+        search.add(value)
+    return search.starts(len(x))
 
 
 def match_factor(shift: float, tolerance: float) -> tuple[str, float] | None:
@@ -309,53 +361,75 @@ def match_factor(shift: float, tolerance: float) -> tuple[str, float] | None:
 SHIFT_SCHEMA = "source string, block string, segment int, start_at timestamp, rows long, level double, factor string, reverse_by double"
 
 
+class _History:
+    """Levels of one source, given out in order."""
+
+    def __init__(self, source: str, penalty: float, tolerance: float):
+        self.source, self.tolerance, self.search = source, tolerance, LevelSearch(penalty)
+        self.at, self.x = array("q"), array("d")  # of the rows from search.base on; microseconds
+        self.segment, self.reverse, self.before = 0, 1.0, None
+
+    def add(self, at: np.ndarray, x: np.ndarray) -> None:
+        self.at.frombytes(at.tobytes())
+        self.x.frombytes(x.tobytes())
+        for value in x.tolist():
+            self.search.add(value)
+
+    def levels(self, end: int) -> list[tuple]:
+        """Rows of the levels up to the cut ``end``, which are then forgotten."""
+        base, cuts, out = self.search.base, self.search.starts(end), []
+        x = np.array(self.x[: end - base])
+        for a, b in zip(cuts, [*cuts[1:], end]):
+            level = float(np.median(x[a - base : b - base]))
+            hit = match_factor(level - self.before, self.tolerance) if self.before is not None else None
+            if hit:
+                self.reverse *= hit[1]
+            start = np.datetime64(self.at[a - base], "us")
+            out.append((self.source, str(start.astype("datetime64[M]")), self.segment, start, b - a, level, hit[0] if hit else None, self.reverse))
+            self.segment, self.before = self.segment + 1, level
+        self.at, self.x = self.at[end - base :], self.x[end - base :]
+        self.search.forget(end)
+        return out
+
+    def rest(self) -> list[tuple]:
+        return self.levels(self.search.base + len(self.x))
+
+
 def unit_shifts(
     history: DataFrame, source: str, at: str, value: Column, penalty: float = 6.0, tolerance: float = 0.12, max_block: int = 4096
 ) -> DataFrame:
-    """Levels of each source's history per month, and for each level the known factor by which it is off the one before.
+    """Levels of each source's whole history, and for each level the known factor by which it is off the one before.
 
-    ``reverse_by`` multiplies the values of a level to bring them to the unit of the block's first level; 1.0 where no known
-    factor matches. A block of more than ``max_block`` rows is worked in parts of that size in time order.
+    ``reverse_by`` multiplies the values of a level to bring them to the unit of the source's first level; 1.0 where no known
+    factor matches. ``block`` is the month in which a level starts. Every ``max_block`` rows the levels that no later row can change
+    are given out; the size has no effect on the result.
     """
     number = value.cast("double")
     rows = history.select(
-        F.col(source).alias("source"),
-        F.date_format(at, "yyyy-MM").alias("block"),
-        F.col(at).cast("timestamp").alias("at"),
-        F.log(number).alias("x"),
+        F.col(source).alias("source"), F.col(at).cast("timestamp").alias("at"), F.log(number).alias("x")
     ).where(F.col("source").isNotNull() & F.col("at").isNotNull() & (number > 0) & (number < float("inf")))
-    rows = rows.repartition("source", "block").sortWithinPartitions("source", "block", "at", "x")
-
-    def levels(part: pd.DataFrame) -> Iterable[tuple]:
-        x = part["x"].to_numpy()
-        cuts = changepoints(x, penalty)
-        reverse, before = 1.0, None
-        for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(x)])):
-            level = float(np.median(x[a:b]))
-            hit = match_factor(level - before, tolerance) if before is not None else None
-            if hit:
-                reverse *= hit[1]
-            yield part["source"].iloc[0], part["block"].iloc[0], i, part["at"].iloc[a], b - a, level, hit[0] if hit else None, reverse
-            before = level
+    rows = rows.repartition("source").sortWithinPartitions("source", "at", "x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["source", "block", "segment", "start_at", "rows", "level", "factor", "reverse_by"]
-        held: pd.DataFrame | None = None
+        held: _History | None = None
         for pdf in batches:
-            held = pdf if held is None or held.empty else pd.concat([held, pdf], ignore_index=True)
-            keys = held["source"] + "\x1f" + held["block"]
-            change = np.flatnonzero((keys != keys.shift()).to_numpy()).tolist()
+            names, x = pdf["source"].to_numpy(), pdf["x"].to_numpy(np.float64)
+            times = pdf["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            change = (np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()
             out: list[tuple] = []
-            for a, b in zip(change, change[1:]):
+            for a, b in zip([0, *change], [*change, len(names)]):
+                if a == b:
+                    continue
+                if held is None or held.source != names[a]:
+                    out += held.rest() if held is not None else []
+                    held = _History(names[a], penalty, tolerance)
                 for c in range(a, b, max_block):
-                    out += levels(held.iloc[c : min(b, c + max_block)])
-            tail = change[-1] if change else 0
-            while len(held) - tail >= 2 * max_block:
-                out += levels(held.iloc[tail : tail + max_block])
-                tail += max_block
-            held = held.iloc[tail:].reset_index(drop=True)
+                    held.add(times[c : min(b, c + max_block)], x[c : min(b, c + max_block)])
+                    if c + max_block < b or len(held.x) >= max_block:
+                        out += held.levels(held.search.settled())
             yield pd.DataFrame(out, columns=columns)
-        if held is not None and not held.empty:
-            yield pd.DataFrame([r for c in range(0, len(held), max_block) for r in levels(held.iloc[c : c + max_block])], columns=columns)
+        if held is not None:
+            yield pd.DataFrame(held.rest(), columns=columns)
 
     return rows.mapInPandas(run, SHIFT_SCHEMA)

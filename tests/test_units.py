@@ -69,3 +69,40 @@ def test_unit_shifts(spark):
     parts = U.unit_shifts(df, "source", "at", F.col("v"), max_block=64).groupBy("source").agg(F.sum("rows").alias("n")).collect()
     assert {r.source: r.n for r in parts} == {"flat": 50, "s": 600}
     assert U.unit_shifts(df.limit(0), "source", "at", F.col("v")).count() == 0
+
+
+def test_long_searches_are_optimal_and_settle():
+    rng = np.random.default_rng(5)
+    for noise in (0.0, 0.05, 1.0, 3.0):
+        x = np.concatenate([rng.normal(m, noise, 40) for m in (0, 7, 7, -3)])
+        best = [-6.0]
+        for t in range(1, len(x) + 1):
+            costs = [best[a] + ((x[a:t] - x[a:t].mean()) ** 2).sum() + 6.0 for a in range(t)]
+            best.append(min(costs))
+        search, done = U.LevelSearch(6.0), []
+        for v in x.tolist():
+            search.add(v)
+            if len(search.back) >= 8:
+                done += search.starts(cut := search.settled())
+                search.forget(cut)
+        done += search.starts(len(x))
+        assert done == U.changepoints(x, 6.0)
+        assert brute_cost(x, done, 6.0) - 6.0 == pytest.approx(best[-1])
+
+
+def test_unit_shifts_cross_months_and_sizes(spark):
+    rng = random.Random(2)
+    start, rows = dt.datetime(2024, 1, 30), []
+    for i in range(12):  # one value a day: a change between two months and one within
+        rows.append(("m", start + dt.timedelta(days=i), (5 if i < 2 else 5000) * math.exp(rng.gauss(0, 0.02))))
+    for i in range(3000):  # the unit changes at 1024 rows and back at 2500
+        rows.append(("hot", start + dt.timedelta(minutes=i), (7000 if 1024 <= i < 2500 else 7) * math.exp(rng.gauss(0, 0.5))))
+    for i in range(400):
+        rows.append(("wild", start + dt.timedelta(hours=5 * i), math.exp(rng.gauss(0, 2))))
+    df = spark.createDataFrame(rows, "source string, at timestamp, v double")
+    got = {m: sorted(tuple(r) for r in U.unit_shifts(df, "source", "at", F.col("v"), max_block=m).collect()) for m in (1, 64, 1024, 4096)}
+    assert got[1] == got[64] == got[1024] == got[4096]
+    hits = [(r[0], r[1], r[4], r[6], round(r[7], 6)) for r in got[64] if r[0] != "wild"]
+    assert hits == [("hot", "2024-01", 1024, None, 1.0), ("hot", "2024-01", 1476, "1000", 0.001), ("hot", "2024-01", 500, "1000", 1.0), ("m", "2024-01", 2, None, 1.0), ("m", "2024-02", 10, "1000", 0.001)]
+    wild = np.log([v for s, _, v in rows if s == "wild"])
+    assert [r[4] for r in got[64] if r[0] == "wild"] == np.diff([*U.changepoints(wild, 6.0), len(wild)]).tolist()
