@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from basinweave.session import stable
 
 CHAIN_RELATIONS = ("supports", "derives_from")
+MERGE_ROUNDS = 8
 
 
-def chain_nodes(starts: DataFrame, entities: DataFrame, triples: DataFrame, max_level: int = 6) -> DataFrame:
+def chain_nodes(starts: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
     """(start, id, level): entities reached from each start, at their lowest level; literals end a chain.
 
-    Breadth first: each round joins only the nodes that the last round added, so every (start, id) is expanded once. Rounds are
-    written to the checkpoint folder, so the plan doesn't grow with them.
+    Breadth first, until a round adds nothing: each round joins only the nodes that the last round added, so every (start, id) is
+    expanded once and cycles end. Rounds are written to the checkpoint folder, and every ``MERGE_ROUNDS`` rounds what was seen is
+    written as one table, so the plan doesn't grow with them.
     """
     ids = entities.select("id").distinct()
     edges = triples.where(F.col("predicate").isin(*CHAIN_RELATIONS)).select(F.col("subject").alias("id"), F.col("object").alias("next")).distinct()
     edges = stable(edges.join(ids.withColumnRenamed("id", "next"), "next", "left_semi"))
     seen = stable(starts.select(F.col("id").alias("start"), "id").distinct().join(ids, "id", "left_semi").select("start", "id", F.lit(0).alias("level")))
-    front = seen
-    for level in range(1, max_level + 1):
+    front, level = seen, 0
+    while not front.isEmpty():
+        level += 1
         step = front.join(edges, "id").select("start", F.col("next").alias("id")).distinct()
         front = stable(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("level", F.lit(level)))
         seen = seen.unionByName(front)
+        if level % MERGE_ROUNDS == 0:
+            seen = stable(seen)
     return seen
 
 

@@ -128,7 +128,7 @@ def ev_claim_issues(spark: SparkSession, d: str) -> DataFrame:
 
 def _chains(spark, d):
     ents, trip = _entities(spark, d), _triples(spark, d)
-    return evidence.chain_nodes(ents.where("type = 'Evidence'").select("id"), ents, trip, 4), ents, trip
+    return evidence.chain_nodes(ents.where("type = 'Evidence'").select("id"), ents, trip), ents, trip
 
 
 def ev_chain_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -133,6 +133,17 @@ def test_stages_and_chains(spark):
     assert (top.depth, top.nodes, top.weak, top.gaps, top.sufficient) == (2, 3, 0, 0, True)
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 2 * evidence.MERGE_ROUNDS + 3
+    e = layered(spark, [(f"c{i:02d}", "Evidence" if i == 0 else "Claim", f"c{i:02d}", "{}", 0.9, None) for i in range(n)])
+    t = trips(spark, [(f"c{i:02d}", "supports", f"c{i + 1:02d}") for i in range(n - 1)] + [(f"c{n - 1:02d}", "derives_from", "c00")])
+    nodes = evidence.chain_nodes(e.where("type = 'Evidence'"), e, t)
+    assert sorted((r.id, r.level) for r in nodes.collect()) == [(f"c{i:02d}", i) for i in range(n)]
+    top = evidence.chain_summary(nodes, e, t).first()
+    assert (top.depth, top.nodes, top.gaps) == (n - 1, n, 0)
+    assert evidence.chain_text(nodes, e).first().text.count("\n") == n - 1
+
+
 def test_event_log(spark):
     log = spark.createDataFrame([(1, T0, "x", ["a", "b", "a"]), (2, T0, "y", ["a", "b", "c"]), (3, T0, "y", [])], "event_id long, ts timestamp, type string, objects array<string>")
     assert {(r.a, r.b): r.times for r in eventlog.collaboration(log).collect()} == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1}
