@@ -3,7 +3,7 @@
 Names are read into fields (``naming``); then spellings of one token (a surname, a place) are linked by suffix blocking:
 each token is indexed by suffixes of about half its length, and by the same of its reverse, which one typing error leaves
 intact on one side. A suffix that too many tokens share is used only together with another field (the initial of the given
-name, the kind of organisation, and beyond ``MAX_BLOCK`` tokens the two letters at the other end as well). Pairs of a block are
+name, the kind of organisation, and beyond ``MAX_BLOCK`` tokens the rest of the token with as many letters left out as may differ). Pairs of a block are
 compared by the ratio of their longest common subsequence. Each spelling points to the most frequent spelling near it, and
 pointers are followed to their end, so that links never chain through unlike names.
 
@@ -65,11 +65,12 @@ def block_keys(token: str) -> list[tuple[str, str]]:
     return out or [("=" + token, "")]
 
 
-def near_pairs(tokens: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """(scope, a, b, lost): pairs of tokens of one scope that differ by at most two letters; ``lost`` counts them.
+def near_pairs(tokens: DataFrame, max_block: int = MAX_BLOCK, most: int = 2) -> DataFrame:
+    """(scope, a, b, lost): pairs of tokens of one scope and block that differ by at most ``most`` letters; ``lost`` counts them.
 
     ``tokens``: scope, token, n. In blocks of more than ``max_block`` tokens the key is refined by the rest of the token with up to
-    one letter left out, which two tokens one error apart still share; so no block is cut and no such pair is lost.
+    ``most`` letters left out. Tokens of a block that differ by that many have such a rest in common, the letters that their rests
+    share in order; so no block is cut and no pair is lost.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +80,7 @@ def near_pairs(tokens: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, t, f"{k}|{d}") for s, t, k, r in zip(pdf["scope"], pdf["token"], pdf["key"], pdf["rest"]) for d in deletions(r, 1) | {r}]
+            rows = [(s, t, f"{k}|{d}") for s, t, k, r in zip(pdf["scope"], pdf["token"], pdf["key"], pdf["rest"]) for d in deletions(r, most) | ({""} if len(r) <= most else set())]
             yield pd.DataFrame(rows, columns=["scope", "token", "key"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +89,7 @@ def near_pairs(tokens: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
             for s, a, b in zip(pdf["scope"], pdf["a"], pdf["b"]):
                 common = lcs(a, b)
                 lost = max(len(a), len(b)) - common
-                if lost <= 2 and (2 * common >= RATIO * (len(a) + len(b)) or (lost == 1 and min(len(a), len(b)) >= 3)):
+                if lost <= most and (2 * common >= RATIO * (len(a) + len(b)) or (lost == 1 and min(len(a), len(b)) >= 3)):
                     rows.append((s, a, b, lost))
             yield pd.DataFrame(rows, columns=["scope", "a", "b", "lost"])
 
@@ -143,7 +144,7 @@ def organisations(affiliations: DataFrame) -> DataFrame:
     distinct = affiliations.where("affiliation is not null").groupBy("affiliation").agg(F.count("*").alias("n"))
     parsed = stable(distinct.mapInPandas(parse, "affiliation string, n long, kind string, place string"))
     tokens = stable(parsed.groupBy("kind", "place").agg(F.sum("n").alias("n")).select(F.col("kind").alias("scope"), F.col("place").alias("token"), "n"))
-    roots = canonical_tokens(tokens, near_pairs(tokens.where("token != ''")).where("lost <= 1"))
+    roots = canonical_tokens(tokens, near_pairs(tokens.where("token != ''"), most=1))
     return stable(_joined_root(parsed, roots, "kind", "place", "org_place").select("affiliation", "kind", F.col("org_place").alias("place")))
 
 
@@ -200,7 +201,7 @@ def persons(mentions: DataFrame, orgs: DataFrame | None = None) -> DataFrame:
 
     # given names: misspellings, and initials that the address completes
     tokens = seen.where("length(given) > 2").groupBy(F.col("given").alias("token")).agg(F.count("*").alias("n")).select(F.lit("").alias("scope"), "token", "n").transform(stable)
-    roots = canonical_tokens(tokens, near_pairs(tokens).where("lost <= 1"), GIVEN_RATIO).select(F.col("token").alias("given"), F.col("root").alias("g_root"))
+    roots = canonical_tokens(tokens, near_pairs(tokens, most=1), GIVEN_RATIO).select(F.col("token").alias("given"), F.col("root").alias("g_root"))
     seen = seen.join(roots, "given", "left").withColumn("given", F.coalesce("g_root", "given")).drop("g_root")
     known = words.select(F.col("word").alias("mail_word"))
     mail = F.when(F.col("mail_given") != "", F.col("mail_given")).otherwise(F.col("mail_letters"))

@@ -103,6 +103,23 @@ def test_refined_blocks_lose_no_pair(spark):
         assert got == want, most
 
 
+def test_refined_blocks_keep_pairs_two_letters_apart(spark):
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) + "grove" for _ in range(40)}
+    for w in sorted(words):
+        for _ in range(2):
+            v = list(w)
+            for _ in range(2):
+                i = rng.randrange(len(v) - 5) if len(v) > 5 else 0
+                how = rng.randrange(3)
+                v[i : i + (how != 1)] = [] if how == 0 else ["x"]
+            words.add("".join(v))
+    df = spark.createDataFrame([("s", w, 1) for w in sorted(words)], "scope string, token string, n long")
+    got = {m: {tuple(r) for r in L.near_pairs(df, m).collect()} for m in (1, 20, 200, 10_000)}
+    assert got[1] == got[20] == got[200] == got[10_000]
+    assert sum(lost == 2 for *_, lost in got[1]) > 20
+
+
 def test_many_mentions_of_one_spelling(spark):
     rows = [(f"k{i}", "Katherine Kuljafgrove", "NCHR Lohsidvos", None) for i in range(3000)] + [("x1", "Kate Kuljafgrove", None, None), ("x2", "K. Kuljafgrove", None, None)]
     assert L.person_pairs(frame(spark, rows)).count() == 2 * 3000 + 1
