@@ -26,6 +26,8 @@ IMPORTANCE = {
 }
 STOP_WORDS = "the and for with from that this are was were have has had into over under between using used source section figure table data model".split()
 MAX_CHUNK = 8000
+#: Tokens of a label or statement that are compared.
+MAX_TOKENS = 80
 
 
 def header_type(line: Column, source_type: Column) -> Column:
@@ -124,11 +126,11 @@ def validate_source_text(quote: Column, full: Column, threshold: float = 0.7) ->
     )
 
 
-def significant_tokens(c: Column) -> Column:
-    """Distinct tokens of four and more letters or digits without stop words, of the first 80 such tokens."""
+def significant_tokens(c: Column, most: int | None = MAX_TOKENS) -> Column:
+    """Distinct tokens of four and more letters or digits without stop words, of the first ``most`` such tokens; None: of all."""
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")), " ")
     kept = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS))
-    return F.array_distinct(F.slice(kept, 1, 80))
+    return F.array_distinct(kept if most is None else F.slice(kept, 1, most))
 
 
 def overlap(a: Column, b: Column) -> Column:

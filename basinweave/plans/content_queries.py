@@ -49,8 +49,8 @@ def t_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Documents per significant token, for tokens of at least 50 documents."""
-    rows = _docs(spark, d).select(F.explode(text.significant_tokens(F.col("text"))).alias("token"))
+    """Documents per significant token of their whole texts, for tokens of at least 50 documents."""
+    rows = _docs(spark, d).select(F.explode(text.significant_tokens(F.col("text"), None)).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("documents")).where("documents >= 50")
 
 

@@ -56,6 +56,16 @@ def test_source_text(spark, quote, full, want):
     assert tuple(row) == want
 
 
+def test_document_counts_read_whole_texts(spark, tmp_path):
+    from basinweave.plans.content_queries import t_tokens
+
+    body = " ".join(f"tok{i:03d}" for i in range(100))
+    rows = [(i, body + " lastword lastword", "Report") for i in range(50)] + [(99, "tok000", "Report"), (100, None, "Report")]
+    spark.createDataFrame(rows, "doc_id long, text string, source_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.token: r.documents for r in t_tokens(spark, str(tmp_path)).collect()}
+    assert got == {f"tok{i:03d}": 50 + (i == 0) for i in range(100)} | {"lastword": 50}
+
+
 def test_tokens_and_overlap(spark):
     many = " ".join(f"tok{i:03d}" for i in range(100))
     assert len(one(spark, many + " tok000", text.significant_tokens(F.col("v")))) == 80
