@@ -5,7 +5,8 @@ What is known of a file decides, in this order:
        within a file later lines win, and files of deeper directories win over those above them;
     2. equivalent patterns for repositories that declare nothing: directories of package managers and copies, names that tools
        give to their output;
-    3. the content, where it is known: notices of generators, licence banners of other projects, code without blanks, serial
+    3. the content, where it is known: notices of generators and licence banners of other projects in the first lines and in all
+       comments above the code, code without blanks, serial
        numbering, literals that fill the file;
     4. mined names: a file name (without number of version) whose known contents are third-party copies in at least
        ``MINED_REPOS`` repositories and ``MINED_SHARE`` of all known contents stands for a copy where its content is unknown.
@@ -49,6 +50,8 @@ _NOTICE = re.compile(
 )
 _NEGATED = re.compile(r"\b(?:edit(?:ed)? by hand|nothing here|not (?:auto|generated)|never generated|hand-?written)\b", re.I)
 _COMMENT = re.compile(r"""^\s*(?:#|//|/\*|\*|"{3}|'{3}|<!--|;)""")
+_OPEN = re.compile(r"""/\*|<!--|"{3}|'{3}""")
+_CLOSE = {"/*": "*/", "<!--": "-->"}
 _VERSION = r"v?\d+(?:\.\d+)+"
 _BANNER = (
     re.compile(rf"@license\s+(?P<n>[\w@/.-]+?)(?:\s+{_VERSION}|\s*$)", re.I | re.M),
@@ -129,16 +132,40 @@ def other_banner(head: str, own: set[str]) -> bool:
     return False
 
 
+def leading_comments(lines: list[str]) -> list[str]:
+    """Lines of the comments above the first code, however many; of doc strings the lines that look like comments."""
+    out: list[str] = []
+    close = None
+    for line in lines:
+        bare = line.strip()
+        inner = bare
+        if close is None:
+            if bare and not _COMMENT.match(line):
+                break
+            if m := _OPEN.match(bare):
+                close, inner = _CLOSE.get(m[0], m[0]), bare[m.end() :]
+        comment = close in _CLOSE.values() or _COMMENT.match(line)
+        if close is not None and close in inner:
+            if code := inner.partition(close)[2].strip():
+                out += [line[: len(line.rstrip()) - len(code)]] if comment else []
+                break
+            close = None
+        if comment:
+            out.append(line)
+    return out
+
+
 def content_kind(text: str | None, own: set[str]) -> str | None:
     """generated, minified, vendored or data; None for hand-written source and unknown content."""
     if not text or not text.strip():
         return None
     lines = text.splitlines()
     head = "\n".join(line for line in lines[:12] if _COMMENT.match(line) or len(line) < 200)[:4000]
-    for i, line in enumerate(lines[:6]):
-        if (i == 0 or _COMMENT.match(line)) and len(line) < 200 and _NOTICE.search(line) and not _NEGATED.search(line):
+    top = leading_comments(lines)
+    for line in [*lines[:1], *(line for line in lines[1:6] if _COMMENT.match(line)), *top]:
+        if len(line) < 200 and _NOTICE.search(line) and not _NEGATED.search(line):
             return "generated"
-    comments = "\n".join(line for line in head.splitlines() if _COMMENT.match(line))
+    comments = "\n".join([*(line for line in head.splitlines() if _COMMENT.match(line)), *top])
     if other_banner(comments, own):
         return "vendored"
     code = [line for line in lines if line.strip() and not _COMMENT.match(line)]

@@ -41,6 +41,20 @@ def test_content(text, kind):
     assert S.content_kind(text, {"me", "my-tool"}) == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("# licence text\n" * 40 + "\n# Code generated by gridgen 0.24. DO NOT EDIT.\n" + HAND_PY, "generated"),
+        ("/*\n" + "   licence text\n" * 40 + "   Code generated by gridgen. DO NOT EDIT.\n*/\n" + HAND_JS, "generated"),
+        ("// licence text of some length, all rights kept\n" * 200 + "// @license geozip 1.2\n" + HAND_JS, "vendored"),
+        ("/* licence text */\n" * 20 + HAND_JS + "// Code generated by gridgen. DO NOT EDIT.\n", None),
+        ("/* a */\n" * 20 + 'const a = 1; /* b */\nconst s = "Code generated by gridgen";\n' + HAND_JS, None),
+    ],
+)
+def test_long_headers(text, kind):
+    assert S.content_kind(text, {"me", "my-tool"}) == kind
+
+
 def test_attribute_precedence():
     files = {
         ".gitattributes": "lib/** linguist-vendored\n*.gen.py linguist-generated=true\n# *.py linguist-generated\n",
