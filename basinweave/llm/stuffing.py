@@ -1,10 +1,14 @@
 """Keyword-stuffed pages and pages of links, tags or product lines.
 
-The words of a page are read in windows, and for each word the gap to its last occurrence is measured. Writing reuses its
-content words irregularly and far apart; stuffing brings them back at short, regular lags. A window counts as stuffed if
-    * content words recur within ``SHORT_LAG`` words (the sum of the positional autocorrelation over these lags) too often,
+The gaps between the occurrences of each term are measured over the whole page. Writing reuses its content words irregularly and far
+apart; stuffing brings them back at short or at regular lags. The words of a page are judged in windows; one is stuffed if
+    * content words recur within ``SHORT_LAG`` words (the positional autocorrelation over these lags) too often,
     * or recur within ``LONG_LAG`` words almost always while function words are few,
-    * or function words are all but absent: a list of distinct nouns, links, tags or products.
+    * or most content words recur regularly: the gaps of their term hardly vary (``EVEN``), or their lag, to the occurrence before or
+      the one before that, lies in a window of lags, anywhere up to the length of the page, in which the autocorrelation of the whole
+      page has a peak (``PEAK``),
+    * or function words are all but absent and there are no sentences either: a list of distinct nouns, links, tags or products.
+      Sentences are told by their ends, so that prose in a language whose function words are not listed is none.
 A page is reported if stuffed windows hold more than ``SHARE`` of its words. Numbered references, table rows and headers say
 nothing either way and are left out; an address is one word in its window and ``URL_WORDS`` in the share.
 
@@ -19,12 +23,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SHORT_LAG, LONG_LAG = 24, 5, 24
-SHORT_RECUR, LONG_RECUR = 0.4, 0.6
+SHORT_RECUR, LONG_RECUR, REGULAR = 0.4, 0.6, 0.6
+#: Regular recurrence: greatest deviation of a term's gaps, by their mean, from this many gaps on; least share of the content words
+#: in one window of lags (of lags that the page holds so many times), and the width of these windows by the lag.
+EVEN, EVEN_GAPS, PEAK, LAG_WIDTH = 0.25, 6, 0.25, 0.05
+#: Words of a sentence at least, on average, where its ends are taken for those of prose.
+SENTENCE_WORDS = 4
 FEW_FUNCTION, SOME_FUNCTION, CJK_FUNCTION = 0.08, 0.2, 0.035
 SHARE, LEAST_WORDS, URL_WORDS = 0.5, 25, 4
 
@@ -42,33 +52,85 @@ FUNCTION_WORDS = frozenset(
 )
 _PARTICLES = frozenset("的了在是和与为於于及或但而被把从对由也都就着过其此该中仍已将")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_TOKEN = re.compile(r"https?://\S+|www\.\S+|[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+", re.I)
-_URL = "\x00url"
+_TOKEN = re.compile(r"\x01|https?://\S+|www\.\S+|[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+", re.I)
+_URL, _END = "\x00url", "\x01"
+_ENDS = re.compile(r"[.!?…]+(?=[\"'”»)\]]*(?:\s|$))|[。！？]")
 _TAG = re.compile(r"<[/a-z!][^<>]{0,2000}>", re.I)
 _NEUTRAL = re.compile(r"^\s*(?:#{1,6}\s|\||\[\d+\]|\d{1,3}[.)]\s.*\(\d{4}\)|[-=*_\s]{3,}$)")
 
 
 def page_words(text: str) -> list[str]:
-    """Words of the lines that count; a tag with an address in it is that address, others are blanks."""
+    """Words of the lines that count, and ends of sentences; a tag with an address in it is that address, others are blanks."""
     if "<" in text:
         text = _TAG.sub(lambda m: " http://x " if "http" in m[0] else " ", text)
-    lines = [line for line in text.splitlines() if not _NEUTRAL.match(line)]
-    return [_URL if w[:4] == "http" or w[:4] == "www." else w for w in _TOKEN.findall("\n".join(lines).lower())]
-
-
-def page_weights(words: list[str]) -> tuple[int, int]:
+    lines = [line for line in text.replace(_END, " ").splitlines() if not _NEUTRAL.match(line)]
+    marked = _ENDS.sub(f" {_END} ", "\n".join(lines).lower())
+    return [_URL if w[:4] == "http" or w[:4] == "www." else w for w in _TOKEN.findall(marked)]
+
+
+def regular_words(codes: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Whether each content word recurs regularly; ``codes`` numbers the terms of a page."""
+    n = len(codes)
+    regular = np.zeros(n, bool)
+    at = np.flatnonzero(content)
+    if len(at) < 2 * EVEN_GAPS:
+        return regular
+    order = at[np.argsort(codes[at], kind="stable")]
+    term = codes[order]
+    # gaps of each term, and how much they vary
+    gap = np.diff(order)
+    same = term[1:] == term[:-1]
+    gaps, of = gap[same].astype(float), term[1:][same]
+    size = int(codes.max()) + 1
+    count = np.bincount(of, minlength=size)
+    mean = np.bincount(of, gaps, size) / np.maximum(count, 1)
+    spread = np.sqrt(np.maximum(np.bincount(of, gaps * gaps, size) / np.maximum(count, 1) - mean**2, 0))
+    even = (count >= EVEN_GAPS) & (spread <= EVEN * mean)
+    regular[order] = even[term]
+    # peaks of the autocorrelation, over lags to the last occurrence and the one before it
+    for step in (1, 2):
+        if len(order) <= step:
+            break
+        hit = term[step:] == term[:-step]
+        late, early = order[step:][hit], order[:-step][hit]
+        often = (late - early) * (EVEN_GAPS + 1) <= n
+        late, early = late[often], early[often]
+        if not len(late):
+            continue
+        lag = late - early
+        # windows of lags as wide as LAG_WIDTH of the lag, and the same shifted by half
+        for shift in (0.0, 0.5):
+            bin_ = np.floor(np.log(lag) / np.log1p(LAG_WIDTH) + shift).astype(np.int64)
+            peak = np.bincount(bin_) >= PEAK * len(at)
+            hot = peak[bin_]
+            regular[late[hot]] = True
+            regular[early[hot]] = True
+    return regular
+
+
+def page_weights(tokens: list[str]) -> tuple[int, int]:
     """(words in stuffed windows, all words); an address counts as ``URL_WORDS``.
 
-    The gap of a word is that to its nearest occurrence on either side.
+    The gap of a word within short lags is that to its nearest occurrence on either side.
     """
+    words: list[str] = []
+    ends = []  # of sentences: numbers of the words before them
+    for w in tokens:
+        if w != _END:
+            words.append(w)
+        elif words:
+            ends.append(len(words) - 1)
     n = len(words)
     last: dict[str, int] = {}
+    number: dict[str, int] = {}
+    codes = np.zeros(n, np.int64)
     near = bytearray(n)  # 2: recurs within SHORT_LAG, 1: within LONG_LAG
     function = bytearray(n)
     for i, w in enumerate(words):
         if w in FUNCTION_WORDS or w in _PARTICLES:
             function[i] = 1
             continue
+        codes[i] = number.setdefault(w, len(number))
         j = last.get(w)
         if j is not None and i - j <= LONG_LAG:
             mark = 2 if i - j <= SHORT_LAG else 1
@@ -77,21 +139,29 @@ def page_weights(words: list[str]) -> tuple[int, int]:
             if near[j] < mark:
                 near[j] = mark
         last[w] = i
+    regular = regular_words(codes, np.frombuffer(function, np.uint8) == 0) if n else np.zeros(0, bool)
+    closed = np.bincount(np.array(ends, np.int64) // WINDOW, minlength=n // WINDOW + 3) if ends else np.zeros(n // WINDOW + 3, np.int64)
     stuffed = total = 0
-    for a in range(0, n, WINDOW):
+    for k, a in enumerate(range(0, n, WINDOW)):
         part, marks = words[a : a + WINDOW], near[a : a + WINDOW]
         size = len(part)
         weight = size + (URL_WORDS - 1) * part.count(_URL)
         total += weight
         few = sum(function[a : a + WINDOW])
         share, content = few / size, size - few
+        prose = closed[k] <= size / SENTENCE_WORDS and (closed[k] > 0 or (k > 0 and closed[k - 1] > 0 and closed[k + 1] > 0))
         # Chinese characters recur as parts of different words, so there only the absence of particles tells
         if sum(1 for w in part if len(w) == 1 and _CJK.match(w)) > size / 2:
             if share < CJK_FUNCTION:
                 stuffed += weight
             continue
         short = marks.count(2)
-        if share < FEW_FUNCTION or short >= SHORT_RECUR * content or (short + marks.count(1) >= LONG_RECUR * content and share < SOME_FUNCTION):
+        if (
+            (share < FEW_FUNCTION and not prose)
+            or (content and regular[a : a + WINDOW].sum() >= REGULAR * content)
+            or short >= SHORT_RECUR * content
+            or (short + marks.count(1) >= LONG_RECUR * content and share < SOME_FUNCTION)
+        ):
             stuffed += weight
     return stuffed, total
 

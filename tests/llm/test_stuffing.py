@@ -9,6 +9,25 @@ LINKS = "\n".join(f"- [Soil Map {x}](https://{x}.example/a/{i})" for i, x in enu
 PRODUCTS = "\n".join(f"Rain Gauge {k} / SKU {i}123 / pro / {i}.99 USD" for i, k in enumerate(["Kit", "Mini", "Pro", "Set"] * 3))
 
 
+#: A long text whose content words come back irregularly, and prose in languages whose function words are not listed.
+_PARTS = ["the river", "a station", "the map", "this model", "the bay", "its bank"], ["carries", "hides", "shows", "keeps", "moves"], ["old sand", "much rain", "some data", "clear water", "new silt"]
+LONG = ". ".join(" ".join(random.Random(k).choice(x) for x in _PARTS).capitalize() + f" in {random.Random(k).choice(['spring', 'summer', 'autumn'])} and by the town" for k in range(3000)) + "."
+FOREIGN = (
+    "Река несет песок из верхней долины в широкий залив. Весной уровень воды быстро поднимается и затапливает низкие берега у города. Летом здесь почти не бывает дождей.",
+    "Rzeka niesie piasek z górnej doliny do szerokiej zatoki. Wiosną poziom wody szybko rośnie i zalewa niskie brzegi koło miasta. Latem prawie nie pada tutaj deszcz.",
+    "Joki kuljettaa hiekkaa ylälaaksosta leveään lahteen. Keväällä vedenpinta nousee nopeasti ja peittää matalat rannat. Kesällä täällä ei juuri sada.",
+)
+BLOCK = "the river carries sand from the upper valley to the wide bay where it settles and forms new banks that move with each storm and every spring flood while the people of the town watch from the bridge"
+
+
+def test_regular_recurrence():
+    assert S.stuffed_share((BLOCK + ". ") * 20) == S.stuffed_share((BLOCK + " ") * 20) == 1
+    rng = random.Random(2)
+    for every in (5, 9, 13, 21):
+        page = " ".join("flood" if i % every == 0 else rng.choice("the of to in on at by for with from into onto over under about between".split()) for i in range(400))
+        assert S.stuffed_share(page) == 1, every
+
+
 def test_stuffed():
     rng = random.Random(5)
     words = [rng.choice(["flood map", "soil map", "cheap flood map", "gis data"]) for _ in range(60)]
@@ -29,7 +48,7 @@ def test_not_stuffed():
         None, "", " \n ", "flood map flood map", ARTICLE, ARTICLE + "\n" + refs, ARTICLE + "\n" + table, ARTICLE + "\nKeywords: flood, map, soil, data, gauge",
         "结果表明,上游水库改变了季节分配。土壤湿度的误差约为2.52。研究区位于河谷附近,资料较少。" * 5,
         "Größere Abweichungen treten vor allem im Sommer auf. Die Unsicherheit beträgt rund 0.34. Im Gebiet um Ulm fehlen mehrere Messreihen. " * 6,
-        "La evaluación del riesgo sigue siendo incierta. El error medio fue de 2.94 en la estación seca. " * 8, ARTICLE * 300,
+        "La evaluación del riesgo sigue siendo incierta. El error medio fue de 2.94 en la estación seca. " * 4, LONG, *FOREIGN,
     ):
         assert S.stuffed_share(page) <= S.SHARE, (page or "")[:80]
 
