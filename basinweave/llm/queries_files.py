@@ -15,8 +15,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files per kind; those written by hand or unknown have none."""
-    files = sourcefiles.classify_files(table(spark, sf_dir, "repositories")).select("full_name", "path", "kind").distinct()
+    """Source files per kind, as ``p3_found`` has them; those written by hand or unknown have none."""
+    files = sourcefiles.file_kinds(table(spark, sf_dir, "repositories"))
     return files.groupBy("kind").agg(F.count("*").alias("files"), F.countDistinct("full_name").alias("repositories"))
 
 

@@ -3,15 +3,15 @@
 What is known of a file decides, in this order:
     1. attribute files (``.gitattributes``): lines that set or unset ``linguist-generated`` or ``linguist-vendored`` for a glob;
        within a file later lines win, and files of deeper directories win over those above them;
-    2. equivalent patterns for repositories that declare nothing: directories of package managers and copies, names that tools
-       give to their output;
+    2. patterns for repositories that declare nothing, equivalent to what such files commonly mark: directories of package managers
+       and copies, names that tools give to their output;
     3. the content, where it is known: notices of generators and licence banners of other projects in the first lines and in all
-       comments above the code, code without blanks, serial
-       numbering, literals that fill the file;
-    4. mined names: a file name (without number of version) whose known contents are third-party copies in at least
-       ``MINED_REPOS`` repositories and ``MINED_SHARE`` of all known contents stands for a copy where its content is unknown.
+       comments above the code, code without blanks, serial numbering, literals that fill the file; text inside a string is no notice;
+    4. mined patterns: a directory name, the last part of a file name (``*_pb2.py``) or a file name (without number of version) of
+       which the files known by 1 and 3 are marked in at least ``MINED_REPOS`` repositories and by ``MINED_SHARE`` of all files known
+       marks the files of which nothing else is known, in any repository; a directory needs as many different names in it.
 
-Classification is narrow; only the mined names, a table of file names with two sums each, are aggregated and joined back.
+Classification is narrow; only the mined patterns, a table with three sums each, are aggregated and joined back.
 
 Defined cases: null trees, paths and contents are unknown, not hand-written; backslashes separate like slashes; files of other
 kinds are no case; repeated fetches of a repository count together; empty tables give empty results; extra columns are ignored.
@@ -162,7 +162,8 @@ def content_kind(text: str | None, own: set[str]) -> str | None:
     lines = text.splitlines()
     head = "\n".join(line for line in lines[:12] if _COMMENT.match(line) or len(line) < 200)[:4000]
     top = leading_comments(lines)
-    for line in [*lines[:1], *(line for line in lines[1:6] if _COMMENT.match(line)), *top]:
+    first = [line if _COMMENT.match(line) else _LITERAL.sub("", line) for line in lines[:1]]
+    for line in [*first, *(line for line in lines[1:6] if _COMMENT.match(line)), *top]:
         if len(line) < 200 and _NOTICE.search(line) and not _NEGATED.search(line):
             return "generated"
     comments = "\n".join([*(line for line in head.splitlines() if _COMMENT.match(line)), *top])
@@ -202,7 +203,17 @@ def name_stem(path: str) -> str:
     return re.sub(r"[-_.]?v?\d+(?:\.\d+)+", "", base)
 
 
-FILE_SCHEMA = "full_name string, path string, stem string, known boolean, usual boolean, kind string, copy boolean"
+_LAST_PART = re.compile(r"[._-][^/._-]+\.(?:py|js)$")
+
+
+def path_patterns(clean: str) -> list[str]:
+    """The patterns that are mined, of one path: its directories, the last part of its name, and its name."""
+    low = clean.lower()
+    last = _LAST_PART.search(low)
+    return sorted({f"{d}/" for d in low.split("/")[:-1] if d} | {name_stem(low)} | ({f"*{last[0]}"} if last else set()))
+
+
+FILE_SCHEMA = "full_name string, path string, stem string, patterns array<string>, known boolean, usual boolean, kind string"
 
 
 def classify_files(repositories: DataFrame) -> DataFrame:
@@ -229,8 +240,8 @@ def classify_files(repositories: DataFrame) -> DataFrame:
                     else:
                         kind = usual or inside
                     known = text is not None or said is not None
-                    out.append((name, path, name_stem(clean), known, usual is not None, kind, inside == "vendored"))
-            yield pd.DataFrame(out, columns=["full_name", "path", "stem", "known", "usual", "kind", "copy"])
+                    out.append((name, path, name_stem(clean), path_patterns(clean), known, usual is not None and said is None, kind))
+            yield pd.DataFrame(out, columns=["full_name", "path", "stem", "patterns", "known", "usual", "kind"])
 
     rows = repositories.where("full_name is not null and tree is not null").select(
         "full_name", "tree", F.map_keys("key_files").alias("names"), F.map_values("key_files").alias("texts")
@@ -238,17 +249,25 @@ def classify_files(repositories: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, FILE_SCHEMA)
 
 
-def mined_names(files: DataFrame) -> DataFrame:
-    """(stem) of the file names that stand for third-party copies, by the contents known outside the usual directories."""
-    seen = files.where("known and not usual")
-    sums = seen.groupBy("stem").agg(
-        F.approx_count_distinct(F.when(F.col("copy"), F.col("full_name"))).alias("repos"), F.avg(F.col("copy").cast("int")).alias("share")
-    )
-    return sums.where((F.col("repos") >= MINED_REPOS) & (F.col("share") >= MINED_SHARE)).select("stem")
+def mined_patterns(files: DataFrame) -> DataFrame:
+    """(pattern) of all patterns that stand for files nobody wrote by hand, by what is known outside the usual ones."""
+    seen = files.where("known and not usual").select("full_name", "stem", F.explode("patterns").alias("pattern"), F.col("kind").isNotNull().alias("marked"))
+    few = lambda c: F.approx_count_distinct(F.when(F.col("marked"), F.col(c)))  # noqa: E731 (as good as exact for counts as low as these)
+    sums = seen.groupBy("pattern").agg(few("full_name").alias("repos"), few("stem").alias("names"), F.avg(F.col("marked").cast("int")).alias("share"))
+    wide = ~F.col("pattern").endswith("/") | (F.col("names") >= MINED_REPOS)
+    return sums.where((F.col("repos") >= MINED_REPOS) & (F.col("share") >= MINED_SHARE) & wide).select("pattern")
+
+
+def file_kinds(repositories: DataFrame) -> DataFrame:
+    """(full_name, path, kind) of each source file: declared, generated, minified, vendored, data, mined; null if written by hand."""
+    files = stable(classify_files(repositories.select("full_name", "tree", "key_files")))  # read three times below
+    unknown = files.where("kind is null and not known").select("full_name", "path", F.explode("patterns").alias("pattern"))
+    mined = unknown.join(mined_patterns(files), "pattern").select("full_name", "path", F.lit("mined").alias("kind"))
+    both = files.select("full_name", "path", "kind").unionByName(mined)
+    # of repeated fetches with different contents, and of equal rows, one kind: by name, any before none
+    return both.groupBy("full_name", "path").agg(F.min("kind").alias("kind"))
 
 
 def found_files(repositories: DataFrame) -> DataFrame:
     """(full_name, path) of all source files that nobody wrote by hand."""
-    files = stable(classify_files(repositories.select("full_name", "tree", "key_files")))  # read three times below
-    unknown = files.where("kind is null and not known").join(mined_names(files), "stem", "left_semi")
-    return files.where("kind is not null").select("full_name", "path").unionByName(unknown.select("full_name", "path")).distinct()
+    return file_kinds(repositories).where("kind is not null").select("full_name", "path")

@@ -27,6 +27,9 @@ PAYLOAD = "PAYLOAD = (\n" + "".join(f'    b"{"aG9Kx3" * 12}{i}"\n' for i in rang
         ("/*!\n * @license geozip 1.2\n */\n" + HAND_JS, "vendored"),
         ("# Code generated by gridgen 0.24. DO NOT EDIT.\n" + HAND_PY, "generated"),
         ("# Automatisch erzeugt, nicht bearbeiten\n" + HAND_PY, "generated"),
+        ("HEAD = '# Code generated by gridgen. DO NOT EDIT.'\n" + HAND_PY, None),
+        ("const HEAD = '// Code generated by gridgen. DO NOT EDIT.';\n" + HAND_JS, None),
+        ('"""Autogenerated bindings, see tools/bind.cfg"""\n' + HAND_PY, "generated"),
         (SERIAL, "generated"),
         (MINIFIED, "minified"),
         ("/* app */\n" + MINIFIED + "\n//# sourceMappingURL=app.map\n", "minified"),
@@ -80,3 +83,18 @@ def test_files(spark):
     want = {("o/r", p) for p in ("src/b.js", "a\\node_modules\\y.js", "app.min.js", "z_pb2.py", "src/gen.py")}
     assert got == want | {(f"m/{i}", "lib/quux.js") for i in range(6)} | {("m/last", "js/quux.js")}
     assert S.found_files(df.limit(0)).count() == 0
+
+
+def test_declared_and_undeclared_repositories_meet(spark):
+    """Patterns mined from repositories that declare files mark the files of those that declare nothing."""
+    attributes = "bindings/** linguist-generated\n*-stub.py linguist-generated=true\nlib/quux.js linguist-vendored\nlib/own.js -linguist-vendored\n"
+    trees = [[f"bindings/a{i}.py", "src/b-stub.py", "lib/quux.js", "lib/own.js", "src/hand.py"] for i in range(5)]
+    rows = [(f"d/{i}", tree, {".gitattributes": attributes, "src/hand.py": HAND_PY}) for i, tree in enumerate(trees)]
+    rows += [("u/one", ["x/bindings/deep/c.js", "core/z-stub.py", "static/quux-1.2.js", "lib/new.js", "src/z.py"], None)]
+    rows += [("u/two", ["lib/own.js", "bindings/d.py"], {"bindings/d.py": HAND_PY})]
+    df = spark.createDataFrame(rows, "full_name string, tree array<string>, key_files map<string,string>")
+    got = {(r.full_name, r.path): r.kind for r in S.file_kinds(df).collect() if r.kind}
+    want = {(f"d/{i}", p): "declared" for i in range(5) for p in trees[i][:3]} | {("u/one", p): "mined" for p in ("x/bindings/deep/c.js", "core/z-stub.py", "static/quux-1.2.js")}
+    assert got == want
+    few = {(r.full_name, r.path) for r in S.found_files(df.where("full_name != 'd/0'")).collect()}
+    assert not {k for k in few if k[0].startswith("u/")}
