@@ -91,7 +91,7 @@ def test_declared_and_undeclared_repositories_meet(spark):
     trees = [[f"bindings/a{i}.py", "src/b-stub.py", "lib/quux.js", "lib/own.js", "src/hand.py"] for i in range(5)]
     rows = [(f"d/{i}", tree, {".gitattributes": attributes, "src/hand.py": HAND_PY}) for i, tree in enumerate(trees)]
     rows += [("u/one", ["x/bindings/deep/c.js", "core/z-stub.py", "static/quux-1.2.js", "lib/new.js", "src/z.py"], None)]
-    rows += [("u/two", ["lib/own.js", "bindings/d.py"], {"bindings/d.py": HAND_PY})]
+    rows += [("u/two", ["lib/own.js", "lib/two.js"], {"lib/own.js": HAND_JS})]
     df = spark.createDataFrame(rows, "full_name string, tree array<string>, key_files map<string,string>")
     got = {(r.full_name, r.path): r.kind for r in S.file_kinds(df).collect() if r.kind}
     want = {(f"d/{i}", p): "declared" for i in range(5) for p in trees[i][:3]} | {("u/one", p): "mined" for p in ("x/bindings/deep/c.js", "core/z-stub.py", "static/quux-1.2.js")}
