@@ -5,16 +5,19 @@ variants, then verified), and the repaired tokens are combined by soft TF-IDF in
 run of letters counts as a token as well, so that lost, added or misplaced blanks do no harm. A value that is cut off is taken
 as the only entry that begins with it.
 
+Tokens longer than ``LONG`` letters are not blocked by deletion variants, of which they have too many, but by ``PARTS`` parts: two
+edits leave one of them whole, at most two places away. So tokens of any length are repaired.
+
 Only distinct values and tokens are worked on; the records are joined back to their values at the end. The reference list
-(entries, synonyms, their tokens and deletion variants) is a fixed table; it is read on the driver, checked against
-``MAX_ENTRIES`` and sent with the functions.
+(entries and other names) is a fixed table; it is read on the driver, may have ``MAX_ENTRIES`` entries and as many other names (more
+are an error), and is sent with the functions. Its blocks are a table that is joined, broadcast only up to ``SENT_BLOCKS`` rows.
 
 Defined cases
     * null and blank values, and values that are exactly an entry, are no case;
     * a value that means no entry gives ``UNMATCHED``; so does an empty list or one that is ambiguous to the letter (a
       cut-off value that begins several entries);
     * equal scores are settled by the smaller edit distance, then by the entry's name; repeated records count once;
-    * very long values are whole tokens like any other; empty tables give empty results; extra columns are ignored.
+    * very long values and words are read and repaired like any other; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +38,9 @@ from basinweave.llm.lexicon import FIELD_SYNONYMS, FILLER
 UNMATCHED = "UNMATCHED"
 MAX_EDITS = 2
 MAX_ENTRIES = 100_000
+LONG, PARTS = 20, 6
+#: Rows of the blocks of a vocabulary that are broadcast (about 10 MB); more are joined like any table.
+SENT_BLOCKS = 200_000
 THRESHOLD = 0.78
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -102,6 +109,24 @@ def deletions(token: str, most: int = MAX_EDITS) -> set[str]:
     return out
 
 
+def blocks(token: str, most: int, known: bool) -> set[str]:
+    """Keys under which a token meets all words within ``most`` edits; ``known`` for words of the vocabulary."""
+    n = len(token)
+    out: set[str] = set()
+    if n <= LONG + (0 if known else MAX_EDITS):
+        out |= deletions(token, most)
+    if known:
+        sizes, shifts = ([n] if n > LONG else []), (0,)
+    else:
+        sizes, shifts = [x for x in range(n - most, n + most + 1) if x > LONG], range(-most, most + 1)
+    for size in sizes:
+        step = size / PARTS
+        for k in range(PARTS):
+            a, b = int(k * step), int((k + 1) * step)
+            out |= {f"{size}|{k}|{token[a + x : b + x]}" for x in shifts if a + x >= 0 and b + x <= n}
+    return out
+
+
 class Reference:
     """A reference list with its surfaces: each surface is an entry written in one way, as tokens and as one run of letters."""
 
@@ -122,6 +147,7 @@ class Reference:
             if not camel and len(words) >= 3:
                 surfaces.setdefault(("".join(w[0] for w in words).lower(),), e)
             self.names[fold(e)] = e
+        self.starts = sorted(self.names)
         self.surfaces = sorted(surfaces.items())
         count: dict[str, int] = defaultdict(int)
         for toks, _ in self.surfaces:
@@ -141,7 +167,8 @@ class Reference:
         start = re.sub(r"[\s.…]+$", "", fold(value)).strip()
         if len(start) < 4:
             return None
-        hits = {e for name, e in self.names.items() if name.startswith(start)}
+        at = bisect_left(self.starts, start)
+        hits = {self.names[name] for name in self.starts[at : at + 2] if name.startswith(start)}
         return hits.pop() if len(hits) == 1 else None
 
     def best(self, toks: list[str], compact: str, repairs: dict[str, list[tuple[str, int]]]) -> str | None:
@@ -174,15 +201,20 @@ class Reference:
 
 def token_repairs(tokens: DataFrame, reference: Reference) -> DataFrame:
     """(token, word, edits): each distinct token joined to the vocabulary words within its allowed edits."""
-    spark = tokens.sparkSession
     words = sorted(reference.by_token)
-    variants = [(w, v) for w in words for v in (deletions(w) if len(w) <= 40 else {w})]
-    vocabulary = spark.createDataFrame(pd.DataFrame(variants, columns=["word", "variant"]), "word string, variant string")
+    listed = tokens.sparkSession.createDataFrame(pd.DataFrame({"word": words}, dtype=object), "word string")
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(t, v) for t in pdf["token"] for v in (deletions(t, allowed_edits(len(t))) if len(t) <= 42 else (t,))]
-            yield pd.DataFrame(rows, columns=["token", "variant"])
+    def expand(known: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(t, v) for t in pdf.iloc[:, 0] for v in blocks(t, MAX_EDITS if known else allowed_edits(len(t)), known)]
+                yield pd.DataFrame(rows, columns=["word" if known else "token", "block"])
+
+        return run
+
+    vocabulary = listed.mapInPandas(expand(True), "word string, block string")
+    if sum(1 + len(w) * (len(w) + 1) // 2 if len(w) <= LONG else PARTS for w in words) <= SENT_BLOCKS:
+        vocabulary = F.broadcast(vocabulary)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -192,12 +224,7 @@ def token_repairs(tokens: DataFrame, reference: Reference) -> DataFrame:
             most = [allowed_edits(min(len(t), len(w))) for t, w in zip(out["token"], out["word"])]
             yield out[[x <= m for x, m in zip(d, most)]]
 
-    pairs = (
-        tokens.mapInPandas(expand, "token string, variant string")
-        .join(F.broadcast(vocabulary), "variant")  # bounded: MAX_ENTRIES and 40 letters a word
-        .select("token", "word")
-        .distinct()
-    )
+    pairs = tokens.mapInPandas(expand(False), "token string, block string").join(vocabulary, "block").select("token", "word").distinct()
     return pairs.mapInPandas(verify, "token string, word string, edits int")
 
 
@@ -234,24 +261,35 @@ def map_values(values: DataFrame, reference: Reference) -> DataFrame:
 
 def canonical_values(records: DataFrame, id_col: str, value_col: str, reference: Reference, tbl: str) -> DataFrame:
     """(tbl, record_id, canonical) of all records whose value is neither null nor blank nor exactly an entry."""
-    entries = [e for e in set(reference.names.values())]
+    entries = records.sparkSession.createDataFrame(pd.DataFrame({"value": sorted(set(reference.names.values()))}, dtype=object), "value string")
     cases = (
         records.select(F.col(id_col).alias("record_id"), F.col(value_col).alias("value"))
-        .where(F.col("record_id").isNotNull() & F.col("value").rlike(r"(?U)\S") & ~F.col("value").isin(entries))
+        .where(F.col("record_id").isNotNull() & F.col("value").rlike(r"(?U)\S"))
+        .join(entries, "value", "left_anti")
         .distinct()
     )
     mapped = map_values(cases.select("value").distinct(), reference)
     return cases.join(mapped, "value").select(F.lit(tbl).alias("tbl"), "record_id", "canonical").distinct()
 
 
-def field_reference(research_fields: DataFrame) -> Reference:
-    """Reference of the research fields, with the lexicon's other names."""
-    names = [r[0] for r in research_fields.select("name").limit(MAX_ENTRIES + 1).collect()]
-    return Reference(names, [(s, e) for e, all_ in FIELD_SYNONYMS.items() if e in names for s in all_])
+def bounded_rows(df: DataFrame, *columns: str) -> list[tuple]:
+    """The different rows of a fixed table without nulls; an error if they are more than ``MAX_ENTRIES``."""
+    rows = df.select(*columns).dropna().distinct().limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"a reference list and its other names may have {MAX_ENTRIES} rows each")
+    return [tuple(r) for r in rows]
+
+
+def field_reference(research_fields: DataFrame, synonyms: dict[str, tuple[str, ...]] = FIELD_SYNONYMS) -> Reference:
+    """Reference of the research fields, with other names: those of ``synonyms`` (by default the lexicon's) and their scope notes."""
+    notes = [(note, name) for name, note in bounded_rows(research_fields, "name", "scope_note")]
+    names = [r[0] for r in bounded_rows(research_fields, "name")]
+    known = set(names)
+    return Reference(names, [*notes, *((s, e) for e, all_ in synonyms.items() if e in known for s in all_)])
 
 
 def type_reference(ontology_types: DataFrame, type_alias: DataFrame) -> Reference:
     """Reference of the ontology's types, with their aliases."""
-    names = [r[0] for r in ontology_types.select("name").limit(MAX_ENTRIES + 1).collect()]
-    aliases = [(r[0], r[1]) for r in type_alias.select("token", "canonical").limit(MAX_ENTRIES + 1).collect() if r[0] and r[1]]
+    names = [r[0] for r in bounded_rows(ontology_types, "name")]
+    aliases = [(t, c) for t, c in bounded_rows(type_alias, "token", "canonical") if t and c]
     return Reference(names, aliases, camel=True)

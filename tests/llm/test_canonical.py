@@ -97,3 +97,52 @@ def test_deletion_blocking_is_complete():
 def test_reference_takes_any_order_of_entries():
     for order in itertools.permutations(FIELDS[:3]):
         assert C.Reference(order).surfaces == C.Reference(FIELDS[:3]).surfaces
+
+
+LONGWORDS = ["internationalization", "counterrevolutionaries", "hydrometeorologicalobservationnetwork", "x" * 30 + "abcdefghij" * 5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(LONGWORDS), st.lists(st.tuples(st.sampled_from("idsx"), st.integers(0, 99), st.sampled_from("aeqx")), max_size=2))
+def test_blocks_lose_no_word_within_two_edits(word, changes):
+    token = word
+    for kind, at, letter in changes:
+        i = at % len(token)
+        if kind == "i":
+            token = token[:i] + letter + token[i:]
+        elif kind == "d":
+            token = token[:i] + token[i + 1 :]
+        elif kind == "s":
+            token = token[:i] + letter + token[i + 1 :]
+        else:
+            token = token[:i] + token[i : i + 2][::-1] + token[i + 2 :]
+    if C.edits(token, word) <= 2:
+        assert C.blocks(token, 2, False) & C.blocks(word, 2, True)
+
+
+def test_long_words_are_repaired(spark):
+    long = "internationalhydrometeorologicalobservationnetwork"
+    ref = C.Reference([f"{long} Studies", "Hydrology"])
+    typo = long[:9] + long[10:30] + "z" + long[31:]
+    assert mapped(spark, ref, [typo, long.upper(), "q" * 60]) == {typo: f"{long} Studies", long.upper(): f"{long} Studies", "q" * 60: C.UNMATCHED}
+
+
+def test_lists_beyond_the_limit_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_ENTRIES", 3)
+    types = spark.createDataFrame([("Dam",), ("River",), ("Dam",), ("Dam",), (None,)], "name string")
+    few = spark.createDataFrame([("weir", "Dam"), ("creek", "River")], "token string, canonical string")
+    many = spark.createDataFrame([(f"weir{i}", "Dam") for i in range(10)], "token string, canonical string")
+    assert len(C.type_reference(types, few).names) == 2
+    for args in ((types, many), (many.select(many.token.alias("name")), few)):
+        try:
+            C.type_reference(*args)
+            raise AssertionError("no error")
+        except ValueError:
+            pass
+
+
+def test_a_large_vocabulary_takes_the_joined_way(spark, monkeypatch):
+    ref = C.Reference(FIELDS)
+    sent = mapped(spark, ref, ["Hydrolgy", "remote sensgi", "soi lscience", "zzz"])
+    monkeypatch.setattr(C, "SENT_BLOCKS", 0)
+    assert mapped(spark, ref, ["Hydrolgy", "remote sensgi", "soi lscience", "zzz"]) == sent
