@@ -28,5 +28,13 @@ def p5_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orgs.groupBy("kind", "place").agg(F.count("*").alias("spellings"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_organisations)}
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mention and affiliation with its person or organisation, and how many others of that are spelled differently."""
+    mentions = _mentions(spark, sf_dir)
+    orgs = linkage.organisations(mentions.select("affiliation"))
+    people = linkage.person_classes(linkage.persons(mentions, orgs)).select(F.lit("person").alias("kind"), "key", "class", "links")
+    return people.unionByName(linkage.organisation_classes(orgs).select(F.lit("organisation").alias("kind"), "key", "class", "links"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_organisations, p5_classes)}
 ORACLES: dict[str, str] = {}

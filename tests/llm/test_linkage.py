@@ -123,3 +123,16 @@ def test_refined_blocks_keep_pairs_two_letters_apart(spark):
 def test_many_mentions_of_one_spelling(spark):
     rows = [(f"k{i}", "Katherine Kuljafgrove", "NCHR Lohsidvos", None) for i in range(3000)] + [("x1", "Kate Kuljafgrove", None, None), ("x2", "K. Kuljafgrove", None, None)]
     assert L.person_pairs(frame(spark, rows)).count() == 2 * 3000 + 1
+
+
+def test_pointers_are_followed_to_their_end(spark):
+    chain = spark.createDataFrame([("s", f"t{i}", f"t{i + 1}") for i in range(40)], "scope string, token string, parent string")
+    assert {(r.token, r.root) for r in L.follow_pointers(chain).collect()} == {(f"t{i}", "t40") for i in range(40)}
+
+
+def test_classes_agree_with_pairs(spark):
+    who = L.persons(frame(spark, MENTIONS))
+    links = {r.key: r.links for r in L.person_classes(who).collect()}
+    pairs = [tuple(r) for r in L.person_pairs(frame(spark, MENTIONS)).collect()]
+    assert links == {k: sum(k in p for p in pairs) for k in links}
+    assert links["a1"] == 4 and len(links) == len({m[0] for m in MENTIONS if m[1] and m[1].strip()})
