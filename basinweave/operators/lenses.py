@@ -201,26 +201,60 @@ def evidence_claims(entities: DataFrame, triples: DataFrame) -> DataFrame:
     return with_edges(entities, triples).where(is_claim)
 
 
+def support_edges(entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """(subject, id, predicate): what supports, or speaks against, what; ends that are no entities are left out."""
+    known = entities.select(F.col("id").alias("subject"))
+    support = triples.where(F.col("predicate").isin(*SUPPORT_RELATIONS)).select("subject", F.col("object").alias("id"), "predicate").distinct()
+    return support.join(known, "subject", "left_semi")
+
+
 def evidence_chains(claims: DataFrame, entities: DataFrame, triples: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(id, depth, supporters): length of the longest chain of incoming support, at most ``max_depth`` - 1 steps, and the number
-    of direct supporters.
+    """(id, depth, supporters): length of the longest chain of incoming support, up to ``max_depth`` steps, and the number of direct
+    supporters. An entity that supports itself has a chain of one step.
 
     Worked from the far end: the nodes that have a chain of k steps are those with a supporter that has one of k - 1 steps, so a
-    round is one semi join of the support edges and nothing grows with the number of paths. On a cycle the depth is the bound.
+    round is one semi join of the support edges and nothing grows with the number of paths. On a longer cycle the depth is the bound.
     """
-    known = entities.select(F.col("id").alias("subject")).distinct()
-    support = triples.where(F.col("predicate").isin(*SUPPORT_RELATIONS) & (F.col("subject") != F.col("object")))
-    support = support.select("subject", F.col("object").alias("id")).distinct().join(known, "subject", "left_semi")
+    support = support_edges(entities, triples).select("subject", "id").distinct()
     counts = support.groupBy("id").agg(F.count("*").alias("supporters"))
     level = counts.select("id")
     depths = level.select("id", F.lit(1).alias("depth"))
-    for k in range(2, max_depth):
-        level = support.join(level.select(F.col("id").alias("subject")), "subject", "left_semi").select("id").distinct()
+    others = support.where("subject != id")
+    for k in range(2, max_depth + 1):
+        level = others.join(level.select(F.col("id").alias("subject")), "subject", "left_semi").select("id").distinct()
         depths = depths.unionByName(level.select("id", F.lit(k).alias("depth")))
     depth = depths.groupBy("id").agg(F.max("depth").alias("depth"))
     return claims.select("id").join(depth, "id", "left").join(counts, "id", "left").fillna({"depth": 0, "supporters": 0})
 
 
+def stated_confidence() -> Column:
+    """Confidence of an entity as a view takes it: the attribute's, else its own, else one half; 0 counts as none."""
+    stated = F.nullif(F.expr("try_cast(get_json_object(attributes, '$.confidence') as double)"), F.lit(0.0))
+    return F.coalesce(stated, F.nullif("confidence", F.lit(0.0)), F.lit(0.5))
+
+
+def evidence_summary(members: DataFrame, claims: DataFrame, chains: DataFrame) -> DataFrame:
+    """Per project: claims, those with and without evidence, mean depth and confidence."""
+    rows = members.select("project_id", "id").join(claims.select("id", stated_confidence().alias("confidence")), "id").join(chains, "id")
+    return rows.groupBy("project_id").agg(
+        F.count("*").alias("claims"), F.count_if(F.col("supporters") > 0).alias("complete"), F.count_if(F.col("supporters") == 0).alias("unconnected"),
+        F.round(F.avg("depth"), 6).alias("avg_depth"), F.round(F.avg("confidence"), 6).alias("avg_confidence"),
+    )
+
+
+def evidence_graph(members: DataFrame, claims: DataFrame, entities: DataFrame, triples: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(project_id, source, relation, target): the edges of all chains of the claims of each project, once each."""
+    support = support_edges(entities, triples)
+    front = members.select("project_id", "id").join(claims.select("id"), "id", "left_semi").distinct()
+    seen, edges = front, None
+    for _ in range(max_depth):
+        step = front.join(support, "id").select("project_id", F.col("subject").alias("source"), F.col("predicate").alias("relation"), F.col("id").alias("target"))
+        edges = step if edges is None else edges.unionByName(step)
+        front = step.select("project_id", F.col("source").alias("id")).distinct().join(seen, ["project_id", "id"], "left_anti")
+        seen = seen.unionByName(front)
+    return edges.distinct()
+
+
 def claim_issues(claims: DataFrame) -> DataFrame:
     """(id, issue) of claims: no evidence, low confidence, not verified. Needs ``supporters`` and the entity's columns."""
     confidence = F.coalesce(F.nullif(F.expr("try_cast(get_json_object(attributes, '$.confidence') as double)"), F.lit(0.0)), F.nullif("confidence", F.lit(0.0)), F.lit(0.5))

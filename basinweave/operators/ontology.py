@@ -9,67 +9,124 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The registered relations by layer.
-RELATIONS: dict[str, str] = {
-    "foundation": "is_a has_part part_of connected_to causes caused_by triggers precedes follows performs performed_by targets uses produces consumes claims "
-    "supports contradicts derives_from applies implements evaluates evaluated_by measures measured_by located_at occurs_at during relates_to",
-    "source": "cited_by cites references version_of derived_from has_figure has_section has_dataset depends_on uses_package hosted_on published_by reviewed_by validated_by",
-    "capability": "has_variable observes simulates trained_on validated_on calibrated_with runs_on depends_on_software implements_method issued_by implements_policy "
-    "represents exposes assessed_by has_indicator supports_claim has_coverage derived_from_data part_of_network applies_to responds_to planned_in targets_entity reduces_risk evaluated_by",
-    "world": "drains_to upstream_of downstream_of flows_through recharges withdraws_from supplies affects triggers_hazard exposed_to vulnerable_to generates_risk "
-    "mitigates_hazard driven_by modifies feeds_back exacerbates under_scenario projects interacts_with teleconnected_to part_of_system approaches_threshold",
-    "bridge": "covers observes measures simulates predicts models has_variable represents mitigates targets responds_to governs assesses supports contradicts "
-    "applicable_to transferable_to limited_by",
+RELATIONS: dict[str, tuple[str, ...]] = {
+    "foundation": (
+        "is_a", "has_part", "part_of", "connected_to", "causes", "caused_by", "triggers", "precedes", "follows", "performs", "performed_by", "targets",
+        "uses", "produces", "consumes", "claims", "supports", "contradicts", "derives_from", "applies", "implements", "evaluates", "evaluated_by",
+        "measures", "measured_by", "located_at", "occurs_at", "during", "relates_to",
+    ),
+    "source": (
+        "cited_by", "cites", "references", "version_of", "derived_from", "has_figure", "has_section", "has_dataset", "depends_on", "uses_package",
+        "hosted_on", "published_by", "reviewed_by", "validated_by",
+    ),
+    "capability": (
+        "has_variable", "observes", "simulates", "trained_on", "validated_on", "calibrated_with", "runs_on", "depends_on_software", "implements_method",
+        "issued_by", "implements_policy", "represents", "exposes", "assessed_by", "has_indicator", "supports_claim", "has_coverage", "derived_from_data",
+        "part_of_network", "applies_to", "responds_to", "planned_in", "targets_entity", "reduces_risk", "evaluated_by",
+    ),
+    "world": (
+        "drains_to", "upstream_of", "downstream_of", "flows_through", "recharges", "withdraws_from", "supplies", "affects", "triggers_hazard",
+        "exposed_to", "vulnerable_to", "generates_risk", "mitigates_hazard", "driven_by", "modifies", "feeds_back", "exacerbates", "under_scenario",
+        "projects", "interacts_with", "teleconnected_to", "part_of_system", "approaches_threshold",
+    ),
+    "bridge": (
+        "covers", "observes", "measures", "simulates", "predicts", "models", "has_variable", "represents", "mitigates", "targets", "responds_to",
+        "governs", "assesses", "supports", "contradicts", "applicable_to", "transferable_to", "limited_by",
+    ),
 }
 
 # Domain, range, inverse and the confidence that an inferred relation may have (None: it must be stated).
-BRIDGES: dict[str, tuple[str, str, str, float | None]] = {
-    "covers": ("Dataset DataProduct Sensor Satellite Model", "Region Basin Watershed Location Glacier Lake", "covered_by", 0.6),
-    "observes": ("Sensor Satellite Gauge Station RemoteSensingSystem InSituNetwork", "EarthVariable Streamflow Precipitation Temperature SoilMoisture Entity", "observed_by", 0.65),
-    "measures": ("Sensor Gauge Station Instrument", "EarthVariable Metric Entity", "measured_by", None),
-    "simulates": ("Model Simulation HydrologicalModel ClimateModel", "EarthProcess Basin Watershed System EarthVariable", "simulated_by", 0.65),
-    "predicts": ("Model Forecasting Method", "EarthVariable Event Hazard TimeSeries", "predicted_by", None),
-    "models": ("Model Method Algorithm", "EarthProcess EarthVariable System Phenomenon", "modeled_by", 0.6),
-    "has_variable": ("Dataset DataProduct ModelOutput", "Variable EarthVariable Streamflow Precipitation Temperature", "in_dataset", None),
-    "represents": ("Dataset DataProduct Model ExposureDataset VulnerabilityIndex", "Entity Location Population Infrastructure EarthVariable", "represented_by", 0.55),
-    "mitigates": ("Intervention AdaptationMeasure MitigationMeasure Infrastructure EngineeringMeasure", "EarthRisk FloodRisk DroughtRisk Hazard", "mitigated_by", 0.55),
-    "targets": ("Intervention AdaptationMeasure Policy ManagementAction", "Entity Location Risk Hazard Population", "targeted_by", None),
-    "responds_to": ("EmergencyResponse Intervention Action", "Event Hazard FloodEvent DroughtEvent Risk", "responded_by", None),
-    "governs": ("Policy Regulation Standard Agreement", "Entity Process Location Activity", "governed_by", 0.6),
-    "assesses": ("Assessment RiskAssessment ImpactAssessment Indicator Index", "Risk Entity Location Condition Status", "assessed_by", 0.6),
-    "supports": ("Evidence Data Dataset Measurement Result", "Claim Conclusion Hypothesis", "supported_by", None),
-    "contradicts": ("Evidence Data Result Observation", "Claim Hypothesis Assumption", "contradicted_by", None),
-    "applicable_to": ("Method Model Algorithm Dataset", "Domain Task Region Process", "can_apply", 0.5),
-    "transferable_to": ("Method Model Algorithm", "Domain Task Application Region", "transferable_from", None),
-    "limited_by": ("Model Method Dataset Assessment", "Condition Assumption DataAvailability Resource", "limits", None),
+BRIDGES: dict[str, tuple[tuple[str, ...], tuple[str, ...], str, float | None]] = {
+    "covers": (("Dataset", "DataProduct", "Sensor", "Satellite", "Model"), ("Region", "Basin", "Watershed", "Location", "Glacier", "Lake"), "covered_by", 0.6),
+    "observes": (("Sensor", "Satellite", "Gauge", "Station", "RemoteSensingSystem", "InSituNetwork"), ("EarthVariable", "Streamflow", "Precipitation", "Temperature", "SoilMoisture", "Entity"), "observed_by", 0.65),
+    "measures": (("Sensor", "Gauge", "Station", "Instrument"), ("EarthVariable", "Metric", "Entity"), "measured_by", None),
+    "simulates": (("Model", "Simulation", "HydrologicalModel", "ClimateModel"), ("EarthProcess", "Basin", "Watershed", "System", "EarthVariable"), "simulated_by", 0.65),
+    "predicts": (("Model", "Forecasting", "Method"), ("EarthVariable", "Event", "Hazard", "TimeSeries"), "predicted_by", None),
+    "models": (("Model", "Method", "Algorithm"), ("EarthProcess", "EarthVariable", "System", "Phenomenon"), "modeled_by", 0.6),
+    "has_variable": (("Dataset", "DataProduct", "ModelOutput"), ("Variable", "EarthVariable", "Streamflow", "Precipitation", "Temperature"), "in_dataset", None),
+    "represents": (("Dataset", "DataProduct", "Model", "ExposureDataset", "VulnerabilityIndex"), ("Entity", "Location", "Population", "Infrastructure", "EarthVariable"), "represented_by", 0.55),
+    "mitigates": (("Intervention", "AdaptationMeasure", "MitigationMeasure", "Infrastructure", "EngineeringMeasure"), ("EarthRisk", "FloodRisk", "DroughtRisk", "Hazard"), "mitigated_by", 0.55),
+    "targets": (("Intervention", "AdaptationMeasure", "Policy", "ManagementAction"), ("Entity", "Location", "Risk", "Hazard", "Population"), "targeted_by", None),
+    "responds_to": (("EmergencyResponse", "Intervention", "Action"), ("Event", "Hazard", "FloodEvent", "DroughtEvent", "Risk"), "responded_by", None),
+    "governs": (("Policy", "Regulation", "Standard", "Agreement"), ("Entity", "Process", "Location", "Activity"), "governed_by", 0.6),
+    "assesses": (("Assessment", "RiskAssessment", "ImpactAssessment", "Indicator", "Index"), ("Risk", "Entity", "Location", "Condition", "Status"), "assessed_by", 0.6),
+    "supports": (("Evidence", "Data", "Dataset", "Measurement", "Result"), ("Claim", "Conclusion", "Hypothesis"), "supported_by", None),
+    "contradicts": (("Evidence", "Data", "Result", "Observation"), ("Claim", "Hypothesis", "Assumption"), "contradicted_by", None),
+    "applicable_to": (("Method", "Model", "Algorithm", "Dataset"), ("Domain", "Task", "Region", "Process"), "can_apply", 0.5),
+    "transferable_to": (("Method", "Model", "Algorithm"), ("Domain", "Task", "Application", "Region"), "transferable_from", None),
+    "limited_by": (("Model", "Method", "Dataset", "Assessment"), ("Condition", "Assumption", "DataAvailability", "Resource"), "limits", None),
 }
 
-# The types below each parent, as the layers above the foundation define them. Foundation types have no parent.
-_CHILDREN: dict[str, str] = {
-    "Action": "Intervention ResourceAllocation", "Agent": "Institution Stakeholder", "Assessment": "ImpactAssessment RiskAssessment ScenarioAssessment",
-    "Basin": "Watershed", "ClimateIndex": "ENSO", "ClimateModel": "GCM RCM", "Data": "Dataset ModelOutput",
-    "Dataset": "DataProduct ExposureDataset InfrastructureInventory LandUseClassification PopulationDataset", "DroughtEvent": "AgriculturalDrought",
-    "EarthObject": "Aquifer Coastline Ecosystem Glacier Lake MountainRange Region River",
-    "EarthProcess": "CarbonCycle Erosion Infiltration RunoffGeneration Sedimentation WaterCycle", "EarthRisk": "DroughtRisk FloodRisk",
-    "EarthScenario": "ClimateScenario DevelopmentScenario", "EarthSystem": "Anthroposphere Atmosphere Biosphere Cryosphere Hydrosphere Lithosphere",
-    "EarthVariable": "CropYield EnergyDemand Evapotranspiration GroundwaterLevel IrrigationDemand Precipitation SoilCondition SoilMoisture Streamflow Temperature TrafficFlow Vegetation",
-    "Entity": "API Agreement Benchmark CarbonSink CloudService ConfidenceLevel Coverage Crop DataQuality EcosystemService EvidenceChain ExecutionEnvironment Exposure Feature "
-    "InSituNetwork Interface ManagementPlan OperationalPlan Policy Resolution Sensor Software Source Species Standard Threshold Variable Vulnerability",
-    "Event": "Hazard", "FloodEvent": "FlashFlood RiverineFlood UrbanFlood", "Gauge": "GaugeStation PrecipitationGauge",
-    "Hazard": "DroughtEvent FloodEvent Heatwave Landslide Wildfire", "HumanActivity": "Deforestation Irrigation Urbanization",
-    "HydrologicalModel": "GroundwaterModel RainfallRunoffModel", "Index": "BiodiversityIndex ClimateIndex", "Indicator": "ExtremesIndicator Index WaterQualityIndicator",
-    "Infrastructure": "Building Dam DrainageNetwork EnergyStorage PowerGrid RenewableGeneration Substation TransmissionLine WaterSupplySystem",
-    "Intervention": "AdaptationMeasure EmergencyResponse EngineeringMeasure ManagementAction MitigationMeasure PolicyAction", "Lake": "Reservoir",
-    "Method": "Algorithm EvaluationFramework Protocol UncertaintyQuantification", "Metric": "EconomicIndicator Indicator VulnerabilityIndex",
-    "Model": "BehaviorModel ClimateModel DemandModel HydrologicalModel", "ModelOutput": "Forecast Projection", "News": "PressRelease", "Object": "EarthObject Infrastructure",
-    "Paper": "Preprint Thesis", "Policy": "Regulation",
-    "Process": "Assessment Calibration EarthProcess Forecasting HumanActivity MonitoringProgram ResourceFlow Simulation UrbanHeatIsland Validation Workflow",
-    "Projection": "ClimateProjection", "Region": "Basin City ClimateZone Habitat", "Relation": "Feedback Teleconnection", "RenewableGeneration": "HydropowerPlant",
-    "Report": "AssessmentReport WhitePaper", "Resource": "ResourceStock", "ResourceFlow": "WaterWithdrawal", "ResourceStock": "EnergyResource WaterResource", "Risk": "EarthRisk",
-    "River": "StreamReach", "Scenario": "EarthScenario", "Sensor": "Gauge RemoteSensingSystem Satellite Station",
-    "Source": "APIPage DataCatalog DatasetPage Documentation KnowledgeGraph ModelCard News OntologyFile Package Paper PolicyDocument Report Repository StandardDocument TechnicalBlog",
-    "System": "EarthSystem", "TimeRange": "GrowingSeason", "Variable": "EarthVariable", "Workflow": "Pipeline",
+# The type above each type, in the order of definition. Foundation types have none.
+PARENTS: dict[str, str] = {
+    # source
+    "Source": "Entity", "Paper": "Source", "Preprint": "Paper", "Thesis": "Paper", "Repository": "Source", "Package": "Source", "APIPage": "Source",
+    "DatasetPage": "Source", "DataCatalog": "Source", "Report": "Source", "AssessmentReport": "Report", "WhitePaper": "Report", "News": "Source",
+    "PressRelease": "News", "PolicyDocument": "Source", "StandardDocument": "Source", "Documentation": "Source", "ModelCard": "Source",
+    "Benchmark": "Source", "TechnicalBlog": "Source", "OntologyFile": "Source", "KnowledgeGraph": "Source",
+    # capability
+    "Dataset": "Data", "DataProduct": "Dataset", "Variable": "Entity", "Feature": "Entity", "Coverage": "Entity", "Resolution": "Entity",
+    "DataQuality": "Entity", "Sensor": "Entity", "Satellite": "Sensor", "Gauge": "Sensor", "Station": "Sensor", "RemoteSensingSystem": "Sensor",
+    "InSituNetwork": "Entity", "MonitoringProgram": "Process", "Algorithm": "Method", "Simulation": "Process", "Forecasting": "Process",
+    "Calibration": "Process", "Validation": "Process", "UncertaintyQuantification": "Method", "Software": "Entity", "API": "Entity",
+    "Workflow": "Process", "Pipeline": "Workflow", "Interface": "Entity", "ExecutionEnvironment": "Entity", "CloudService": "Entity",
+    "Policy": "Entity", "Regulation": "Policy", "Institution": "Agent", "Stakeholder": "Agent", "ManagementPlan": "Entity", "Standard": "Entity",
+    "Protocol": "Method", "Agreement": "Entity", "PopulationDataset": "Dataset", "EconomicIndicator": "Metric", "LandUseClassification": "Dataset",
+    "InfrastructureInventory": "Dataset", "ExposureDataset": "Dataset", "VulnerabilityIndex": "Metric", "DemandModel": "Model",
+    "BehaviorModel": "Model", "Assessment": "Process", "Indicator": "Metric", "Index": "Indicator", "EvidenceChain": "Entity",
+    "EvaluationFramework": "Method", "RiskAssessment": "Assessment", "ImpactAssessment": "Assessment", "ConfidenceLevel": "Entity",
+    "ScenarioAssessment": "Assessment", "AdaptationMeasure": "Intervention", "MitigationMeasure": "Intervention", "ManagementAction": "Intervention",
+    "EmergencyResponse": "Intervention", "ResourceAllocation": "Action", "EngineeringMeasure": "Intervention", "PolicyAction": "Intervention",
+    "OperationalPlan": "Entity",
+    # world
+    "EarthSystem": "System", "Hydrosphere": "EarthSystem", "Atmosphere": "EarthSystem", "Biosphere": "EarthSystem", "Cryosphere": "EarthSystem",
+    "Lithosphere": "EarthSystem", "Anthroposphere": "EarthSystem", "EarthObject": "Object", "Region": "EarthObject", "Basin": "Region",
+    "Watershed": "Basin", "Glacier": "EarthObject", "Lake": "EarthObject", "Aquifer": "EarthObject", "Coastline": "EarthObject",
+    "MountainRange": "EarthObject", "EarthProcess": "Process", "WaterCycle": "EarthProcess", "CarbonCycle": "EarthProcess",
+    "Erosion": "EarthProcess", "Sedimentation": "EarthProcess", "EarthVariable": "Variable", "Streamflow": "EarthVariable",
+    "Precipitation": "EarthVariable", "Temperature": "EarthVariable", "SoilMoisture": "EarthVariable", "GroundwaterLevel": "EarthVariable",
+    "Evapotranspiration": "EarthVariable", "ResourceStock": "Resource", "WaterResource": "ResourceStock", "EnergyResource": "ResourceStock",
+    "ResourceFlow": "Process", "WaterWithdrawal": "ResourceFlow", "Hazard": "Event", "FloodEvent": "Hazard", "DroughtEvent": "Hazard",
+    "Heatwave": "Hazard", "Wildfire": "Hazard", "Landslide": "Hazard", "EarthRisk": "Risk", "FloodRisk": "EarthRisk", "DroughtRisk": "EarthRisk",
+    "Exposure": "Entity", "Vulnerability": "Entity", "Infrastructure": "Object", "Dam": "Infrastructure", "Reservoir": "Lake",
+    "PowerGrid": "Infrastructure", "WaterSupplySystem": "Infrastructure", "HumanActivity": "Process", "Irrigation": "HumanActivity",
+    "Urbanization": "HumanActivity", "Deforestation": "HumanActivity", "EarthScenario": "Scenario", "ClimateScenario": "EarthScenario",
+    "DevelopmentScenario": "EarthScenario", "ModelOutput": "Data", "Forecast": "ModelOutput", "Projection": "ModelOutput", "Feedback": "Relation",
+    "Teleconnection": "Relation", "Threshold": "Entity",
+    # domain
+    "River": "EarthObject", "StreamReach": "River", "GaugeStation": "Gauge", "PrecipitationGauge": "Gauge", "HydrologicalModel": "Model",
+    "RainfallRunoffModel": "HydrologicalModel", "GroundwaterModel": "HydrologicalModel", "RunoffGeneration": "EarthProcess",
+    "Infiltration": "EarthProcess", "FlashFlood": "FloodEvent", "RiverineFlood": "FloodEvent", "WaterQualityIndicator": "Indicator",
+    "ClimateZone": "Region", "ClimateIndex": "Index", "ENSO": "ClimateIndex", "ClimateModel": "Model", "GCM": "ClimateModel", "RCM": "ClimateModel",
+    "ClimateProjection": "Projection", "ExtremesIndicator": "Indicator", "City": "Region", "Building": "Infrastructure",
+    "DrainageNetwork": "Infrastructure", "UrbanFlood": "FloodEvent", "TrafficFlow": "EarthVariable", "UrbanHeatIsland": "Process",
+    "Substation": "Infrastructure", "TransmissionLine": "Infrastructure", "RenewableGeneration": "Infrastructure", "EnergyStorage": "Infrastructure",
+    "EnergyDemand": "EarthVariable", "HydropowerPlant": "RenewableGeneration", "Ecosystem": "EarthObject", "Vegetation": "EarthVariable",
+    "Habitat": "Region", "Species": "Entity", "BiodiversityIndex": "Index", "CarbonSink": "Entity", "EcosystemService": "Entity", "Crop": "Entity",
+    "CropYield": "EarthVariable", "IrrigationDemand": "EarthVariable", "SoilCondition": "EarthVariable", "GrowingSeason": "TimeRange",
+    "AgriculturalDrought": "DroughtEvent",
+}
+# Fields that a type requires beside those of the types above it. Foundation types that are not listed require a name.
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "Claim": ("statement",), "Evidence": ("type",), "Measurement": ("name", "value"), "Method": ("name", "category"), "Metric": ("name", "value"),
+    "Uncertainty": ("value",), "Time": ("value",), "Relation": ("type", "subject", "object"), "Source": ("type", "identifier"), "Paper": ("title",),
+    "Repository": ("repo",), "Package": ("registry",), "APIPage": ("apiName",), "DatasetPage": ("datasetName",), "Report": ("title",),
+    "News": ("title",), "PolicyDocument": ("title",), "StandardDocument": ("standardId",), "ModelCard": ("modelName",), "TechnicalBlog": ("title",),
+    "Coverage": ("type",), "Resolution": ("value", "unit"), "Gauge": ("stationId",), "Station": ("stationId",), "Standard": ("standardId",),
+    "ConfidenceLevel": ("level",), "ResourceAllocation": ("resource",), "Feedback": ("name",), "Teleconnection": ("name",), "Threshold": ("value",),
+}
+# Defaults of a type as JSON, beside those of the types above it.
+DEFAULTS: dict[str, str] = {
+    "System": '{"components": [], "interfaces": []}', "Process": '{"steps": []}', "Claim": '{"confidence": 0.8}', "Evidence": '{"confidence": 0.8}',
+    "Uncertainty": '{"type": "standard_error"}', "Time": '{"unit": "ISO"}', "Preprint": '{"server": "arXiv"}',
+    "DataCatalog": '{"datasets": [], "totalRecords": 0}', "PolicyDocument": '{"status": "active"}', "Dataset": '{"version": "1.0", "samples": 0}',
+    "DataProduct": '{"processingLevel": "derived"}', "InSituNetwork": '{"stations": []}', "Workflow": '{"steps": [], "dependencies": []}',
+    "Regulation": '{"status": "active"}', "Hydrosphere": '{"type": "hydrosphere"}', "Atmosphere": '{"type": "atmosphere"}',
+    "Biosphere": '{"type": "biosphere"}', "Cryosphere": '{"type": "cryosphere"}', "Lithosphere": '{"type": "lithosphere"}',
+    "Anthroposphere": '{"type": "anthroposphere"}', "Region": '{"type": "region"}', "Streamflow": '{"units": "m3/s"}',
+    "Precipitation": '{"units": "mm"}', "Temperature": '{"units": "°C"}', "SoilMoisture": '{"units": "m3/m3"}', "GroundwaterLevel": '{"units": "m"}',
+    "Evapotranspiration": '{"units": "mm"}', "HydrologicalModel": '{"modelType": "distributed"}',
 }
-PARENTS: dict[str, str] = {child: parent for parent, children in _CHILDREN.items() for child in children.split()}
 
 LAYER_RANK = {"foundation": 1, "source": 2, "capability": 3, "world": 4, "domain": 5}
 
@@ -78,14 +135,14 @@ def relation_table(spark: SparkSession) -> DataFrame:
     """(name, layer) of each registered relation, in the first layer that has it."""
     seen: dict[str, str] = {}
     for layer, names in RELATIONS.items():
-        for n in names.split():
+        for n in names:
             seen.setdefault(n, layer)
     return spark.createDataFrame(sorted(seen.items()), "name string, layer string")
 
 
 def bridge_table(spark: SparkSession) -> DataFrame:
     """One row per predicate, subject type and object type that its definition names."""
-    rows = [(p, d, r, inv, cap is not None, cap) for p, (ds, rs, inv, cap) in BRIDGES.items() for d in ds.split() for r in rs.split()]
+    rows = [(p, d, r, inv, cap is not None, cap) for p, (ds, rs, inv, cap) in BRIDGES.items() for d in ds for r in rs]
     return spark.createDataFrame(rows, "predicate string, domain string, range string, inverse string, fallback boolean, cap double")
 
 
@@ -94,15 +151,60 @@ def parent_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(PARENTS.items()), "name string, parent string")
 
 
-def type_closure(parents: DataFrame, names: DataFrame, depth: int = 8) -> DataFrame:
-    """(name, ancestor, steps): each type with itself and all types above it; ``depth`` bounds cycles."""
-    step = names.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("steps"))
-    out = step
-    up = parents.select(F.col("name").alias("ancestor"), F.col("parent").alias("next"))
-    for i in range(1, depth + 1):
-        step = step.join(F.broadcast(up), "ancestor").select("name", F.col("next").alias("ancestor"), F.lit(i).alias("steps"))
-        out = out.unionByName(step)
-    return out.groupBy("name", "ancestor").agg(F.min("steps").alias("steps"))
+def type_closure(parents: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, ancestor, steps): each type with itself and all types above it, at the least number of steps; circles end."""
+    from basinweave.session import stable
+
+    seen = names.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("steps")).distinct()
+    up = parents.select(F.col("name").alias("ancestor"), F.col("parent").alias("next")).dropna().distinct()
+    front, steps = seen, 0
+    while True:
+        steps += 1
+        step = front.join(up, "ancestor").select("name", F.col("next").alias("ancestor")).distinct()
+        front = stable(step.join(seen.select("name", "ancestor"), ["name", "ancestor"], "left_anti").withColumn("steps", F.lit(steps)))
+        if front.isEmpty():
+            return seen
+        seen = stable(seen.unionByName(front))
+
+
+def own_schemas(types: DataFrame) -> DataFrame:
+    """(name, parent, required, defaults) of registered types by definition, without what the types above them add."""
+    spark = types.sparkSession
+    rows = [(n, PARENTS.get(n), list(REQUIRED.get(n, () if n in PARENTS else ("name",))), DEFAULTS.get(n)) for n in {*PARENTS, *PARENTS.values(), *REQUIRED, *DEFAULTS}]
+    own = spark.createDataFrame(rows, "name string, parent string, required array<string>, defaults string")
+    return types.select("name").distinct().join(F.broadcast(own), "name", "left").select("name", "parent", F.coalesce("required", F.array(F.lit("name"))).alias("required"), "defaults")
+
+
+def merged_schemas(schemas: DataFrame) -> DataFrame:
+    """(name, required, defaults): the fields that each type and all types above it require, and their defaults; the nearest type's count.
+
+    ``schemas``: name, parent, required, defaults (a JSON object whose values are kept as they are written).
+    """
+    closure = type_closure(schemas, schemas.select("name"))
+    above = closure.join(F.broadcast(schemas.select(F.col("name").alias("ancestor"), "required", "defaults")), "ancestor")
+    fields = above.select("name", F.explode("required").alias("field")).groupBy("name").agg(F.array_sort(F.collect_set("field")).alias("required"))
+    each = above.select("name", "steps", F.explode(F.from_json("defaults", "map<string,string>")).alias("key", "value"))
+    nearest = each.groupBy("name", "key").agg(F.min_by("value", "steps").alias("value")).groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("defaults"))
+    empty = F.create_map().cast("map<string,string>")
+    out = schemas.select("name").distinct().join(fields, "name", "left").join(nearest, "name", "left")
+    return out.select("name", F.coalesce("required", F.array().cast("array<string>")).alias("required"), F.coalesce("defaults", empty).alias("defaults"))
+
+
+def complete_attributes(entities: DataFrame, merged: DataFrame, type_col: str = "type", json: str = "attributes") -> DataFrame:
+    """Adds ``completed``: attributes with all fields that their type requires. Missing ones get the type's default, else one by name.
+
+    Types without a schema need only a name. Values stay JSON texts; unreadable and null attributes count as empty.
+    """
+    type_ = F.col(type_col)
+    by_name = {"type": F.lit("unknown"), "statement": F.lit("No statement"), "value": F.lit("0"), "category": F.lit("general"), "repo": F.lit("unknown-repo")}
+    plain = lambda f: F.coalesce(*[F.when(f == k, v) for k, v in by_name.items()], F.when(f == "name", F.concat(F.lit("Unnamed "), type_)), F.when(f == "title", F.concat(F.lit("Untitled "), type_)), F.lit(""))
+    rows = entities.join(F.broadcast(merged.select(F.col("name").alias(type_col), F.col("required").alias("_r"), F.col("defaults").alias("_d"))), type_col, "left")
+    empty = F.create_map().cast("map<string,string>")
+    own = F.coalesce(F.from_json(json, "map<string,string>"), empty)
+    needed = F.coalesce("_r", F.array(F.lit("name")))
+    lacking = F.array_except(needed, F.map_keys(own))
+    filled = F.map_from_arrays(lacking, F.transform(lacking, lambda f: F.coalesce(F.try_element_at(F.coalesce("_d", empty), f), plain(f))))
+    return rows.withColumn("completed", F.map_concat(own, filled)).drop("_r", "_d")
 
 
 def type_token(c: Column) -> Column:

@@ -2,10 +2,11 @@
 
 Every change of a referring or a referred table is a delta: +1/-1 reference of a key, or +1/-1 existence of it, with the time
 of creation. ``key_state`` sums the deltas per key (partial sums before the shuffle, so a key that holds a third of all rows
-costs one row per task) and ``merge_state`` adds a later batch of deltas to an earlier state. Keys with references and no
-existence are the orphans; keys created after a reference are late for it. ``orphan_references`` joins only these keys back
-to the references. That join is on a skewed key: healthy hot keys are gone from the small side by then, and a hot orphan key
-is split by adaptive skew handling.
+costs one row per task). Where deltas also take back, the times of what is gone must not count any more: ``timed_state`` keeps the
+signed sums per key and time (of references only the day, so that a hot key has no more rows than days), ``merge_state`` adds a later
+batch of deltas to it, and ``state_of_times`` gives the state per key. Keys with references and no existence are the orphans; keys
+created after a reference are late for it. ``orphan_references`` joins only these keys back to the references. That join is on a
+skewed key: healthy hot keys are gone from the small side by then, and a hot orphan key is split by adaptive skew handling.
 
 Defined cases: keys are trimmed and in lower case; null and blank keys refer to nothing; null times of a reference are never
 late and have a null month; repeated rows count once in the report; empty tables give empty reports.
@@ -61,7 +62,7 @@ def existence_deltas(exists: DataFrame, sign: int = 1) -> DataFrame:
 
 
 def key_state(deltas: DataFrame) -> DataFrame:
-    """One row per key: signed sums of references and existence, earliest creation and earliest reference."""
+    """One row per key: sums of references and existence, earliest creation and earliest reference. Deltas may not take back."""
     return deltas.groupBy("to_key").agg(
         F.sum("refs").alias("refs"),
         F.sum("rows").alias("rows"),
@@ -70,9 +71,27 @@ def key_state(deltas: DataFrame) -> DataFrame:
     )
 
 
+def timed_state(deltas: DataFrame) -> DataFrame:
+    """(to_key, refs, rows, first_created, first_ref): signed sums per key, time of creation and day of reference; those that cancel are gone."""
+    days = deltas.withColumn("first_ref", F.date_trunc("day", "first_ref"))
+    sums = days.groupBy("to_key", "first_created", "first_ref").agg(F.sum("refs").alias("refs"), F.sum("rows").alias("rows"))
+    return sums.where("refs != 0 or rows != 0").select("to_key", "refs", "rows", "first_created", "first_ref")
+
+
 def merge_state(state: DataFrame, deltas: DataFrame) -> DataFrame:
-    """The state after a further batch of deltas."""
-    return key_state(state.select("to_key", "refs", "rows", "first_created", "first_ref").unionByName(deltas))
+    """The state per key and time after a further batch of deltas, in any order; also after rows that were taken back."""
+    return timed_state(state.select("to_key", "refs", "rows", "first_created", "first_ref").unionByName(deltas))
+
+
+def state_of_times(timed: DataFrame) -> DataFrame:
+    """The state per key of a ``timed_state``. References are known to the day, so ``first_ref`` may be up to a day early; which
+    reference is late is decided by its own time afterwards."""
+    return timed.groupBy("to_key").agg(
+        F.sum("refs").alias("refs"),
+        F.sum("rows").alias("rows"),
+        F.min(F.when(F.col("rows") > 0, F.col("first_created"))).alias("first_created"),
+        F.min(F.when(F.col("refs") > 0, F.col("first_ref"))).alias("first_ref"),
+    )
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
@@ -84,9 +103,12 @@ def orphan_keys(state: DataFrame) -> DataFrame:
     )
 
 
-def orphan_references(refs: DataFrame, exists: DataFrame) -> DataFrame:
-    """(tbl, ref_month, from_key, to_key, reason) of all references whose key is missing or was created later."""
-    state = key_state(reference_deltas(refs).unionByName(existence_deltas(exists)))
+def orphan_references(refs: DataFrame, exists: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """(tbl, ref_month, from_key, to_key, reason) of all references whose key is missing or was created later.
+
+    ``state`` is the state per key, where it has been kept from deltas; ``refs`` are then the references that stand.
+    """
+    state = key_state(reference_deltas(refs).unionByName(existence_deltas(exists))) if state is None else state
     hit = refs.join(orphan_keys(state), "to_key")
     late = F.col("key_created") > F.col("ref_at")
     return (

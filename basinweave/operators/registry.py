@@ -9,16 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Relations that some types may have.
-ALLOWED_RELATIONS: dict[str, str] = {
-    "Paper": "uses applies references studies proposes has_figure cited_by produces cites", "Repository": "uses implements depends_on produces references depends_on_software",
-    "Dataset": "covers has_variable subset_of derived_from_data used_by references", "Model": "uses applies implements trained_on produces evaluated_by validated_on simulates",
-    "Claim": "supports contradicts derives_from refines evaluated_by based_on supports_claim", "Method": "uses applies implements produces evaluated_by compares refines based_on",
-    "Workflow": "uses applies implements consists_of executes depends_on depends_on_software runs_on", "Sensor": "observes part_of_network has_coverage",
-    "Gauge": "observes measures part_of_network drains_to", "Basin": "drains_to upstream_of downstream_of part_of_system flows_through discharges_to",
-    "Region": "contains adjacent_to drains_to part_of_system", "FloodEvent": "triggers_hazard affects located_at occurs_at causes caused_by",
-    "Hazard": "exposed_to vulnerable_to generates_risk mitigates_hazard triggers_hazard", "Risk": "exposed_to vulnerable_to generates_risk mitigates_hazard reduces_risk",
-    "HydrologicalModel": "uses forecasts calibrates_with evaluated_by outperforms models_basin simulates", "River": "drains_to upstream_of downstream_of flows_through discharges_to",
-    "GaugeStation": "measures drains_to studies observes measured_at",
+ALLOWED_RELATIONS: dict[str, tuple[str, ...]] = {
+    "Paper": ("uses", "applies", "references", "studies", "proposes", "has_figure", "cited_by", "produces", "cites"),
+    "Repository": ("uses", "implements", "depends_on", "produces", "references", "depends_on_software"),
+    "Dataset": ("covers", "has_variable", "subset_of", "derived_from_data", "used_by", "references"),
+    "Model": ("uses", "applies", "implements", "trained_on", "produces", "evaluated_by", "validated_on", "simulates"),
+    "Claim": ("supports", "contradicts", "derives_from", "refines", "evaluated_by", "based_on", "supports_claim"),
+    "Method": ("uses", "applies", "implements", "produces", "evaluated_by", "compares", "refines", "based_on"),
+    "Workflow": ("uses", "applies", "implements", "consists_of", "executes", "depends_on", "depends_on_software", "runs_on"),
+    "Sensor": ("observes", "part_of_network", "has_coverage"),
+    "Gauge": ("observes", "measures", "part_of_network", "drains_to"),
+    "Basin": ("drains_to", "upstream_of", "downstream_of", "part_of_system", "flows_through", "discharges_to"),
+    "Region": ("contains", "adjacent_to", "drains_to", "part_of_system"),
+    "FloodEvent": ("triggers_hazard", "affects", "located_at", "occurs_at", "causes", "caused_by"),
+    "Hazard": ("exposed_to", "vulnerable_to", "generates_risk", "mitigates_hazard", "triggers_hazard"),
+    "Risk": ("exposed_to", "vulnerable_to", "generates_risk", "mitigates_hazard", "reduces_risk"),
+    "HydrologicalModel": ("uses", "forecasts", "calibrates_with", "evaluated_by", "outperforms", "models_basin", "simulates"),
+    "River": ("drains_to", "upstream_of", "downstream_of", "flows_through", "discharges_to"),
+    "GaugeStation": ("measures", "drains_to", "studies", "observes", "measured_at"),
 }
 
 
@@ -101,7 +109,7 @@ class Extensions:
 
 def allowed_relations(type_: Column) -> Column:
     """Relations that a type may have, as an array; empty for other types."""
-    table = F.create_map(*[x for t, r in ALLOWED_RELATIONS.items() for x in (F.lit(t), F.split(F.lit(r), " "))])
+    table = F.create_map(*[x for t, r in ALLOWED_RELATIONS.items() for x in (F.lit(t), F.array(*map(F.lit, r)))])
     return F.coalesce(F.try_element_at(table, type_), F.array().cast("array<string>"))
 
 

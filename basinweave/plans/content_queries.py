@@ -391,11 +391,11 @@ _LINES = f"""ln AS (SELECT doc_id, st, u.i - 1 AS i, u.l AS l, n, text FROM (SEL
  se AS (SELECT h.doc_id, h.st, pos, type, trim(regexp_replace(l, '^#+\\s*', ''), ' ') AS title, h.i AS start_line, coalesce(nx, n) - 1 AS end_line, CASE WHEN k > 0 THEN c WHEN nx IS NULL THEN 0 ELSE 1 END AS chars
  FROM hs h JOIN sz ON sz.doc_id = h.doc_id AND sz.i = h.i UNION ALL
  SELECT doc_id, any_value(st), 0, 'content', 'Content', 0, any_value(n) - 1, length(any_value(text)) FROM hd GROUP BY doc_id HAVING count(type) = 0)"""
-_TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) >= 4 AND x NOT IN ({1}))[1:80])"
+_TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) >= 4 AND x NOT IN ({1})){2})"
 
 
-def _tok(c: str) -> str:
-    return _TOK.format(c, ", ".join(f"'{w}'" for w in text.STOP_WORDS))
+def _tok(c: str, most: str = "[1:80]") -> str:
+    return _TOK.format(c, ", ".join(f"'{w}'" for w in text.STOP_WORDS), most)
 
 
 _URL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(https?://[^\s<>\"''\])]+)'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')))"
@@ -454,7 +454,7 @@ _CUR_INV = "ci AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code
 ORACLES = {
     "t_sections": f"WITH {_LINES} SELECT doc_id, pos, type, title, start_line, end_line, chars FROM se",
     "t_section_stats": f"WITH {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}) SELECT st AS source_type, type, count(*) AS n, sum(chars)::BIGINT AS chars, max(coalesce(w, 0.5))::DOUBLE AS importance FROM se LEFT JOIN im ON ty = type GROUP BY 1, 2",
-    "t_tokens": f"SELECT token, count(*) AS documents FROM (SELECT unnest({_tok('text')}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 50",
+    "t_tokens": f"SELECT token, count(*) AS documents FROM (SELECT unnest({_tok('text', '')}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 50",
     "t_overlap": f"WITH {_P}, x AS (SELECT paper_id, {_tok('title')} AS a, {_tok('abstract')} AS b FROM p) SELECT paper_id, CASE WHEN least(len(a), len(b)) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) END AS score FROM x",
     "t_best_match": f"WITH {E.replace('SELECT * FROM (', 'SELECT * EXCLUDE (project_id) FROM (', 1)}, {_M}, mm AS (SELECT m.project_id, e.* FROM m JOIN e ON e.id = m.id), n AS (SELECT project_id, id AS node_id, {_tok('attributes->>$$$.statement$$')} AS ts FROM mm WHERE type = 'Claim'), o AS (SELECT project_id, id AS name, {_tok('concat_ws($$ $$, name, attributes->>$$$.title$$, attributes->>$$$.description$$)')} AS ts FROM mm WHERE type IN ('Dataset', 'Paper', 'Variable')), h AS (SELECT n.project_id, node_id, round(len(list_intersect(n.ts, o.ts)) / least(len(n.ts), len(o.ts)), 6) AS s FROM n JOIN o ON o.project_id = n.project_id AND len(list_intersect(n.ts, o.ts)) > 0) SELECT project_id AS source_id, node_id, max(s) AS score, CASE WHEN max(s) >= 0.18 THEN 'traceable' ELSE 'weak' END AS level FROM h GROUP BY 1, 2",
     "t_urls": f"SELECT {_KIND} AS kind, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_URL}) AS url FROM documents) GROUP BY 1",

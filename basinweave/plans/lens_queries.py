@@ -126,6 +126,20 @@ def ev_claim_issues(spark: SparkSession, d: str) -> DataFrame:
     return lenses.claim_issues(rows).groupBy("issue").agg(F.count("*").alias("claims"))
 
 
+def ev_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of each project with and without evidence, their mean depth and confidence."""
+    ents, trip = _entities(spark, d, "type", "attributes", "confidence"), _triples(spark, d)
+    claims = lenses.evidence_claims(ents, trip)
+    return lenses.evidence_summary(_members(spark, d), claims, lenses.evidence_chains(claims, ents, trip))
+
+
+def ev_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the evidence graph of each project, by relation."""
+    ents, trip = _entities(spark, d, "type", "attributes"), _triples(spark, d)
+    edges = lenses.evidence_graph(_members(spark, d), lenses.evidence_claims(ents, trip), ents, trip)
+    return edges.groupBy("project_id", "relation").agg(F.count("*").alias("edges"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
+
+
 def _chains(spark, d):
     ents, trip = _entities(spark, d), _triples(spark, d)
     return evidence.chain_nodes(ents.where("type = 'Evidence'").select("id"), ents, trip), ents, trip
@@ -154,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         l_members, l_scores, l_recommend, l_graph_edges_in_project, l_metadata, l_map_bounds, l_geometry_kinds, l_coverage, l_workflow_stage, l_data_flows,
-        l_timeline_decades, l_compare_scope, l_compare_diff, l_metrics, ev_claims, ev_chain_depth, ev_claim_issues, ev_chain_nodes, ev_sufficient, ev_chain_text,
+        l_timeline_decades, l_compare_scope, l_compare_diff, l_metrics, ev_claims, ev_chain_depth, ev_claim_issues, ev_summary, ev_graph, ev_chain_nodes, ev_sufficient, ev_chain_text,
     )
 }
 
@@ -203,17 +217,16 @@ _STAGE = f"""CASE WHEN list_has_any(coalesce(json_keys(attributes), []), ['resul
  WHEN n_in > 0 AND n_out = 0 THEN 'output' WHEN n_out > 0 AND n_in = 0 THEN 'input' ELSE 'processing' END"""
 _NAME = "coalesce(nullif(name, ''), nullif(attributes->>'$.name', ''), nullif(attributes->>'$.title', ''), nullif(attributes->>'$.statement', ''), nullif(attributes->>'$.text', ''), id)"
 _CLAIM = f"CASE WHEN type_category = 'evidence' THEN {_has('statement', 'claim', 'hypothesis', 'conclusion', 'assertion')} ELSE in_support END"
-_SUP = f"""su AS (SELECT DISTINCT subject, object AS id FROM t WHERE predicate IN {_in(lenses.SUPPORT_RELATIONS)} AND subject <> object AND subject IN (SELECT id FROM e)),
- r1 AS (SELECT DISTINCT id FROM su), r2 AS (SELECT DISTINCT id FROM su WHERE subject IN (SELECT id FROM r1)), r3 AS (SELECT DISTINCT id FROM su WHERE subject IN (SELECT id FROM r2)),
- r4 AS (SELECT DISTINCT id FROM su WHERE subject IN (SELECT id FROM r3)), sn AS (SELECT id, count(*) AS supporters FROM su GROUP BY 1),
- cl AS (SELECT fe.*, CASE WHEN id IN (SELECT id FROM r4) THEN 4 WHEN id IN (SELECT id FROM r3) THEN 3 WHEN id IN (SELECT id FROM r2) THEN 2 WHEN id IN (SELECT id FROM r1) THEN 1 ELSE 0 END AS depth FROM fe WHERE {_CLAIM}),
- cs AS (SELECT cl.*, coalesce(supporters, 0) AS supporters FROM cl LEFT JOIN sn ON sn.id = cl.id)"""
+_SUP = f"""su AS (SELECT DISTINCT subject, object AS id FROM t WHERE predicate IN {_in(lenses.SUPPORT_RELATIONS)} AND subject IN (SELECT id FROM e)),
+ sn AS (SELECT id, count(*) AS supporters FROM su GROUP BY 1),
+ pw(claim, node, k, seen) AS (SELECT id, id, 0, []::VARCHAR[] FROM fe WHERE {_CLAIM} UNION ALL SELECT claim, su.subject, k + 1, list_append(seen, node) FROM pw JOIN su ON su.id = pw.node WHERE k < 5 AND NOT list_contains(seen, node)),
+ cs AS (SELECT fe.*, coalesce(supporters, 0) AS supporters, dp.depth FROM fe JOIN (SELECT claim, max(k) AS depth FROM pw GROUP BY 1) dp ON dp.claim = fe.id LEFT JOIN sn ON sn.id = fe.id)"""
 _Y = "try_cast(nullif(regexp_extract({0}, '([0-9]{{4}})', 1), '') AS INT)"
 _COV = "coalesce(nullif(attributes->>'$.temporalCoverage', ''), nullif(attributes->>'$.temporalSpan', ''))"
 _PT = "coalesce(" + ", ".join(f"nullif(attributes->>'$.{n}', '')" for n in ("date", "time", "timestamp", "publishedAt", "createdAt", "updatedAt")) + ")"
 _START = f"CASE WHEN {_has('year')} THEN {_Y.format('attributes->>$$$.year$$')} WHEN {_has('start', 'end')} THEN {_Y.format('attributes->>$$$.start$$')} WHEN {_COV} IS NOT NULL THEN {_Y.format(_COV)} ELSE {_Y.format(_PT)} END"
 _CH = f"""ed AS (SELECT DISTINCT subject AS id, object AS nxt FROM t WHERE predicate IN {_in(evidence.CHAIN_RELATIONS)} AND object IN (SELECT id FROM e)),
- w(start, id, level) AS (SELECT id, id, 0 FROM e WHERE type = 'Evidence' UNION SELECT w.start, ed.nxt, w.level + 1 FROM w JOIN ed ON ed.id = w.id WHERE w.level < 4),
+ w(start, id, level) AS (SELECT id, id, 0 FROM e WHERE type = 'Evidence' UNION SELECT w.start, ed.nxt, w.level + 1 FROM w JOIN ed ON ed.id = w.id),
  nd AS (SELECT start, id, min(level) AS level FROM w GROUP BY 1, 2)"""
 
 ORACLES = {
@@ -232,8 +245,10 @@ ORACLES = {
     "l_compare_diff": f"WITH {E}, {_M}, x AS (SELECT m.project_id, e.id, attributes, row_number() OVER (PARTITION BY m.project_id ORDER BY pos, e.id) AS rn FROM m JOIN e ON e.id = m.id), k AS (SELECT project_id, rn, unnest(json_keys(attributes)) AS attribute, attributes FROM x WHERE rn <= 2), v AS (SELECT project_id, rn, attribute, json_extract_string(attributes, '$.\"' || attribute || '\"') AS value FROM k), two AS (SELECT project_id FROM x WHERE rn = 2) SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.attribute, b.attribute) AS attribute, a.value IS NULL AS left_missing, b.value IS NULL AS right_missing FROM (SELECT * FROM v WHERE rn = 1 AND project_id IN (SELECT project_id FROM two)) a FULL JOIN (SELECT * FROM v WHERE rn = 2) b ON a.project_id = b.project_id AND a.attribute = b.attribute WHERE a.value IS DISTINCT FROM b.value",
     "l_metrics": f"WITH {E}, {T} SELECT subject AS id, {_NAME.replace('name,', 'o.name,').replace('attributes', 'o.attributes').replace(', id)', ', o.id)')} AS metric, o.attributes->>'$.value' AS value, predicate AS relation FROM t JOIN e o ON o.id = object WHERE predicate IN ('evaluated_by', 'outperforms') AND subject IN (SELECT id FROM e)",
     "ev_claims": f"WITH {_LE}, {T}, {_FLAGS} SELECT type, count(*) AS claims FROM fe WHERE {_CLAIM} GROUP BY 1",
-    "ev_chain_depth": f"WITH {_LE}, {T}, {_FLAGS}, {_SUP} SELECT depth, count(*) AS claims, sum(supporters)::BIGINT AS supporters FROM cs GROUP BY 1",
-    "ev_claim_issues": f"WITH {_LE}, {T}, {_FLAGS}, {_SUP}, x AS (SELECT *, coalesce(nullif(try_cast(attributes->>'$.confidence' AS DOUBLE), 0), nullif(confidence, 0), 0.5) AS c FROM cs) SELECT 'missing_evidence' AS issue, count(*) AS claims FROM x WHERE supporters = 0 HAVING count(*) > 0 UNION ALL SELECT 'low_confidence', count(*) FROM x WHERE c < 0.5 HAVING count(*) > 0 UNION ALL SELECT 'unverified', count(*) FROM x WHERE coalesce(verification_state, 'extracted') = 'extracted' HAVING count(*) > 0",
+    "ev_chain_depth": f"WITH RECURSIVE {_LE}, {T}, {_FLAGS}, {_SUP} SELECT depth, count(*) AS claims, sum(supporters)::BIGINT AS supporters FROM cs GROUP BY 1",
+    "ev_claim_issues": f"WITH RECURSIVE {_LE}, {T}, {_FLAGS}, {_SUP}, x AS (SELECT *, coalesce(nullif(try_cast(attributes->>'$.confidence' AS DOUBLE), 0), nullif(confidence, 0), 0.5) AS c FROM cs) SELECT 'missing_evidence' AS issue, count(*) AS claims FROM x WHERE supporters = 0 HAVING count(*) > 0 UNION ALL SELECT 'low_confidence', count(*) FROM x WHERE c < 0.5 HAVING count(*) > 0 UNION ALL SELECT 'unverified', count(*) FROM x WHERE coalesce(verification_state, 'extracted') = 'extracted' HAVING count(*) > 0",
+    "ev_summary": f"WITH RECURSIVE {_LE}, {T}, {_FLAGS}, {_SUP}, {_M}, x AS (SELECT *, coalesce(nullif(try_cast(attributes->>'$.confidence' AS DOUBLE), 0), nullif(confidence, 0), 0.5) AS c FROM cs) SELECT project_id, count(*) AS claims, count(*) FILTER (WHERE supporters > 0) AS complete, count(*) FILTER (WHERE supporters = 0) AS unconnected, round(avg(depth), 6) AS avg_depth, round(avg(c), 6) AS avg_confidence FROM m JOIN x ON x.id = m.id GROUP BY 1",
+    "ev_graph": f"WITH RECURSIVE {_LE}, {T}, {_FLAGS}, {_SUP}, {_M}, n AS (SELECT DISTINCT m.project_id, node AS id FROM m JOIN pw ON pw.claim = m.id WHERE k < 5), g AS (SELECT DISTINCT project_id, t.subject AS source, predicate AS relation, n.id AS target FROM n JOIN t ON t.object = n.id WHERE predicate IN {_in(lenses.SUPPORT_RELATIONS)} AND t.subject IN (SELECT id FROM e)) SELECT project_id, relation, count(*) AS edges, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets FROM g GROUP BY 1, 2",
     "ev_chain_nodes": f"WITH RECURSIVE {E}, {T}, {_CH} SELECT level, count(*) AS nodes, count(DISTINCT start) AS chains FROM nd GROUP BY 1",
     "ev_sufficient": f"WITH RECURSIVE {E}, {T}, {_CH}, d AS (SELECT start, max(level) AS depth FROM nd GROUP BY 1), sp AS (SELECT DISTINCT subject AS id FROM t WHERE predicate IN {_in(evidence.CHAIN_RELATIONS)}), x AS (SELECT nd.start, depth, count(*) AS nodes, round(avg(coalesce(confidence, 1.0)), 6) AS avg_confidence, count(*) FILTER (WHERE source IS NULL OR source = '' OR coalesce(confidence, 1.0) < 0.3) AS weak, count(*) FILTER (WHERE level < depth AND sp.id IS NULL) AS gaps FROM nd JOIN d ON d.start = nd.start JOIN e ON e.id = nd.id LEFT JOIN sp ON sp.id = nd.id GROUP BY 1, 2) SELECT *, depth >= 2 AND avg_confidence >= 0.7 AND weak = 0 AND gaps = 0 AS sufficient FROM x",
     "ev_chain_text": f"WITH RECURSIVE {E}, {T}, {_CH}, b AS (SELECT start FROM nd GROUP BY 1 HAVING count(*) >= 3) SELECT start, string_agg(repeat('  ', level::BIGINT) || '[' || type || '] ' || coalesce(nullif(name, ''), e.id), chr(10) ORDER BY level, e.id) AS text FROM nd JOIN e ON e.id = nd.id WHERE start IN (SELECT start FROM b) GROUP BY 1",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Makes ``DataFrame.checkpoint`` usable and returns its folder.
 
-    A cluster names a folder that all executors share in ``spark.checkpoint.dir``; it is used as it is. Only where it is
-    unset (tests on one machine) a temporary folder takes its place.
+    A cluster names a folder that all executors share in ``spark.checkpoint.dir``; it is used as it is. Where it is unset, a session
+    on one machine gets a temporary folder, which is removed at its end; on a cluster, whose executors could not read such a folder,
+    that is an error.
     """
-    jsc = spark.sparkContext._jsc.sc()
-    current = jsc.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="basinweave-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return folder
 
 
@@ -56,8 +62,6 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_basinweave_shipped", False):
         return
-    import shutil
-
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     build = tempfile.mkdtemp(prefix="basinweave-")
     stage = os.path.join(build, "stage")
