@@ -68,102 +68,95 @@ def page_words(text: str) -> list[str]:
     return [_URL if w[:4] == "http" or w[:4] == "www." else w for w in _TOKEN.findall(marked)]
 
 
-def regular_words(codes: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Whether each content word recurs regularly; ``codes`` numbers the terms of a page."""
-    n = len(codes)
-    regular = np.zeros(n, bool)
+def _recurrences(codes: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Content words in the order of their terms, and their terms; within a term in the order of the page."""
     at = np.flatnonzero(content)
-    if len(at) < 2 * EVEN_GAPS:
-        return regular
     order = at[np.argsort(codes[at], kind="stable")]
-    term = codes[order]
-    # gaps of each term, and how much they vary
-    gap = np.diff(order)
+    return order, codes[order]
+
+
+def regular_words(n: int, order: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Whether each word of a page of ``n`` words recurs regularly; ``order`` and ``term`` as from ``_recurrences``."""
+    regular = np.zeros(n, bool)
     same = term[1:] == term[:-1]
-    gaps, of = gap[same].astype(float), term[1:][same]
-    size = int(codes.max()) + 1
+    gaps, of = np.diff(order)[same].astype(float), term[1:][same]
+    if len(gaps) < EVEN_GAPS:
+        return regular
+    # gaps of each term, and how much they vary
+    size = int(term[-1]) + 1
     count = np.bincount(of, minlength=size)
-    mean = np.bincount(of, gaps, size) / np.maximum(count, 1)
-    spread = np.sqrt(np.maximum(np.bincount(of, gaps * gaps, size) / np.maximum(count, 1) - mean**2, 0))
-    even = (count >= EVEN_GAPS) & (spread <= EVEN * mean)
-    regular[order] = even[term]
+    if (often := count >= EVEN_GAPS).any():
+        mean = np.bincount(of, gaps, size) / np.maximum(count, 1)
+        spread = np.sqrt(np.maximum(np.bincount(of, gaps * gaps, size) / np.maximum(count, 1) - mean**2, 0))
+        regular[order] = (often & (spread <= EVEN * mean))[term]
     # peaks of the autocorrelation, over lags to the last occurrence and the one before it
+    least = PEAK * len(order)
     for step in (1, 2):
-        if len(order) <= step:
-            break
-        hit = term[step:] == term[:-step]
-        late, early = order[step:][hit], order[:-step][hit]
-        often = (late - early) * (EVEN_GAPS + 1) <= n
-        late, early = late[often], early[often]
-        if not len(late):
+        hit = np.flatnonzero((term[step:] == term[:-step]) & ((order[step:] - order[:-step]) * (EVEN_GAPS + 1) <= n))
+        if len(hit) < least:
             continue
-        lag = late - early
-        # windows of lags as wide as LAG_WIDTH of the lag, and the same shifted by half
-        for shift in (0.0, 0.5):
-            bin_ = np.floor(np.log(lag) / np.log1p(LAG_WIDTH) + shift).astype(np.int64)
-            peak = np.bincount(bin_) >= PEAK * len(at)
-            hot = peak[bin_]
+        late, early = order[step:][hit], order[hit]
+        lag = np.log(late - early) / np.log1p(LAG_WIDTH)
+        for shift in (0.0, 0.5):  # windows of lags as wide as LAG_WIDTH of the lag, and the same shifted by half
+            bins = (lag + shift).astype(np.int64)
+            hot = (np.bincount(bins) >= least)[bins]
             regular[late[hot]] = True
             regular[early[hot]] = True
     return regular
 
 
+_FUNCTION, _PARTICLE, _ENDED = -1, -3, -2
+_FIXED = dict.fromkeys(FUNCTION_WORDS, _FUNCTION) | dict.fromkeys(_PARTICLES, _PARTICLE) | {_END: _ENDED}
+
+
 def page_weights(tokens: list[str]) -> tuple[int, int]:
     """(words in stuffed windows, all words); an address counts as ``URL_WORDS``.
 
     The gap of a word within short lags is that to its nearest occurrence on either side.
     """
-    words: list[str] = []
-    ends = []  # of sentences: numbers of the words before them
-    for w in tokens:
-        if w != _END:
-            words.append(w)
-        elif words:
-            ends.append(len(words) - 1)
-    n = len(words)
-    last: dict[str, int] = {}
     number: dict[str, int] = {}
-    codes = np.zeros(n, np.int64)
-    near = bytearray(n)  # 2: recurs within SHORT_LAG, 1: within LONG_LAG
-    function = bytearray(n)
-    for i, w in enumerate(words):
-        if w in FUNCTION_WORDS or w in _PARTICLES:
-            function[i] = 1
-            continue
-        codes[i] = number.setdefault(w, len(number))
-        j = last.get(w)
-        if j is not None and i - j <= LONG_LAG:
-            mark = 2 if i - j <= SHORT_LAG else 1
-            if near[i] < mark:
-                near[i] = mark
-            if near[j] < mark:
-                near[j] = mark
-        last[w] = i
-    regular = regular_words(codes, np.frombuffer(function, np.uint8) == 0) if n else np.zeros(0, bool)
-    closed = np.bincount(np.array(ends, np.int64) // WINDOW, minlength=n // WINDOW + 3) if ends else np.zeros(n // WINDOW + 3, np.int64)
-    stuffed = total = 0
-    for k, a in enumerate(range(0, n, WINDOW)):
-        part, marks = words[a : a + WINDOW], near[a : a + WINDOW]
-        size = len(part)
-        weight = size + (URL_WORDS - 1) * part.count(_URL)
-        total += weight
-        few = sum(function[a : a + WINDOW])
-        share, content = few / size, size - few
-        prose = closed[k] <= size / SENTENCE_WORDS and (closed[k] > 0 or (k > 0 and closed[k - 1] > 0 and closed[k + 1] > 0))
-        # Chinese characters recur as parts of different words, so there only the absence of particles tells
-        if sum(1 for w in part if len(w) == 1 and _CJK.match(w)) > size / 2:
-            if share < CJK_FUNCTION:
-                stuffed += weight
-            continue
-        short = marks.count(2)
-        if (
-            (share < FEW_FUNCTION and not prose)
-            or (content and regular[a : a + WINDOW].sum() >= REGULAR * content)
-            or short >= SHORT_RECUR * content
-            or (short + marks.count(1) >= LONG_RECUR * content and share < SOME_FUNCTION)
-        ):
-            stuffed += weight
-    return stuffed, total
+    raw = np.array([_FIXED[w] if w in _FIXED else number.setdefault(w, len(number)) for w in tokens], np.int64)
+    is_end = raw == _ENDED
+    codes = raw[~is_end]
+    n = len(codes)
+    if not n:
+        return 0, 0
+    function = (codes == _FUNCTION) | (codes == _PARTICLE)
+    order, term = _recurrences(codes, ~function)
+    near, far = np.zeros(n, bool), np.zeros(n, bool)  # recurs within SHORT_LAG, within LONG_LAG
+    hit = np.flatnonzero(term[1:] == term[:-1])
+    gap = order[hit + 1] - order[hit]
+    for mark, lag in ((near, SHORT_LAG), (far, LONG_LAG)):
+        close = hit[gap <= lag]
+        mark[order[close]] = True
+        mark[order[close + 1]] = True
+
+    starts = np.arange(0, n, WINDOW)
+    per_window = lambda x: np.add.reduceat(x.astype(np.int64), starts)
+    size = np.diff(np.append(starts, n))
+    few = per_window(function)
+    share, content = few / size, size - few
+    weight = size + (URL_WORDS - 1) * per_window(codes == number.get(_URL, -9))
+    ends = np.flatnonzero(is_end)
+    ends = ends - np.arange(len(ends)) - 1  # numbers of the words before them
+    closed = np.bincount(ends[ends >= 0] // WINDOW, minlength=len(starts))
+    beside = np.pad(closed > 0, 1)
+    prose = (closed <= size / SENTENCE_WORDS) & ((closed > 0) | (beside[:-2] & beside[2:]))
+    short, long = per_window(near), per_window(far)
+    stuffed = (
+        ((share < FEW_FUNCTION) & ~prose)
+        | ((content > 0) & (per_window(regular_words(n, order, term)) >= REGULAR * content))
+        | (short >= SHORT_RECUR * content)
+        | ((long >= LONG_RECUR * content) & (share < SOME_FUNCTION))
+    )
+    # Chinese characters recur as parts of different words, so there only the absence of particles tells
+    signs = [k for w, k in number.items() if len(w) == 1 and _CJK.match(w)]
+    if signs or (codes == _PARTICLE).any():
+        sign = np.zeros(len(number) + 1, bool)
+        sign[signs] = True
+        most = per_window(sign[np.maximum(codes, -1)] | (codes == _PARTICLE)) > size / 2
+        stuffed = np.where(most, share < CJK_FUNCTION, stuffed)
+    return int(weight[stuffed].sum()), int(weight.sum())
 
 
 def stuffed_share(text: str | None) -> float:
