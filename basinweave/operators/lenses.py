@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basinweave.functions.js import any_attr, attr, has_attr
 from basinweave.operators.graph import display_name
+from basinweave.session import stable
 
 # Fixed values.
 WORKFLOW_CATEGORIES = ("data", "modeling", "computing", "process", "method")
@@ -210,20 +211,39 @@ def support_edges(entities: DataFrame, triples: DataFrame) -> DataFrame:
 
 def evidence_chains(claims: DataFrame, entities: DataFrame, triples: DataFrame, max_depth: int = 5) -> DataFrame:
     """(id, depth, supporters): length of the longest chain of incoming support, up to ``max_depth`` steps, and the number of direct
-    supporters. An entity that supports itself has a chain of one step.
+    supporters. A chain ends at an entity that it has already passed.
 
     Worked from the far end: the nodes that have a chain of k steps are those with a supporter that has one of k - 1 steps, so a
-    round is one semi join of the support edges and nothing grows with the number of paths. On a longer cycle the depth is the bound.
+    round is one semi join of the support edges and nothing grows with the number of paths. Only where edges are left after
+    ``max_depth`` rounds of taking off those that nothing leads to or away from, which may form cycles, the paths of the entities
+    that come out at the bound are followed one by one.
     """
-    support = support_edges(entities, triples).select("subject", "id").distinct()
+    support = stable(support_edges(entities, triples).select("subject", "id").distinct())
     counts = support.groupBy("id").agg(F.count("*").alias("supporters"))
+    others = support.where("subject != id")
     level = counts.select("id")
     depths = level.select("id", F.lit(1).alias("depth"))
-    others = support.where("subject != id")
     for k in range(2, max_depth + 1):
         level = others.join(level.select(F.col("id").alias("subject")), "subject", "left_semi").select("id").distinct()
         depths = depths.unionByName(level.select("id", F.lit(k).alias("depth")))
     depth = depths.groupBy("id").agg(F.max("depth").alias("depth"))
+    core = others
+    for _ in range(max_depth):
+        inner = core.join(core.select(F.col("id").alias("subject")), "subject", "left_semi").join(core.select(F.col("subject").alias("id")), "id", "left_semi")
+        core = stable(inner)
+        if core.isEmpty():
+            break
+    else:
+        at_bound = claims.select("id").join(depth.where(F.col("depth") == max_depth), "id", "left_semi").select("id")
+        front = at_bound.select(F.col("id").alias("start"), "id", F.array("id").alias("passed")).distinct()
+        followed = front.select("start", F.lit(1).alias("depth"))
+        going = others.join(counts.select(F.col("id").alias("subject")), "subject", "left_semi")
+        for k in range(2, max_depth + 1):
+            step = front.join(going, "id").where(~F.array_contains("passed", F.col("subject")))
+            front = stable(step.select("start", F.col("subject").alias("id"), F.array_sort(F.array_append("passed", F.col("subject"))).alias("passed")).distinct())
+            followed = followed.unionByName(front.select("start", F.lit(k).alias("depth")))
+        exact = followed.groupBy(F.col("start").alias("id")).agg(F.max("depth").alias("exact"))
+        depth = depth.join(exact, "id", "left").select("id", F.coalesce("exact", "depth").alias("depth"))
     return claims.select("id").join(depth, "id", "left").join(counts, "id", "left").fillna({"depth": 0, "supporters": 0})
 
 

@@ -95,7 +95,8 @@ def state_of_times(timed: DataFrame) -> DataFrame:
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
-    """Keys with positive references and no existence, or created after their earliest reference."""
+    """Keys with positive references and no existence, or created after their earliest reference, of a state per key or key and time."""
+    state = state_of_times(state)
     missing = F.col("rows") <= 0
     late = F.col("first_created") > F.col("first_ref")
     return state.where((F.col("refs") > 0) & (missing | late)).select(

@@ -126,7 +126,11 @@ def test_stages_and_chains(spark):
     assert flows == [("in", "m", "out", "uses")]
     claims = lenses.evidence_claims(e, t)
     got = {r.id: (r.depth, r.supporters) for r in lenses.evidence_chains(claims, e, t).collect()}
-    assert got == {"cl": (4, 1), "e1": (4, 1), "e2": (4, 1)}
+    assert got == {"cl": (3, 1), "e1": (3, 2), "e2": (3, 1)}  # the third step leads back to where the chain began
+    line = trips(spark, [(f"x{k + 1}", "supports", f"x{k}") for k in range(9)])
+    chain = layered(spark, [(f"x{k}", "Claim", f"x{k}", "{}", 0.9, None) for k in range(10)])
+    got = {r.id: r.depth for r in lenses.evidence_chains(chain, chain, line).collect()}
+    assert got == {f"x{k}": min(5, 9 - k) for k in range(10)}
     nodes = evidence.chain_nodes(e.where("id = 'e2'"), e, t)
     assert {(r.id, r.level) for r in nodes.collect()} == {("e2", 0), ("e1", 1), ("cl", 2)}
     top = evidence.chain_summary(nodes, e, t).first()

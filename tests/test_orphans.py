@@ -46,3 +46,19 @@ def test_hot_key(spark):
     rows = O.reference_rows(refs, "triples", "triple_id", F.col("ref"), "created_at", O.ENTITY_KEY)
     found = O.orphan_references(rows, tables(spark, [], [(A, T[0], "x")])[1])
     assert O.orphan_counts(found).first()["refs"] == 30000
+
+
+def test_deltas_that_are_taken_back(spark):
+    """A key created early, deleted and created again late is late for the references between; a withdrawn reference makes none late."""
+    day = lambda m, d=1: dt.datetime(2024, m, d)
+    ref = spark.createDataFrame([("t", "r1", "k", day(5)), ("t", "r2", "j", day(6))], "tbl string, from_key string, to_key string, ref_at timestamp")
+    gone = spark.createDataFrame([("t", "r0", "j", day(1))], "tbl string, from_key string, to_key string, ref_at timestamp")
+    made = lambda rows: spark.createDataFrame(rows, "to_key string, created_at timestamp")
+    state = O.timed_state(O.reference_deltas(ref.unionByName(gone)).unionByName(O.existence_deltas(made([("k", day(1)), ("j", day(3))]))))
+    state = O.merge_state(state, O.existence_deltas(made([("k", day(1))]), -1).unionByName(O.reference_deltas(gone, -1)))
+    missing = {tuple(r)[2:] for r in O.orphan_references(ref, made([]), state).collect()}
+    assert missing == {("r1", "k", "missing")}
+    state = O.merge_state(state, O.existence_deltas(made([("k", day(9))])))
+    found = O.orphan_references(ref, made([]), state).collect()
+    full = O.orphan_references(ref, made([("k", day(9)), ("j", day(3))])).collect()
+    assert {tuple(r) for r in found} == {tuple(r) for r in full} == {("t", "2024-05", "r1", "k", "late")}
