@@ -51,12 +51,12 @@ def source_quality(sources: DataFrame) -> DataFrame:
         coverage_score(c("content_level")).alias("score_coverage"),
     )
     rows = rows.withColumn("score", weighted_score(SOURCE_WEIGHTS))
-    flag = lambda cond: cond.cast("int")
+    flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")  # noqa: E731 (an unknown level is not a weak one)
     weak = (
         flag(c("score_brief") < 55) + flag(c("score_route") < 55) + flag(c("trace_level").isin("weak", "limited", "missing")) + flag(c("fidelity_level").isin("weak", "limited", "missing"))
         + flag((c("visual_count") > 0) & (c("score_visuals") < 45)) + flag((c("resource_count") == 0) | (c("score_resources") < 45))
     )
-    rows = rows.withColumn("weak", F.coalesce(weak, F.lit(0)))
+    rows = rows.withColumn("weak", weak)
     level = F.when((c("score") >= PRODUCT_READY) & (c("weak") == 0), "product_ready").when((c("score") >= REVIEWABLE) & (c("weak") <= 1), "reviewable").otherwise("weak")
     return rows.withColumn("level", level)
 

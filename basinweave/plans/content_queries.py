@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basinweave.functions import text
 from basinweave.operators import admission, decompose, graph, nested, ontology, quality, repositories, spatial, state
+from basinweave.plans.core_problems import P4_NODES
 from basinweave.plans.graph_queries import MEMBERS as _M
 from basinweave.plans.graph_queries import E, T, _values
 from basinweave.session import table
@@ -451,7 +452,43 @@ _FILES = r"""f0 AS (SELECT DISTINCT full_name, unnest(tree) AS path FROM reposit
 _CUR_APP = "ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, created_at DESC, status DESC NULLS LAST) AS rn FROM applications WHERE id IS NOT NULL) WHERE rn = 1)"
 _CUR_INV = "ci AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY created_at DESC, used_at DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM invites WHERE code IS NOT NULL) WHERE rn = 1)"
 
+_HALF_UP = "floor({0} + 0.5)"
+_VISUALS = "CASE WHEN visual_count = 0 THEN 75 ELSE floor(explained * 100 / visual_count + 0.5) END AS score_visuals"
+
+
+def _weighted(weights: dict[str, float]) -> str:
+    return f"floor(round({' + '.join(f'score_{k} * {w}' for k, w in weights.items())}, 6) + 0.5)::INT AS score"
+
+
+_COUNTS = P4_NODES + """, c0 AS (SELECT project_id, count(*) FILTER (WHERE t = 'key_point') AS n_points, count(*) FILTER (WHERE t = 'result') AS n_nodes, count(*) FILTER (WHERE t = 'anchor') AS n_edges,
+ count(*) FILTER (WHERE t = 'attachment') AS visual_count, count(*) FILTER (WHERE t = 'project_source') AS resource_count, count(*) FILTER (WHERE t = 'evidence') AS evidence FROM nodes GROUP BY 1)"""
+_QUALITY = f"""{_COUNTS}, c1 AS (SELECT *, n_points > 0 AS has_one_line, least(visual_count, evidence) AS explained, least(resource_count, evidence) AS linked, evidence >= n_nodes AS ready, greatest(n_nodes - evidence, 0) AS warnings FROM c0),
+ c2 AS (SELECT *, CASE WHEN n_points >= 3 AND has_one_line THEN 100 WHEN has_one_line OR n_points > 0 THEN 65 ELSE 20 END AS score_brief, CASE WHEN n_nodes >= 3 AND n_edges >= 2 THEN 100 WHEN n_nodes >= 2 THEN 70 ELSE 35 END AS score_route, {_VISUALS},
+ CASE WHEN resource_count = 0 THEN 35 WHEN linked > 0 THEN 100 ELSE 65 END AS score_resources, CASE WHEN ready THEN 100 ELSE greatest(45, 85 - warnings * 10) END AS score_integrity FROM c1),
+ c3 AS (SELECT *, {_weighted(quality.PROJECT_WEIGHTS)} FROM c2), pq AS (SELECT *, CASE WHEN score >= {quality.PRODUCT_READY} THEN 'product_ready' WHEN score >= {quality.REVIEWABLE} THEN 'reviewable' ELSE 'weak' END AS level FROM c3)"""
+_SIGNALS = f"""{_COUNTS}, sg AS (SELECT project_id, unnest([{{'ord': 1, 'signal': 'brief', 'n': n_points}}, {{'ord': 2, 'signal': 'results', 'n': n_nodes}}, {{'ord': 3, 'signal': 'anchors', 'n': n_edges}}, {{'ord': 4, 'signal': 'visuals', 'n': visual_count}}, {{'ord': 5, 'signal': 'sources', 'n': resource_count}}], recursive := true) FROM c0),
+ si AS (SELECT project_id, ord, signal, CASE WHEN n >= 3 THEN 'ready' WHEN n > 0 THEN 'limited' ELSE 'missing' END AS state FROM sg)"""
+_REVIEW = rf"""ro AS (SELECT full_name, list(DISTINCT role) AS roles FROM fc GROUP BY 1), nm AS (SELECT full_name, bool_or(coalesce(readme <> '', false)) AS rt, bool_or(coalesce(license <> '', false)) AS lt,
+ bool_or(len(list_filter(coalesce(tree, []), lambda x: coalesce(regexp_matches(lower(x), '(^|[/\\])licen[cs]e(\.md|\.txt)?$'), false))) > 0) AS lf, bool_or(len(list_filter(coalesce(tree, []), lambda x: coalesce(lower(x) LIKE '%.ipynb', false))) > 0) AS nb,
+ bool_or(coalesce(regexp_matches(lower(readme), 'python |node |npm (run|install)|pip install|docker run|make '), false)) AS rn FROM repositories GROUP BY 1),
+ ck AS (SELECT nm.full_name, rt OR h('readme') AS c_readme, lt OR lf AS c_license, h('dependency_manifest') OR h('package_manifest') OR h('environment_manifest') AS c_dependencies, nb OR h('entrypoint') OR h('example_entrypoint') AS c_script,
+ h('data_descriptor') AS c_data, h('container_manifest') AS c_docker, rn AS c_run FROM nm LEFT JOIN ro ON ro.full_name IS NOT DISTINCT FROM nm.full_name),
+ cp AS (SELECT *, c_readme::INT + c_license::INT + c_dependencies::INT + c_script::INT + c_data::INT + c_docker::INT + c_run::INT AS passed FROM ck)"""
+for _role in ("readme", "dependency_manifest", "package_manifest", "environment_manifest", "entrypoint", "example_entrypoint", "data_descriptor", "container_manifest"):
+    _REVIEW = _REVIEW.replace(f"h('{_role}')", f"coalesce(list_contains(roles, '{_role}'), false)")
+_SQUEEZED = r"lower(regexp_replace({0}, '\s+', ' ', 'g'))"
+_MATCH = f"""CASE WHEN quote IS NULL OR quote = '' OR abstract = '' THEN 'missing' WHEN contains(abstract, quote) THEN 'exact' WHEN contains(f, q) THEN 'normalized' WHEN contains(f, left(q, 100)) THEN 'partial' ELSE 'similarity' END"""
+
 ORACLES = {
+    "t_chunks": f"WITH RECURSIVE {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}), od AS (SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(w, 0.5) DESC, pos) AS i FROM se LEFT JOIN im ON ty = type), pk(doc_id, i, opened, done) AS (SELECT doc_id, i, chars::BIGINT, []::BIGINT[] FROM od WHERE i = 1 UNION ALL SELECT od.doc_id, od.i, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN opened + 2 + chars ELSE chars END::BIGINT, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN done ELSE list_append(done, opened) END FROM pk JOIN od ON od.doc_id = pk.doc_id AND od.i = pk.i + 1), lp AS (SELECT doc_id, list_append(done, opened) AS s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS rn FROM pk) WHERE rn = 1) SELECT doc_id, len(s) AS chunks, list_max(s) AS largest, list_sum(s)::BIGINT AS chars FROM lp WHERE len(s) > 1",
+    "t_validate_text": f"WITH {_P}, a AS (SELECT paper_id, abstract, title FROM p WHERE abstract IS NOT NULL), b AS (SELECT abstract, 'late' AS name, upper(left(abstract, 60)) || ' zzz' AS quote FROM a UNION ALL SELECT abstract, 'title', title FROM a UNION ALL SELECT abstract, 'abstract', abstract FROM a), n AS (SELECT *, {_SQUEEZED.format('trim(quote)')} AS q, {_SQUEEZED.format('abstract')} AS f FROM b), x AS (SELECT *, {_MATCH} AS match, string_split(q, ' ')[1:20] AS ws FROM n) SELECT name AS quote, match, CASE match WHEN 'missing' THEN false WHEN 'similarity' THEN len(list_filter(ws, lambda w: contains(f, w))) / len(ws) >= 0.7 ELSE true END AS valid, count(*) AS n FROM x GROUP BY 1, 2, 3",
+    "r_review": f"WITH {_FILES}, {_REVIEW} SELECT *, CASE WHEN c_readme AND c_license AND c_dependencies AND c_script AND c_run AND passed >= 6 THEN 'A' WHEN c_readme AND c_script AND (c_dependencies OR c_run) AND passed >= 4 THEN 'B' WHEN c_readme AND (c_script OR c_dependencies) AND passed >= 3 THEN 'C' WHEN c_readme OR passed >= 1 THEN 'D' ELSE 'E' END AS grade FROM cp",
+    "q_project_quality": f"{_QUALITY} SELECT project_id, score, level, {', '.join(f'score_{k}' for k in quality.PROJECT_WEIGHTS)} FROM pq",
+    "q_benchmark": f"{_QUALITY} SELECT count(*) AS n, round(avg(score), 4) AS avg_score, min(score) AS min_score, count(*) FILTER (WHERE level = 'weak') AS weak, bool_and(level <> 'weak') AS passed FROM pq",
+    "q_paper_quality": f"WITH {_OBJ}, nf AS (SELECT source_id, count(*) AS n FROM fw GROUP BY 1), x AS (SELECT paper_id, coalesce(length(abstract), 0) > 0 AS has_one_line, coalesce(n, 0) AS n_points, coalesce(len(datasets), 0) AS n_nodes, coalesce(len(keywords), 0) AS n_edges, abstract FROM p LEFT JOIN nf ON source_id = paper_id), y AS (SELECT *, CASE WHEN has_one_line AND n_points >= 3 THEN 90 WHEN has_one_line OR n_points > 0 THEN 60 ELSE 20 END AS score_brief, CASE WHEN n_nodes >= 3 AND n_edges >= 2 THEN 90 WHEN n_nodes >= 2 THEN 65 ELSE 25 END AS score_route, 45 AS score_traceability, 45 AS score_fidelity, 75 AS score_visuals, CASE WHEN n_nodes = 0 THEN 35 ELSE 100 END AS score_resources, CASE WHEN abstract IS NOT NULL THEN 55 ELSE 50 END AS score_coverage FROM x), z AS (SELECT *, {_weighted(quality.SOURCE_WEIGHTS)}, (score_brief < 55)::INT + (score_route < 55)::INT + (n_nodes = 0)::INT AS weak FROM y) SELECT CASE WHEN score >= {quality.PRODUCT_READY} AND weak = 0 THEN 'product_ready' WHEN score >= {quality.REVIEWABLE} AND weak <= 1 THEN 'reviewable' ELSE 'weak' END AS level, score, count(*) AS papers FROM z GROUP BY 1, 2",
+    "q_readiness": f"{_SIGNALS} SELECT project_id, count(*) FILTER (WHERE state = 'ready') AS ready, count(*) AS total, floor(count(*) FILTER (WHERE state = 'ready') * 100 / count(*) + 0.5)::BIGINT AS score FROM si GROUP BY 1",
+    "q_action_plan": f"{_SIGNALS}, rk AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE state WHEN 'missing' THEN 1 ELSE 2 END, ord) AS rank FROM si WHERE state <> 'ready') SELECT project_id, rank, signal, state FROM rk WHERE rank <= 4",
+    "k_rate_limit": "WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), r(key, i, last, ok) AS (SELECT key, i, [us], true FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, CASE WHEN len(last) < 3 OR o.us - last[len(last) - 2] >= 3600000000 THEN list_append(last, o.us) ELSE last END, len(last) < 3 OR o.us - last[len(last) - 2] >= 3600000000 FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1) SELECT key, ok AS allowed, count(*) AS n FROM r GROUP BY 1, 2",
     "t_sections": f"WITH {_LINES} SELECT doc_id, pos, type, title, start_line, end_line, chars FROM se",
     "t_section_stats": f"WITH {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}) SELECT st AS source_type, type, count(*) AS n, sum(chars)::BIGINT AS chars, max(coalesce(w, 0.5))::DOUBLE AS importance FROM se LEFT JOIN im ON ty = type GROUP BY 1, 2",
     "t_tokens": f"SELECT token, count(*) AS documents FROM (SELECT unnest({_tok('text', '')}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 50",

@@ -95,7 +95,7 @@ def _items(cte: str, src: str, step: str, parent: str, value: str) -> str:
  {cte} AS (SELECT project_id, parent_path, CASE WHEN parent_path = '' THEN '' ELSE parent_path || '.' END || '{name}[' || i || ']' AS item_path, {_dec('e')} AS v FROM {cte}2 WHERE json_type({_dec('e')}) <> 'NULL')"""
 
 
-_P4 = f"""
+P4_NODES = f"""
 WITH cur AS (SELECT id AS project_id, metadata FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, metadata DESC) AS rn FROM projects WHERE id IS NOT NULL) WHERE rn = 1),
  j0 AS (SELECT project_id, metadata::JSON AS v FROM cur WHERE json_valid(metadata)), j AS (SELECT project_id, {_dec('v')} AS v FROM j0),
  pr AS (SELECT project_id, {_dec("json_extract(v, '$.projectRecomposition')")} AS v FROM j WHERE json_type(v) = 'OBJECT'), mr AS (SELECT project_id, {_dec("json_extract(v, '$.mapRecomposition')")} AS v FROM j WHERE json_type(v) = 'OBJECT'),
@@ -106,8 +106,8 @@ WITH cur AS (SELECT id AS project_id, metadata FROM (SELECT *, row_number() OVER
 """
 
 ORACLES = {
-    "p4_found": _P4 + "SELECT project_id, parent_path, item_path, CASE WHEN json_type(v) = 'OBJECT' THEN coalesce(json_extract_string(v, '$.id'), '') ELSE '' END AS item_id FROM nodes",
-    "p4_node_counts": _P4 + "SELECT t AS node_type, count(*) AS nodes, count(DISTINCT project_id) AS documents FROM nodes GROUP BY 1",
+    "p4_found": P4_NODES + "SELECT project_id, parent_path, item_path, CASE WHEN json_type(v) = 'OBJECT' THEN coalesce(json_extract_string(v, '$.id'), '') ELSE '' END AS item_id FROM nodes",
+    "p4_node_counts": P4_NODES + "SELECT t AS node_type, count(*) AS nodes, count(DISTINCT project_id) AS documents FROM nodes GROUP BY 1",
     "p6_found": _P6 + "SELECT * FROM found",
     "p6_counts": _P6
     + "SELECT tbl, ref_month, reason, count(*) AS refs, count(DISTINCT to_key) AS keys FROM found GROUP BY tbl, ref_month, reason",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basinweave.functions.js import attr
 from basinweave.operators import admission, citations, graph, lenses, ontology, recompose, registry, routes, state
 from basinweave.plans.content_queries import _ADMIT, _P, _papers, _tok, sources
-from basinweave.plans.graph_queries import _values
+from basinweave.plans.graph_queries import E, T, _values
 from basinweave.plans.lens_queries import _LE, _M, _NAME, _has, _in
 from basinweave.session import table
 
@@ -161,6 +161,8 @@ def _links(left: str, right: str, label: str, threshold: float) -> str:
 
 
 ORACLES = {
+    "n_input_kinds": rf"WITH {_ADMIT}, x AS (SELECT lower(trim(input)) AS t FROM src) SELECT CASE WHEN regexp_extract(t, '(10\.[0-9]{{4,9}}/[^\s\"<>]+)', 1) <> '' THEN 'doi' WHEN regexp_matches(t, 'github\.com/') THEN 'repository' WHEN regexp_matches(t, '^https?://') THEN 'url' WHEN len(regexp_split_to_array(t, '\s+')) >= 4 AND length(t) >= 20 THEN 'title' ELSE 'unknown' END AS kind, count(*) AS n FROM x GROUP BY 1",
+    "n_allowed_relations": f"WITH {E}, {T}, al AS (SELECT * FROM {_values([(t, r) for t, rs in registry.ALLOWED_RELATIONS.items() for r in rs], 'ty, rel')}) SELECT e.type, EXISTS (SELECT 1 FROM al WHERE ty = e.type AND rel = t.predicate) AS allowed, count(*) AS n FROM t JOIN e ON e.id = t.subject WHERE e.type IN (SELECT ty FROM al) GROUP BY 1, 2",
     "n_metadata_objects": f"WITH {_P}, x AS (SELECT 'Dataset' AS type, 'datasets' AS origin, u.d.name AS name, u.i - 1 AS pos FROM p, LATERAL (SELECT unnest(datasets) AS d, generate_subscripts(datasets, 1) AS i) u UNION ALL SELECT 'Variable', 'variables', trim(u.k), u.i - 1 FROM p, LATERAL (SELECT unnest(keywords) AS k, generate_subscripts(keywords, 1) AS i) u UNION ALL SELECT 'Institution', 'institutions', trim(u.a.affiliation), u.i - 1 FROM p, LATERAL (SELECT unnest(authors) AS a, generate_subscripts(authors, 1) AS i) u) SELECT type, origin, count(*) AS n, count(DISTINCT name) AS names, max(pos) AS last_pos FROM x WHERE name <> '' GROUP BY 1, 2",
     "n_merge_points": f"WITH {_P}, x AS (SELECT venue, paper_id, u.k AS k, u.i - 1 AS pos FROM p, LATERAL (SELECT unnest(keywords) AS k, generate_subscripts(keywords, 1) AS i) u WHERE venue IS NOT NULL), y AS (SELECT venue, trim(regexp_replace(lower(k), '[^a-z0-9]+', ' ', 'g')) AS key, min(row(paper_id, pos, k)) AS m, count(DISTINCT paper_id) AS sources FROM x WHERE k IS NOT NULL GROUP BY 1, 2), z AS (SELECT venue, m[3] AS label, sources, row_number() OVER (PARTITION BY venue ORDER BY m[1], m[2], m[3]) AS rank FROM y WHERE key <> '') SELECT * FROM z WHERE rank <= 12",
     "n_route_nodes": f"WITH {_ROUTE} SELECT * FROM rn",
