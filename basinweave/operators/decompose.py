@@ -130,17 +130,91 @@ def capability_predicate(type_: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), type_), F.lit("uses"))
 
 
+def source_triples(items: DataFrame) -> DataFrame:
+    """(source_id, subject, predicate, object, confidence, section): what a source and its entities say of each other.
+
+    ``items``: source_id, kind (dataset, method, model, region, experiment, claim, grade), id, name, confidence (null: 0.8), evidence
+    (of claims; '' and null are none), uses (array of names; of methods and models the data they use). Each dataset covers each region
+    of its source; they meet on the source, which has few of either.
+    """
+    of = lambda kind: items.where(F.col("kind") == kind)
+    c = F.coalesce("confidence", F.lit(0.8))
+
+    def edge(df: DataFrame, subject: str, predicate: str, object_: str, confidence: Column, section: str) -> DataFrame:
+        return df.select("source_id", F.col(subject).alias("subject"), F.lit(predicate).alias("predicate"), F.col(object_).alias("object"), confidence.cast("double").alias("confidence"), F.lit(section).alias("section"))
+
+    direct = [("dataset", "uses", "datasets"), ("method", "applies", "methods"), ("region", "studies", "spatial"), ("experiment", "consists_of", "experiments")]
+    out = [edge(of(kind), "source_id", predicate, "id", c, section) for kind, predicate, section in direct]
+    out.append(edge(of("claim"), "id", "derives_from", "source_id", c, "claims"))
+    out.append(edge(of("claim").where("evidence is not null and evidence != ''"), "source_id", "supports", "id", c, "results"))
+    out.append(edge(of("grade"), "source_id", "evaluated_by", "name", F.lit(0.9), "reproducibility"))
+    data = of("dataset").select("source_id", F.col("id").alias("data"), F.col("name").alias("used"))
+    named = of("method").select("source_id", "id", F.explode("uses").alias("used")).join(data, ["source_id", "used"])
+    out.append(edge(named, "id", "uses", "data", F.lit(0.9), "methods"))
+    trained = of("model").where("size(uses) > 0").select("source_id", "id").join(data, "source_id")
+    out.append(edge(trained, "id", "trained_on", "data", F.lit(0.9), "methods"))
+    region = of("region").select("source_id", F.col("id").alias("region"))
+    out.append(edge(data.join(region, "source_id"), "data", "covers", "region", F.lit(0.7), "spatial"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
+def fallback_relations(subjects: DataFrame, objects: DataFrame, stated: DataFrame, closure: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(source_id, subject, predicate, object, confidence): relations inferred from the types of objects of one source.
+
+    ``subjects`` (capabilities and evidence) and ``objects`` (of the world): source_id, id, type. ``stated``: source_id, subject, object;
+    subjects that any stated relation names are left out. Only predicates that may be inferred count, with their cap. Types are
+    matched once for each pair of types; then both sides meet on the source and the type.
+    """
+    from basinweave.operators.ontology import valid_bridges
+
+    named = stated.select("source_id", F.explode(F.array("subject", "object")).alias("id"))
+    free = subjects.join(named, ["source_id", "id"], "left_anti").select("source_id", F.col("id").alias("subject"), F.col("type").alias("subject_type")).distinct()
+    worlds = objects.select("source_id", F.col("id").alias("object"), F.col("type").alias("object_type")).distinct()
+    kinds = free.select("source_id", "subject_type").distinct().join(worlds.select("source_id", "object_type").distinct(), "source_id")
+    valid = valid_bridges(kinds.select("subject_type", "object_type").distinct(), closure, bridges).where("fallback")
+    valid = valid.select("subject_type", "object_type", "predicate", F.col("cap").alias("confidence")).distinct()
+    pairs = free.join(F.broadcast(valid), "subject_type").join(worlds, ["source_id", "object_type"])
+    return pairs.where("subject != object").select("source_id", "subject", "predicate", "object", "confidence").distinct()
+
+
 def traceability(nodes: DataFrame, objects: DataFrame) -> DataFrame:
-    """Best object of the same source for each route node (source_id, node_id, tokens against source_id, name, tokens), by shared tokens.
+    """Object of the same source that each route node (source_id, node_id, tokens against source_id, name, tokens) stands for.
 
-    Tokens are an inverted index within the source; a node is traceable from 0.18 on.
+    A node whose id is an object's stands for it; else for the one that shares the most tokens, from a score of 0.18 on. Tokens are an
+    inverted index within the source; a token that the source's objects all but share is no rarer than it is, so nothing is dropped.
+    ``level``: traceable where the object is ``grounded`` (a column of ``objects``; grounded if absent), weak where it isn't or where
+    the node is ``linked`` (a column of ``nodes``; not linked if absent), untraced else.
     """
-    n = nodes.select("source_id", "node_id", F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
-    o = objects.select("source_id", "name", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    hit = n.join(o, ["source_id", "t"]).groupBy("source_id", "node_id", "name", "na", "nb").agg(F.count("*").alias("shared"))
+    linked = F.col("linked") if "linked" in nodes.columns else F.lit(False)
+    grounded = F.col("grounded") if "grounded" in objects.columns else F.lit(True)
+    told = nodes.select("source_id", "node_id", "tokens", linked.alias("linked"))
+    known = objects.select("source_id", "name", "tokens", grounded.alias("grounded"))
+    n = told.select("source_id", "node_id", F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
+    o = known.select("source_id", "name", "grounded", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
+    hit = n.join(o, ["source_id", "t"]).groupBy("source_id", "node_id", "name", "grounded", "na", "nb").agg(F.count("*").alias("shared"))
     score = F.round(F.col("shared") / F.least("na", "nb"), 6)
-    best = hit.withColumn("score", score).groupBy("source_id", "node_id").agg(F.max(F.struct("score", "name")).alias("b"))
-    return best.select("source_id", "node_id", F.col("b.name").alias("object"), F.col("b.score").alias("score"), F.when(F.col("b.score") >= 0.18, "traceable").otherwise("weak").alias("level"))
+    best = hit.groupBy("source_id", "node_id").agg(F.max(F.struct(score.alias("score"), "name", "grounded")).alias("b"))
+    direct = known.select("source_id", F.col("name").alias("node_id"), F.struct(F.lit(1.0).alias("score"), "name", "grounded").alias("d")).distinct()
+    rows = told.select("source_id", "node_id", "linked").distinct().join(best, ["source_id", "node_id"], "left").join(direct, ["source_id", "node_id"], "left")
+    chosen = F.coalesce("d", F.when(F.col("b.score") >= 0.18, F.col("b")))
+    rows = rows.select("source_id", "node_id", "linked", chosen.alias("c"), F.coalesce("d.score", "b.score", F.lit(0.0)).alias("score"))
+    level = F.when(F.col("c.grounded"), "traceable").when(F.col("c").isNotNull() | F.col("linked"), "weak").otherwise("untraced")
+    return rows.select("source_id", "node_id", F.col("c.name").alias("object"), "score", level.alias("level"))
+
+
+def traceability_score(traced: DataFrame) -> DataFrame:
+    """(source_id, nodes, traceable, weak, untraced, score, level) of the nodes of each source."""
+    n = lambda x: F.count_if(F.col("level") == x)
+    rows = traced.groupBy("source_id").agg(F.count("*").alias("nodes"), n("traceable").alias("traceable"), n("weak").alias("weak"), n("untraced").alias("untraced"))
+    score = F.floor((F.col("traceable") + F.col("weak") * 0.5) * 100 / F.col("nodes") + 0.5).cast("int")
+    rows = rows.withColumn("score", score)
+    level = (
+        F.when((F.col("traceable") == 0) | (F.col("score") < 50) | (F.col("untraced") > 0), "weak").when((F.col("score") < 80) | (F.col("weak") > 0), "partial").otherwise("traceable")
+    )
+    return rows.withColumn("level", level)
 
 
 # Arrays of a source's metadata, the type of their items and the confidence that these have.

@@ -61,17 +61,27 @@ def t_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("paper_id", F.round(score, 6).alias("score"))
 
 
-def t_best_match(spark: SparkSession, d: str) -> DataFrame:
-    """Claims of each project and how well the dataset or paper of the project fits that shares the most tokens, through an inverted index."""
+def _traced(spark, d):
     from basinweave.operators.lenses import member_entities, project_members
 
-    m = member_entities(project_members(table(spark, d, "projects")), graph.latest_entities(table(spark, d, "entities"), "type", "name", "attributes"))
+    m = member_entities(project_members(table(spark, d, "projects")), graph.latest_entities(table(spark, d, "entities"), "type", "name", "attributes", "source"))
     value = lambda n: F.get_json_object("attributes", f"$.{n}")
     nodes = m.where("type = 'Claim'").select(F.col("project_id").alias("source_id"), F.col("id").alias("node_id"), text.significant_tokens(value("statement")).alias("tokens"))
     objects = m.where("type in ('Dataset', 'Paper', 'Variable')").select(
-        F.col("project_id").alias("source_id"), F.col("id").alias("name"), text.significant_tokens(F.concat_ws(" ", "name", value("title"), value("description"))).alias("tokens")
-    )
-    return decompose.traceability(nodes, objects).select("source_id", "node_id", "score", "level")
+        F.col("project_id").alias("source_id"), F.col("id").alias("name"), text.significant_tokens(F.concat_ws(" ", "name", value("title"), value("description"))).alias("tokens"),
+        F.coalesce(F.col("source") != "", F.lit(False)).alias("grounded"),
+    )
+    return decompose.traceability(nodes, objects)
+
+
+def t_best_match(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of each project and how well the dataset, paper or variable of the project fits that shares the most tokens, through an inverted index."""
+    return _traced(spark, d).select("source_id", "node_id", "score", "level")
+
+
+def t_traceability(spark: SparkSession, d: str) -> DataFrame:
+    """Traceability of the claims of each project."""
+    return decompose.traceability_score(_traced(spark, d))
 
 
 def t_validate_text(spark: SparkSession, d: str) -> DataFrame:
@@ -206,6 +216,37 @@ def m_paper_triples(spark: SparkSession, d: str) -> DataFrame:
     return decompose.paper_triples(decompose.paper_objects(_papers(spark, d)))
 
 
+def m_source_triples(spark: SparkSession, d: str) -> DataFrame:
+    """What papers and their datasets and regions say of each other, by predicate: each dataset covers each region."""
+    o = decompose.merge_first_wins(decompose.paper_objects(_papers(spark, d))).where("type in ('Dataset', 'Region')")
+    none = F.lit(None).cast("string")
+    items = o.select("source_id", F.lower("type").alias("kind"), F.concat_ws("/", "source_id", "name").alias("id"), "name", "confidence", none.alias("evidence"), F.array().cast("array<string>").alias("uses"))
+    return decompose.source_triples(items).groupBy("predicate", "confidence", "section").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("papers"))
+
+
+def m_fallback_bridges(spark: SparkSession, d: str) -> DataFrame:
+    """Relations inferred between the datasets and regions that papers name, by predicate; those of datasets with a stated coverage are left out."""
+    o = decompose.merge_first_wins(decompose.paper_objects(_papers(spark, d))).select("source_id", F.col("name").alias("id"), "type", "pos")
+    stated = o.where("type = 'Dataset' and pos = 0").select("source_id", F.col("id").alias("subject"), F.col("id").alias("object"))
+    closure = ontology.type_closure(ontology.parent_table(spark), table(spark, d, "ontology_types"))
+    found = decompose.fallback_relations(o.where("type = 'Dataset'"), o.where("type in ('Region', 'Variable')"), stated, closure, ontology.bridge_table(spark))
+    return found.groupBy("predicate", "confidence").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("papers"))
+
+
+def m_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Records of papers, datasets and repositories turned into attributes by their rules: how often each is filled."""
+    from basinweave.operators import mapping
+
+    row = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*c)).alias("record"))
+    p = _papers(spark, d)
+    papers = row(p, "paper", "title", "doi", "abstract", "year", "venue", F.col("citation_count").alias("citationCount"), "authors", "keywords")
+    data = row(p.select(F.explode("datasets").alias("s")), "dataset", F.col("s.name").alias("name"), F.struct(F.col("s.spatial_coverage").alias("coverage")).alias("spatial"), F.col("s.role").alias("role"))
+    repos = row(_repos(spark, d), "repository", F.split("full_name", "/")[1].alias("name"), F.col("full_name").alias("repo"), "language", "stars", "license", "description", "readme")
+    mapped = mapping.map_all(papers.unionByName(data).unionByName(repos))
+    each = mapped.select("type", "section", F.explode(F.map_keys(F.map_concat("attributes", "metadata"))).alias("field"))
+    return each.groupBy("type", "section", "field").agg(F.count("*").alias("n"))
+
+
 def m_scope_filter(spark: SparkSession, d: str) -> DataFrame:
     """Triples by section and whether it is out of scope."""
     t = graph.distinct_triples(table(spark, d, "triples"), "provenance")
@@ -365,8 +406,8 @@ def k_export_triples(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        t_sections, t_section_stats, t_chunks, t_tokens, t_overlap, t_best_match, t_validate_text, t_find_span, t_urls, t_doi, t_slug, a_decide, a_roles, a_stats, a_activated,
-        a_evidence_potential, r_file_roles, r_key_files, r_review, r_dependencies, m_first_wins, m_priority_merge, m_paper_triples, m_scope_filter, m_canonical_relations,
+        t_sections, t_section_stats, t_chunks, t_tokens, t_overlap, t_best_match, t_traceability, t_validate_text, t_find_span, t_urls, t_doi, t_slug, a_decide, a_roles, a_stats, a_activated,
+        a_evidence_potential, r_file_roles, r_key_files, r_review, r_dependencies, m_first_wins, m_priority_merge, m_paper_triples, m_source_triples, m_fallback_bridges, m_mapped, m_scope_filter, m_canonical_relations,
         m_bridge_infer, m_confidence, q_project_quality, q_benchmark, q_paper_quality, q_readiness, q_action_plan, q_review_actions, s_profile_fields, s_resource_rank,
         s_containment, k_applications, k_active_invites, k_latest_sessions, k_window_counts, k_rate_limit, k_export_triples,
     )
@@ -479,6 +520,12 @@ for _role in ("readme", "dependency_manifest", "package_manifest", "environment_
 _SQUEEZED = r"lower(regexp_replace({0}, '\s+', ' ', 'g'))"
 _MATCH = f"""CASE WHEN quote IS NULL OR quote = '' OR abstract = '' THEN 'missing' WHEN contains(abstract, quote) THEN 'exact' WHEN contains(f, q) THEN 'normalized' WHEN contains(f, left(q, 100)) THEN 'partial' ELSE 'similarity' END"""
 
+_TRACE = f"""WITH {E.replace('SELECT * FROM (', 'SELECT * EXCLUDE (project_id) FROM (', 1)}, {_M}, mm AS (SELECT m.project_id, e.* FROM m JOIN e ON e.id = m.id), n AS (SELECT project_id, id AS node_id, {_tok('attributes->>$$$.statement$$')} AS ts FROM mm WHERE type = 'Claim'),
+ o AS (SELECT project_id, id AS name, coalesce(source <> '', false) AS grounded, {_tok('concat_ws($$ $$, name, attributes->>$$$.title$$, attributes->>$$$.description$$)')} AS ts FROM mm WHERE type IN ('Dataset', 'Paper', 'Variable')),
+ h AS (SELECT n.project_id, node_id, name, grounded, round(len(list_intersect(n.ts, o.ts)) / least(len(n.ts), len(o.ts)), 6) AS s FROM n JOIN o ON o.project_id = n.project_id AND len(list_intersect(n.ts, o.ts)) > 0),
+ b AS (SELECT project_id, node_id, max((s, name, grounded)) AS m FROM h GROUP BY 1, 2),
+ tr AS (SELECT n.project_id AS source_id, n.node_id, coalesce(m[1], 0) AS score, CASE WHEN m[1] >= 0.18 AND m[3] THEN 'traceable' WHEN m[1] >= 0.18 THEN 'weak' ELSE 'untraced' END AS level FROM (SELECT DISTINCT project_id, node_id FROM n) n LEFT JOIN b ON b.project_id = n.project_id AND b.node_id = n.node_id)"""
+
 ORACLES = {
     "t_chunks": f"WITH RECURSIVE {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}), od AS (SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(w, 0.5) DESC, pos) AS i FROM se LEFT JOIN im ON ty = type), pk(doc_id, i, opened, done) AS (SELECT doc_id, i, chars::BIGINT, []::BIGINT[] FROM od WHERE i = 1 UNION ALL SELECT od.doc_id, od.i, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN opened + 2 + chars ELSE chars END::BIGINT, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN done ELSE list_append(done, opened) END FROM pk JOIN od ON od.doc_id = pk.doc_id AND od.i = pk.i + 1), lp AS (SELECT doc_id, list_append(done, opened) AS s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS rn FROM pk) WHERE rn = 1) SELECT doc_id, len(s) AS chunks, list_max(s) AS largest, list_sum(s)::BIGINT AS chars FROM lp WHERE len(s) > 1",
     "t_validate_text": f"WITH {_P}, a AS (SELECT paper_id, abstract, title FROM p WHERE abstract IS NOT NULL), b AS (SELECT abstract, 'late' AS name, upper(left(abstract, 60)) || ' zzz' AS quote FROM a UNION ALL SELECT abstract, 'title', title FROM a UNION ALL SELECT abstract, 'abstract', abstract FROM a), n AS (SELECT *, {_SQUEEZED.format('trim(quote)')} AS q, {_SQUEEZED.format('abstract')} AS f FROM b), x AS (SELECT *, {_MATCH} AS match, string_split(q, ' ')[1:20] AS ws FROM n) SELECT name AS quote, match, CASE match WHEN 'missing' THEN false WHEN 'similarity' THEN len(list_filter(ws, lambda w: contains(f, w))) / len(ws) >= 0.7 ELSE true END AS valid, count(*) AS n FROM x GROUP BY 1, 2, 3",
@@ -493,7 +540,11 @@ ORACLES = {
     "t_section_stats": f"WITH {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}) SELECT st AS source_type, type, count(*) AS n, sum(chars)::BIGINT AS chars, max(coalesce(w, 0.5))::DOUBLE AS importance FROM se LEFT JOIN im ON ty = type GROUP BY 1, 2",
     "t_tokens": f"SELECT token, count(*) AS documents FROM (SELECT unnest({_tok('text', '')}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 50",
     "t_overlap": f"WITH {_P}, x AS (SELECT paper_id, {_tok('title')} AS a, {_tok('abstract')} AS b FROM p) SELECT paper_id, CASE WHEN least(len(a), len(b)) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) END AS score FROM x",
-    "t_best_match": f"WITH {E.replace('SELECT * FROM (', 'SELECT * EXCLUDE (project_id) FROM (', 1)}, {_M}, mm AS (SELECT m.project_id, e.* FROM m JOIN e ON e.id = m.id), n AS (SELECT project_id, id AS node_id, {_tok('attributes->>$$$.statement$$')} AS ts FROM mm WHERE type = 'Claim'), o AS (SELECT project_id, id AS name, {_tok('concat_ws($$ $$, name, attributes->>$$$.title$$, attributes->>$$$.description$$)')} AS ts FROM mm WHERE type IN ('Dataset', 'Paper', 'Variable')), h AS (SELECT n.project_id, node_id, round(len(list_intersect(n.ts, o.ts)) / least(len(n.ts), len(o.ts)), 6) AS s FROM n JOIN o ON o.project_id = n.project_id AND len(list_intersect(n.ts, o.ts)) > 0) SELECT project_id AS source_id, node_id, max(s) AS score, CASE WHEN max(s) >= 0.18 THEN 'traceable' ELSE 'weak' END AS level FROM h GROUP BY 1, 2",
+    "t_best_match": f"{_TRACE} SELECT source_id, node_id, score, level FROM tr",
+    "t_traceability": f"{_TRACE}, k AS (SELECT source_id, count(*) AS nodes, count(*) FILTER (WHERE level = 'traceable') AS traceable, count(*) FILTER (WHERE level = 'weak') AS weak, count(*) FILTER (WHERE level = 'untraced') AS untraced FROM tr GROUP BY 1), z AS (SELECT *, floor((traceable + weak * 0.5) * 100 / nodes + 0.5)::INT AS score FROM k) SELECT *, CASE WHEN traceable = 0 OR score < 50 OR untraced > 0 THEN 'weak' WHEN score < 80 OR weak > 0 THEN 'partial' ELSE 'traceable' END AS level FROM z",
+    "m_source_triples": f"WITH {_OBJ}, dd AS (SELECT source_id, source_id || '/' || name AS id FROM fw WHERE type = 'Dataset'), rr AS (SELECT source_id, source_id || '/' || name AS id FROM fw WHERE type = 'Region'), x AS (SELECT DISTINCT source_id, source_id AS s, 'uses' AS predicate, id AS o, 0.8::DOUBLE AS confidence, 'datasets' AS section FROM dd UNION SELECT source_id, source_id, 'studies', id, 0.8, 'spatial' FROM rr UNION SELECT dd.source_id, dd.id, 'covers', rr.id, 0.7, 'spatial' FROM dd JOIN rr USING (source_id)) SELECT predicate, confidence, section, count(*) AS n, count(DISTINCT source_id) AS papers FROM x GROUP BY 1, 2, 3",
+    "m_fallback_bridges": f"WITH {_OBJ}, br AS (SELECT * FROM {_values([(p, a, b, c) for p, (ds, rs, _, c) in ontology.BRIDGES.items() if c is not None for a in ds for b in rs if a in ('Dataset', 'Data') and b in ('Region', 'EarthObject', 'Object', 'Variable', 'Entity')], 'predicate, st, ot, cap')}), an AS (SELECT * FROM (VALUES ('Region', 'Region'), ('Region', 'EarthObject'), ('Region', 'Object'), ('Variable', 'Variable'), ('Variable', 'Entity')) v(ty, up)), nd AS (SELECT source_id, name FROM fw WHERE type = 'Dataset' AND pos = 0), x AS (SELECT DISTINCT a.source_id, a.name AS s, br.predicate, b.name AS o, cap::DOUBLE AS confidence FROM fw a JOIN fw b ON b.source_id = a.source_id AND b.type IN ('Region', 'Variable') JOIN an ON an.ty = b.type JOIN br ON br.ot = an.up WHERE a.type = 'Dataset' AND a.name <> b.name AND NOT EXISTS (SELECT 1 FROM nd WHERE nd.source_id = a.source_id AND nd.name = a.name)) SELECT predicate, confidence, count(*) AS n, count(DISTINCT source_id) AS papers FROM x GROUP BY 1, 2",
+    "m_mapped": f"WITH {_P}, {_R}, f AS (SELECT 'Paper' AS type, 'metadata' AS section, unnest([CASE WHEN title IS NOT NULL THEN 'title' END, CASE WHEN doi IS NOT NULL THEN 'doi' END, CASE WHEN abstract IS NOT NULL THEN 'abstract' END, CASE WHEN year IS NOT NULL THEN 'year' END, CASE WHEN venue IS NOT NULL THEN 'venue' END, CASE WHEN citation_count IS NOT NULL THEN 'citationCount' END, CASE WHEN authors IS NOT NULL THEN 'authors' END, CASE WHEN keywords IS NOT NULL THEN 'keywords' END]) AS field FROM p UNION ALL SELECT 'Dataset', 'datasets', unnest([CASE WHEN s.name IS NOT NULL THEN 'name' END, CASE WHEN s.spatial_coverage IS NOT NULL THEN 'spatialCoverage' END, CASE WHEN s.role IS NOT NULL THEN 'role' END]) FROM (SELECT unnest(datasets) AS s FROM p) UNION ALL SELECT 'Repository', 'metadata', unnest(['repo', CASE WHEN contains(full_name, '/') THEN 'name' END, CASE WHEN language IS NOT NULL THEN 'language' END, CASE WHEN stars IS NOT NULL THEN 'stars' END, CASE WHEN license IS NOT NULL THEN 'license' END, CASE WHEN description IS NOT NULL THEN 'description' END, CASE WHEN readme IS NOT NULL THEN 'readme' END]) FROM r) SELECT type, section, field, count(*) AS n FROM f WHERE field IS NOT NULL GROUP BY 1, 2, 3",
     "t_urls": f"SELECT {_KIND} AS kind, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_URL}) AS url FROM documents) GROUP BY 1",
     "t_doi": rf"WITH {_P} SELECT doi, count(*) AS papers FROM (SELECT nullif(regexp_replace(regexp_extract(lower(doi), '(10\.[0-9]{{4,9}}/[^\s\"<>]+)', 1), '[.,;:)\]}}]+$', ''), '') AS doi FROM p) WHERE doi IS NOT NULL GROUP BY 1",
     "t_slug": rf"WITH {_P}, x AS (SELECT paper_id, title, trim(regexp_replace(abstract, '\s+', ' ', 'g')) AS a FROM p) SELECT paper_id, left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50) AS slug, coalesce(nullif(regexp_extract(a, '^(.+?[.!?])(\s|$)', 1), ''), a) AS first FROM x",
