@@ -99,6 +99,47 @@ def chunk_sizes(section_array: Column, max_chunk: int = MAX_CHUNK) -> Column:
     return F.aggregate(ordered, start, add, lambda acc: F.when(acc["open"] < 0, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
+CHUNK = "struct<types:array<string>,importance:double,start_line:int,end_line:int,text:string>"
+
+
+def chunks(section_array: Column, max_chunk: int = MAX_CHUNK) -> Column:
+    """The chunks that sections are packed into, as ``chunk_sizes`` counts them, with their text; the most important first."""
+    ordered = F.array_sort(F.transform(section_array, lambda s, i: F.struct((-s["importance"]).alias("o"), i.alias("i"), s.alias("s"))))
+    none = F.array().cast(f"array<{CHUNK}>")
+    new = lambda s: F.struct(
+        F.array(s["type"]).alias("types"), s["importance"].cast("double").alias("importance"), s["start_line"].cast("int").alias("start_line"), s["end_line"].cast("int").alias("end_line"), s["text"].alias("text")
+    )
+
+    def add(done: Column, entry: Column) -> Column:
+        s, last = entry["s"], F.try_element_at(done, F.lit(-1))
+        joined = F.struct(
+            F.array_append(last["types"], s["type"]).alias("types"), F.greatest(last["importance"], s["importance"].cast("double")).alias("importance"), last["start_line"].alias("start_line"),
+            F.greatest(last["end_line"], s["end_line"].cast("int")).alias("end_line"), F.concat(last["text"], F.lit("\n\n"), s["text"]).alias("text"),
+        )
+        fits = (F.size(done) > 0) & (F.length(last["text"]) + F.length(s["text"]) <= max_chunk)
+        return F.when(fits, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.array_append(done, new(s)))
+
+    packed = F.aggregate(ordered, none, add)
+    by_rank = F.array_sort(F.transform(packed, lambda c, i: F.struct((-c["importance"]).alias("o"), i.alias("i"), c.alias("c"))))
+    return F.transform(by_rank, lambda x: x["c"])
+
+
+def text_span(search: Column, full: Column, section_array: Column) -> Column:
+    """(start, end, length, text, section, title) of a quotation in a text, as ``find_span`` finds it; null if it isn't there.
+
+    The section is the last one that begins at or before its line; 'unknown' above the first.
+    """
+    start = find_span(search, full)
+    line = F.size(F.split(F.left(full, start), "\n", -1)) - 1
+    inside = F.try_element_at(F.filter(section_array, lambda s: s["start_line"] <= line), F.lit(-1))
+    size = F.length(search)
+    span = F.struct(
+        start.alias("start"), (start + size).alias("end"), size.alias("length"), F.substring(full, start + 1, size).alias("text"),
+        F.coalesce(inside["type"], F.lit("unknown")).alias("section"), inside["title"].alias("title"),
+    )
+    return F.when(start.isNotNull(), span)
+
+
 def squeeze(c: Column) -> Column:
     """White space made single blanks."""
     return F.regexp_replace(c, r"\s+", " ")

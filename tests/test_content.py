@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basinweave.functions import text
-from basinweave.operators import admission, decompose, mapping, quality, repositories, spatial, state
+from basinweave.operators import admission, decompose, mapping, ontology, quality, repositories, spatial, state
 from basinweave.sources import readers, sinks
 from basinweave.streaming import events
 
@@ -217,3 +217,63 @@ def test_streams(spark, tmp_path):
     for u in range(3):
         mine = sorted((r.event_id, r.allowed) for r in limited if r.user_id == u)
         assert [a for _, a in mine] == brute_limit([7 * 60 * i for i, _ in mine])
+
+
+def test_chunks_and_spans(spark):
+    body = "# Abstract\n" + "a" * 5000 + "\n# Methods\n" + "b" * 4000 + "\n# Results\n" + "c" * 100 + " The end is near."
+    df = text.with_sections(spark.createDataFrame([(1, body, "Paper"), (2, "", "Paper"), (3, None, None)], "doc_id long, text string, source_type string"))
+    rows = {r.doc_id: r for r in df.select("doc_id", text.chunks(F.col("sections")).alias("c"), text.chunk_sizes(F.col("sections")).alias("n"), text.text_span(F.lit("THE end"), F.col("text"), F.col("sections")).alias("s")).collect()}
+    assert sorted(len(c.text) for c in rows[1].c) == sorted(rows[1].n) and sum(len(c.types) for c in rows[1].c) == 3
+    assert [c.importance for c in rows[1].c] == sorted((c.importance for c in rows[1].c), reverse=True)
+    s = rows[1].s
+    assert (body[s.start : s.end], s.text, s.length, s.section) == ("The end", "The end", 7, "results")
+    assert rows[2].c == [] and rows[2].s is None and rows[3].c == [] and rows[3].s is None
+
+
+def test_rules_of_all_kinds(spark):
+    rows = [("s", "dataset", '{"name": "A", "spatial": {"coverage": "x"}, "access": {"url": "u"}, "size": null}'), ("s", "claim", '{"statement": "b", "confidence": 0.4, "figureRef": 2}'), ("s", "floodEvent", '{"type": "flash"}'), ("s", "nothing", "{}"), ("s", "gauge", None), ("s", "gauge", "no json")]
+    got = {r.type: r for r in mapping.map_all(spark.createDataFrame(rows, "source_id string, kind string, record string")).collect()}
+    assert set(got) == {"Dataset", "Claim", "FloodEvent", "Gauge"} and len(mapping.RULES) == 59
+    assert got["Dataset"].attributes == {"name": "A", "spatialCoverage": "x"} and got["Dataset"].metadata == {"accessUrl": "u"} and got["Dataset"].section == "datasets"
+    assert got["Claim"].attributes == {"statement": "b", "confidence": "0.4"} and got["Claim"].metadata == {"figureRef": "2"} and got["Claim"].confidence == 0.4
+    assert got["FloodEvent"].attributes == {"floodType": "flash"} and got["Gauge"].attributes == {} and got["Gauge"].confidence == 0.8
+
+
+def test_triples_and_relations_of_a_source(spark):
+    items = [("s", k, f"{k}1", n, None, e, u) for k, n, e, u in [("dataset", "D", None, []), ("method", "M", None, ["D", "X"]), ("model", "N", None, ["X"]), ("region", "R", None, []), ("experiment", "E", None, []), ("claim", "C", "seen", []), ("grade", "B", None, [])]]
+    items += [("s", "claim", "claim2", "C2", 0.5, "", []), ("t", "region", "region2", "R", None, None, [])]
+    df = spark.createDataFrame(items, "source_id string, kind string, id string, name string, confidence double, evidence string, uses array<string>")
+    got = {(r.subject, r.predicate, r.object): r.confidence for r in decompose.source_triples(df).collect()}
+    assert got == {
+        ("s", "uses", "dataset1"): 0.8, ("s", "applies", "method1"): 0.8, ("s", "studies", "region1"): 0.8, ("t", "studies", "region2"): 0.8, ("s", "consists_of", "experiment1"): 0.8,
+        ("claim1", "derives_from", "s"): 0.8, ("claim2", "derives_from", "s"): 0.5, ("s", "supports", "claim1"): 0.8, ("method1", "uses", "dataset1"): 0.9,
+        ("model1", "trained_on", "dataset1"): 0.9, ("dataset1", "covers", "region1"): 0.7, ("s", "evaluated_by", "B"): 0.9,
+    }
+    assert decompose.source_triples(df.limit(0)).count() == 0
+    types = spark.createDataFrame([("Dataset",), ("Basin",), ("Sensor",)], "name string")
+    closure = ontology.type_closure(ontology.parent_table(spark), types)
+    caps = spark.createDataFrame([("s", "d1", "Dataset"), ("s", "d2", "Dataset"), ("s", "q", "Sensor"), ("u", "d3", "Dataset")], "source_id string, id string, type string")
+    worlds = spark.createDataFrame([("s", "b", "Basin")], "source_id string, id string, type string")
+    stated = spark.createDataFrame([("s", "d2", "b"), ("u", "d1", "x")], "source_id string, subject string, object string")
+    found = {(r.subject, r.predicate, r.confidence) for r in decompose.fallback_relations(caps, worlds, stated, closure, ontology.bridge_table(spark)).collect()}
+    assert ("d1", "covers", 0.6) in found and not any(s in ("d2", "d3") for s, *_ in found) and ("q", "covers", 0.6) in found
+
+
+def test_nodes_without_an_object_are_untraced(spark):
+    nodes = spark.createDataFrame([("s", "n1", ["flow", "model"], False), ("s", "n2", ["other"], False), ("s", "n3", ["else"], True), ("s", "o2", ["none"], False)], "source_id string, node_id string, tokens array<string>, linked boolean")
+    objects = spark.createDataFrame([("s", "o1", ["flow", "data"], True), ("s", "o2", ["soil"], False), ("t", "o3", ["other"], True)], "source_id string, name string, tokens array<string>, grounded boolean")
+    traced = decompose.traceability(nodes, objects)
+    assert {r.node_id: (r.object, r.level) for r in traced.collect()} == {"n1": ("o1", "traceable"), "n2": (None, "untraced"), "n3": (None, "weak"), "o2": ("o2", "weak")}
+    s = decompose.traceability_score(traced).first()
+    assert (s.nodes, s.traceable, s.weak, s.untraced, s.score, s.level) == (4, 1, 2, 1, 50, "weak")
+
+
+def test_schemas(spark):
+    types = spark.createDataFrame([("StreamReach",), ("Claim",), ("Gauge",), ("Preprint",), ("Strange",)], "name string")
+    every = types.union(ontology.parent_table(spark).select("parent")).distinct()
+    got = {r.name: (r.required, r.defaults) for r in ontology.merged_schemas(ontology.own_schemas(every)).collect()}
+    assert got["Claim"] == (["statement"], {"confidence": "0.8"}) and got["Gauge"][0] == ["name", "stationId"] and got["Strange"] == (["name"], {})
+    assert got["Preprint"] == (["identifier", "name", "title", "type"], {"server": "arXiv"}) and ontology.PARENTS["Benchmark"] == "Source" and "Intervention" not in ontology.PARENTS
+    e = spark.createDataFrame([("Claim", '{"confidence": 1}'), ("Weird", None), ("Preprint", '{"title": null}')], "type string, attributes string")
+    done = {r.type: r.completed for r in ontology.complete_attributes(e, ontology.merged_schemas(ontology.own_schemas(every))).collect()}
+    assert done == {"Claim": {"confidence": "1", "statement": "No statement"}, "Weird": {"name": "Unnamed Weird"}, "Preprint": {"title": None, "identifier": "", "name": "Unnamed Preprint", "type": "unknown"}}
