@@ -68,6 +68,14 @@ def block_keys(token: str) -> list[tuple[str, str]]:
     return out or [("=" + token, "")]
 
 
+def letter_set(token: str) -> int:
+    """The letters of a token as bits; letters may share one."""
+    out = 0
+    for x in token:
+        out |= 1 << (ord(x) & 63)
+    return out
+
+
 _PAIR = "scope string, a string, b string, na long, nb long, lost int"
 
 
@@ -105,16 +113,16 @@ def near_pairs(tokens: DataFrame, max_block: int = MAX_BLOCK, most: int = 2) ->
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of the blocks that are small enough; of the others each token, without a partner."""
-        held: list[tuple[str, int, str]] = []
+        held: list[tuple[str, int, str, int]] = []
         at: tuple[str, str] | None = None
         large = False
         out: list[tuple] = []
 
         def close() -> None:
-            for i, (a, m, _) in enumerate(held):
-                for b, n, _ in held[i + 1 :]:
-                    lost = compared(a, b)
-                    if lost is not None:
+            for i, (a, m, _, letters) in enumerate(held):
+                for b, n, _, others in held[i + 1 :]:
+                    # each letter of one that the other lacks is lost
+                    if (letters ^ others).bit_count() <= 2 * most and (lost := compared(a, b)) is not None:
                         out.append((at[0], None, None, a, b, m, n, lost) if a < b else (at[0], None, None, b, a, n, m, lost))
             held.clear()
 
@@ -124,10 +132,10 @@ def near_pairs(tokens: DataFrame, max_block: int = MAX_BLOCK, most: int = 2) ->
                     close()
                     at, large = (s, k), False
                 if not large:
-                    held.append((t, n, r))
+                    held.append((t, n, r, letter_set(t)))
                     large = len(held) > max_block
                     if large:
-                        out += [(s, k, z, x, None, y, None, None) for x, y, z in held]
+                        out += [(s, k, z, x, None, y, None, None) for x, y, z, _ in held]
                         held.clear()
                 else:
                     out.append((s, k, r, t, None, n, None, None))

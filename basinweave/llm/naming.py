@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from basinweave.llm.canonical import edits
+from basinweave.llm.canonical import deletions, edits
 
 _TITLES = frozenset("dr prof professor mr mrs ms miss herr frau sir dipl ing phd msc bsc ma md jr sr ii iii".split())
 _SPECIAL = str.maketrans({"ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "ı": "i", "’": "'"})
@@ -106,15 +106,27 @@ _ACRONYMS: dict[str, tuple[str, ...]] = {"u": ("university",)} | {
 }
 
 
+def _near_words() -> dict[str, list[str]]:
+    """The long words of organisations by all their forms with up to one letter left out, in the order of ``_WORDS``."""
+    out: dict[str, list[str]] = {}
+    for w in _WORDS:
+        if len(w) >= 6:
+            for form in deletions(w, 1):
+                out.setdefault(form, []).append(w)
+    return out
+
+
+_NEAR = _near_words()
+
+
 @lru_cache(maxsize=200_000)
 def _org_word(w: str) -> str | None:
     """The standard form of a word of organisations, also with a typing error; None for other words."""
     if w in _WORDS:
         return _WORDS[w]
     if len(w) >= 6:
-        for known, standard in _WORDS.items():
-            if len(known) >= 6 and abs(len(known) - len(w)) <= 1 and edits(w, known, 1) <= 1:
-                return standard
+        near = {known for form in deletions(w, 1) for known in _NEAR.get(form, ()) if abs(len(known) - len(w)) <= 1 and edits(w, known, 1) <= 1}
+        return next((_WORDS[known] for known in _WORDS if known in near), None) if near else None
     return None
 
 
