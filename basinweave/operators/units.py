@@ -375,8 +375,8 @@ class _History:
         for value in x.tolist():
             self.search.add(value)
 
-    def levels(self, end: int) -> list[tuple]:
-        """Rows of the levels up to the cut ``end``, which are then forgotten."""
+    def levels(self, end: int, each: list[tuple] | None = None) -> list[tuple]:
+        """Rows of the levels up to the cut ``end``, which are then forgotten; to ``each`` goes (segment, reverse_by) of every value."""
         base, cuts, out = self.search.base, self.search.starts(end), []
         x = np.array(self.x[: end - base])
         for a, b in zip(cuts, [*cuts[1:], end]):
@@ -384,6 +384,8 @@ class _History:
             hit = match_factor(level - self.before, self.tolerance) if self.before is not None else None
             if hit:
                 self.reverse *= hit[1]
+            if each is not None:
+                each += [(self.segment, self.reverse)] * (b - a)
             start = np.datetime64(self.at[a - base], "us")
             out.append((self.source, str(start.astype("datetime64[M]")), self.segment, start, b - a, level, hit[0] if hit else None, self.reverse))
             self.segment, self.before = self.segment + 1, level
@@ -391,8 +393,8 @@ class _History:
         self.search.forget(end)
         return out
 
-    def rest(self) -> list[tuple]:
-        return self.levels(self.search.base + len(self.x))
+    def rest(self, each: list[tuple] | None = None) -> list[tuple]:
+        return self.levels(self.search.base + len(self.x), each)
 
 
 def unit_shifts(
@@ -404,32 +406,74 @@ def unit_shifts(
     factor matches. ``block`` is the month in which a level starts. Every ``max_block`` rows the levels that no later row can change
     are given out; the size has no effect on the result.
     """
-    number = value.cast("double")
-    rows = history.select(
-        F.col(source).alias("source"), F.col(at).cast("timestamp").alias("at"), F.log(number).alias("x")
-    ).where(F.col("source").isNotNull() & F.col("at").isNotNull() & (number > 0) & (number < float("inf")))
-    rows = rows.repartition("source").sortWithinPartitions("source", "at", "x")
+    rows = _ordered_history(history, source, at, value)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["source", "block", "segment", "start_at", "rows", "level", "factor", "reverse_by"]
-        held: _History | None = None
-        for pdf in batches:
-            names, x = pdf["source"].to_numpy(), pdf["x"].to_numpy(np.float64)
-            times = pdf["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            change = (np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()
-            out: list[tuple] = []
-            for a, b in zip([0, *change], [*change, len(names)]):
-                if a == b:
-                    continue
-                if held is None or held.source != names[a]:
-                    out += held.rest() if held is not None else []
-                    held = _History(names[a], penalty, tolerance)
-                for c in range(a, b, max_block):
-                    held.add(times[c : min(b, c + max_block)], x[c : min(b, c + max_block)])
-                    if c + max_block < b or len(held.x) >= max_block:
-                        out += held.levels(held.search.settled())
-            yield pd.DataFrame(out, columns=columns)
-        if held is not None:
-            yield pd.DataFrame(held.rest(), columns=columns)
+        for held, _, settle in _fed(batches, penalty, tolerance, max_block):
+            yield pd.DataFrame(held.levels(held.search.settled()) if settle else held.rest(), columns=columns)
 
     return rows.mapInPandas(run, SHIFT_SCHEMA)
+
+
+def _ordered_history(history: DataFrame, source: str, at: str, value: Column, ident: str | None = None) -> DataFrame:
+    """Values above zero of each source in order of time, one source in one partition: (source, at, x, ident)."""
+    number = value.cast("double")
+    ids = F.col(ident).cast("string") if ident else F.lit("")
+    rows = history.select(F.col(source).alias("source"), F.col(at).cast("timestamp").alias("at"), F.log(number).alias("x"), ids.alias("ident")).where(
+        F.col("source").isNotNull() & F.col("at").isNotNull() & (number > 0) & (number < float("inf"))
+    )
+    return rows.repartition("source").sortWithinPartitions("source", "at", "x", "ident")
+
+
+def _fed(batches: Iterator[pd.DataFrame], penalty: float, tolerance: float, max_block: int) -> Iterator[tuple[_History, list[str], bool]]:
+    """Feeds ordered rows to one history after another. Gives (history, new ids, whether only what is settled may be given out)."""
+    held: _History | None = None
+    new: list[str] = []
+    for pdf in batches:
+        names, x, ids = pdf["source"].to_numpy(), pdf["x"].to_numpy(np.float64), pdf["ident"].tolist()
+        times = pdf["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        change = (np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()
+        for a, b in zip([0, *change], [*change, len(names)]):
+            if a == b:
+                continue
+            if held is None or held.source != names[a]:
+                if held is not None:
+                    yield held, new, False
+                held, new = _History(names[a], penalty, tolerance), []
+            for c in range(a, b, max_block):
+                d = min(b, c + max_block)
+                held.add(times[c:d], x[c:d])
+                new += ids[c:d]
+                if d < b or len(held.x) >= max_block:
+                    yield held, new, True
+                    new = []
+    if held is not None:
+        yield held, new, False
+
+
+CONVERTED_SCHEMA = "source string, ident string, value double, converted double, segment int"
+
+
+def convert_units(
+    history: DataFrame, source: str, at: str, value: Column, ident: str, penalty: float = 6.0, tolerance: float = 0.12, max_block: int = 4096
+) -> DataFrame:
+    """(source, ident, value, converted, segment): every value of each source in the unit of the source's first level.
+
+    The levels and factors are those of ``unit_shifts``. A level is known only when no later row can change it; until then its values
+    are held.
+    """
+    rows = _ordered_history(history, source, at, value, ident)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[str] = []
+        for held, new, settle in _fed(batches, penalty, tolerance, max_block):
+            waiting += new
+            each: list[tuple] = []
+            values = np.exp(np.array(held.x))
+            held.levels(held.search.settled(), each) if settle else held.rest(each)
+            out = [(held.source, k, v, v * factor, segment) for k, v, (segment, factor) in zip(waiting, values.tolist(), each)]
+            del waiting[: len(each)]
+            yield pd.DataFrame(out, columns=["source", "ident", "value", "converted", "segment"])
+
+    return rows.mapInPandas(run, CONVERTED_SCHEMA)

@@ -21,6 +21,13 @@ def p2_unit_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.unit_shifts(rows, "source", "created_at", value)
 
 
+def p2_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bare values that each extractor recorded, in the unit of its first level."""
+    rows = table(spark, sf_dir, "entities").where(F.col("attributes").contains('"value"'))
+    value = F.expr("try_cast(get_json_object(attributes, '$.value') as double)")
+    return units.convert_units(rows, "source", "created_at", value, "id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the nested arrays of each project's latest metadata, linked to the element around them."""
     linked = nested.flatten_projects(table(spark, sf_dir, "projects"))
@@ -52,7 +59,7 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_counts(_orphans(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unit_shifts, p4_found, p4_node_counts, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unit_shifts, p2_converted, p4_found, p4_node_counts, p6_found, p6_counts)}
 
 _P6 = r"""
 WITH refs AS (

@@ -106,3 +106,28 @@ def test_unit_shifts_cross_months_and_sizes(spark):
     assert hits == [("hot", "2024-01", 1024, None, 1.0), ("hot", "2024-01", 1476, "1000", 0.001), ("hot", "2024-01", 500, "1000", 1.0), ("m", "2024-01", 2, None, 1.0), ("m", "2024-02", 10, "1000", 0.001)]
     wild = np.log([v for s, _, v in rows if s == "wild"])
     assert [r[4] for r in got[64] if r[0] == "wild"] == np.diff([*U.changepoints(wild, 6.0), len(wild)]).tolist()
+
+
+def test_planted_unit_changes_are_found_and_reversed(spark):
+    """Recall and precision of planted changes, and values brought back to the first unit, at several block sizes."""
+    rng = random.Random(11)
+    start, rows, planted, truth = dt.datetime(2024, 1, 1), [], set(), {}
+    for k in range(40):
+        base, factor, at = math.exp(rng.uniform(0, 6)), 1.0, 0
+        cuts = sorted(rng.sample(range(30, 270, 30), rng.randint(0, 2)))
+        for i in range(300):
+            if i in cuts:
+                factor = factor * rng.choice([1000.0, 3600.0, 1 / 1000.0, 100.0]) if factor == 1 else 1.0
+                planted.add((f"s{k}", i))
+            v = base * math.exp(rng.gauss(0, 0.1))
+            rows.append((f"s{k}", f"s{k}-{i}", start + dt.timedelta(hours=i), v * factor))
+            truth[f"s{k}-{i}"] = v
+    df = spark.createDataFrame(rows, "source string, id string, at timestamp, v double")
+    shifts = U.unit_shifts(df, "source", "at", F.col("v")).where("factor is not null").collect()
+    found = {(r.source, int((r.start_at - start).total_seconds() // 3600)) for r in shifts}
+    assert len(found & planted) >= 0.99 * len(planted) and len(found & planted) >= 0.99 * len(found)
+    for size in (64, 4096):
+        got = {r.ident: r.converted for r in U.convert_units(df, "source", "at", F.col("v"), "id", max_block=size).collect()}
+        assert set(got) == set(truth)
+        assert sum(abs(math.log(got[k] / truth[k])) < 1e-6 for k in truth) >= 0.99 * len(truth)
+    assert U.convert_units(df.limit(0), "source", "at", F.col("v"), "id").count() == 0
