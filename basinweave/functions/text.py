@@ -30,14 +30,39 @@ MAX_CHUNK = 8000
 MAX_TOKENS = 80
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The words that a pattern of ``_BASE`` and its like begins a title with."""
+    return pattern.partition("(")[2].partition("(")[2].rpartition(")")[0].split("|")
+
+
+def _spellings(word: str) -> list[str]:
+    """A word of a pattern as it is matched, without blanks; both where its last letter may be missing."""
+    plain = word.replace(r"\s*", "").lower()
+    return [plain[:-1], plain[:-2]] if plain.endswith("?") else [plain]
+
+
+def _title_reader(*tables: tuple[tuple[str, str], ...]) -> tuple[str, dict[str, str]]:
+    """One pattern for the titles of all tables, the first first, and the section type of each word that it may find."""
+    words = [(w, name) for table in tables for name, p in table if p.startswith("(?i)") for w in _alternatives(p)]
+    names: dict[str, str] = {}
+    for w, name in words:
+        for x in _spellings(w):
+            names.setdefault(x, name)
+    return r"(?i)^#\s+(" + "|".join(w for w, _ in words) + ")", names
+
+
 def header_type(line: Column, source_type: Column) -> Column:
-    """Type of section that a line opens; null for other lines."""
+    """Type of section that a line opens; null for other lines. One pattern a line, then a look-up."""
 
-    def first(patterns):
-        return F.coalesce(*[F.when(line.rlike(p), F.lit(name)) for name, p in patterns])
+    def first(*tables):
+        pattern, names = _title_reader(*tables)
+        word = F.lower(F.regexp_replace(F.regexp_extract(line, pattern, 1), r"\s+", ""))
+        return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), word)
 
+    below = F.when(line.startswith("###"), F.when(line.rlike(r"^###\s+(.+)"), F.lit("subsubsection"))).otherwise(F.when(line.rlike(r"^##\s+(.+)"), F.lit("subsection")))
     report = source_type.isin("Report", "Policy")
-    return F.coalesce(F.when(report, first(_REPORT)), F.when(source_type == "News", first(_NEWS)), first(_BASE))
+    title = F.when(report, first(_REPORT, _BASE)).when(source_type == "News", first(_NEWS, _BASE)).otherwise(first(_BASE))
+    return F.when(line.startswith("##"), below).otherwise(title)
 
 
 def importance(section_type: Column) -> Column:

@@ -75,43 +75,55 @@ def query_inverse(triples: DataFrame, predicate: str | None = None, obj: str | N
     return out.select("subject", "predicate", "object")
 
 
-def query_path(starts: DataFrame, triples: DataFrame, predicates: list[str], entities: DataFrame | None = None) -> DataFrame:
-    """(start, end) of all walks along the predicates, one row for each walk. ``starts``: id.
+def query_path(starts: DataFrame, triples: DataFrame, predicates: list[str], entities: DataFrame | None = None, keep_start: bool = True) -> DataFrame:
+    """(start, end, walks) of all walks along the predicates, with their number. ``starts``: id.
 
-    Walks are counted, not listed, between hops: equal (start, end) pairs are merged with their number before the next join and
-    unfolded at the end, so that bags do not multiply the rows that are shuffled.
+    Walks are counted, not listed, between hops: equal (start, end) pairs are merged with their number before the next join, so that
+    bags do not multiply the rows that are shuffled. Where only the ends are asked for, ``keep_start`` False merges all that have come
+    to one place: (end, walks).
     """
     walks = starts.select(F.col("id").alias("start"), F.col("id").alias("at")).groupBy("start", "at").agg(F.count("*").alias("walks"))
+    keys = ["start"] if keep_start else []
     for p in predicates:
         hop = triples.where(F.col("predicate") == p).groupBy(F.col("subject").alias("at"), F.col("object").alias("next")).agg(F.count("*").alias("n"))
-        walks = walks.join(hop, "at").groupBy("start", F.col("next").alias("at")).agg(F.sum(F.col("walks") * F.col("n")).alias("walks"))
+        walks = walks.join(hop, "at").groupBy(*keys, F.col("next").alias("at")).agg(F.sum(F.col("walks") * F.col("n")).alias("walks"))
     if entities is not None:
-        walks = walks.join(entities.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
-    return walks.select("start", F.col("at").alias("end"), "walks")
+        walks = walks.join(entities.select(F.col("id").alias("at")), "at", "left_semi")
+    return walks.select(*keys, F.col("at").alias("end"), "walks")
+
+
+def attribute_is(name: str, value: str | bool | int | float, json: str = "attributes") -> Column:
+    """Whether an attribute has a value of the same type: the text '1' is not the number 1."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant"))
+    if isinstance(value, bool):
+        return (attr(name, json) == str(value).lower()) & (kind == "BOOLEAN")
+    if isinstance(value, (int, float)):
+        return (attr(name, json).try_cast("double") == float(value)) & ~kind.isin("STRING", "BOOLEAN")
+    return (attr(name, json) == value) & (kind == "STRING")
 
 
 def match(
     entities: DataFrame,
     triples: DataFrame,
     type_: str | None = None,
-    attributes: dict[str, str] | None = None,
-    relations: list[tuple[str, dict[str, str] | None]] | None = None,
+    attributes: dict[str, str | bool | int | float] | None = None,
+    relations: list[tuple[str, dict[str, str | bool | int | float] | None]] | None = None,
 ) -> DataFrame:
     """Entities of a type with the given attribute values and, for each relation, at least one object that fits its pattern.
 
-    A pattern's ``type`` is the object's type; its other keys are attributes.
+    A pattern's ``type`` is the object's type; its other keys are attributes, whose values must have the same type too.
     """
     out = entities
     if type_ is not None:
         out = out.where(F.col("type") == type_)
     for k, v in (attributes or {}).items():
-        out = out.where(attr(k) == v)
+        out = out.where(attribute_is(k, v))
     for predicate, pattern in relations or []:
         edges = triples.where(F.col("predicate") == predicate).select(F.col("subject").alias("id"), "object")
         if pattern is not None:
             objects = entities
             for k, v in pattern.items():
-                objects = objects.where((F.col("type") == v) if k == "type" else (attr(k) == v))
+                objects = objects.where((F.col("type") == v) if k == "type" else attribute_is(k, v))
             edges = edges.join(objects.select(F.col("id").alias("object")), "object", "left_semi")
         out = out.join(edges.select("id"), "id", "left_semi")
     return out

@@ -48,15 +48,15 @@ _REGISTERED = sorted({n for names in ontology.RELATIONS.values() for n in names}
 def g_path_2hop(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers per region, by the walk located_at, part_of."""
     ents, trip = lift.sales_entities(spark, d), lift.sales_triples(spark, d)
-    walks = graph.query_path(ents.where("type = 'Institution'").select("id"), trip, ["located_at", "part_of"], ents)
-    return walks.groupBy(F.col("end").alias("region")).agg(F.sum("walks").alias("suppliers"))
+    walks = graph.query_path(ents.where("type = 'Institution'").select("id"), trip, ["located_at", "part_of"], ents, keep_start=False)
+    return walks.select(F.col("end").alias("region"), F.col("walks").alias("suppliers"))
 
 
 def g_path_3hop_bag(spark: SparkSession, d: str) -> DataFrame:
     """Orders per region, by the walk performed_by, located_at, part_of; walks are counted with repetition."""
     ents, trip = lift.sales_entities(spark, d), lift.sales_triples(spark, d)
-    walks = graph.query_path(ents.where("type = 'Event'").select("id"), trip, ["performed_by", "located_at", "part_of"], ents)
-    return walks.groupBy(F.col("end").alias("region")).agg(F.sum("walks").alias("walks"))
+    walks = graph.query_path(ents.where("type = 'Event'").select("id"), trip, ["performed_by", "located_at", "part_of"], ents, keep_start=False)
+    return walks.select(F.col("end").alias("region"), "walks")
 
 
 def g_path_triples(spark: SparkSession, d: str) -> DataFrame:

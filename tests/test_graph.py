@@ -153,3 +153,16 @@ def test_event_log(spark):
     assert {(r.a, r.b): r.times for r in eventlog.collaboration(log).collect()} == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1}
     assert [(r.object, r.events) for r in eventlog.top_objects(log, 2).collect()] == [("a", 2), ("b", 2)]
     assert {r.type: (r.events, r.objects) for r in eventlog.type_stats(log).collect()} == {"x": (1, 2), "y": (2, 3)}
+
+
+def test_attribute_values_have_types(spark):
+    rows = [(str(i), "Dataset", "n", a, 1.0, None) for i, a in enumerate(['{"v": 1}', '{"v": "1"}', '{"v": true}', '{"v": "true"}', '{"v": 1.0}', '{"v": null}', "{}", None, "no json"])]
+    e = layered(spark, rows)
+    hit = lambda v: sorted(r.id for r in graph.match(e, trips(spark, []), "Dataset", {"v": v}).collect())
+    assert (hit(1), hit("1"), hit(True), hit("true")) == (["0", "4"], ["1"], ["2"], ["3"])
+
+
+def test_walks_by_their_end_only(spark):
+    e = layered(spark, [(i, "X", i, "{}", 1.0, None) for i in "abcz"])
+    t = trips(spark, [("a", "p", "z"), ("b", "p", "z"), ("a", "p", "c"), ("a", "q", "z")])
+    assert {(r.end, r.walks) for r in graph.query_path(e.select("id"), t, ["p"], e, keep_start=False).collect()} == {("z", 2), ("c", 1)}
