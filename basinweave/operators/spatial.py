@@ -153,14 +153,24 @@ def rank_resources(resources: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order))
 
 
-def join_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Points (lon, lat) with the boxes (min_lon, min_lat, max_lon, max_lat) that hold them: an equi join on grid cells, then the exact test."""
-    at = lambda c: F.floor(c / cell).cast("int")
-    p = points.withColumn("_x", at(F.col("lon"))).withColumn("_y", at(F.col("lat")))
-    b = boxes.withColumn("_x", F.explode(F.sequence(at(F.col("min_lon")), at(F.col("max_lon")))))
+def join_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0, levels: int = 3, step: int = 8) -> DataFrame:
+    """Points (lon, lat) with the boxes (min_lon, min_lat, max_lon, max_lat) that hold them: an equi join on grid cells, then the exact test.
+
+    Each box is laid on the finest of ``levels`` grids, each ``step`` times as coarse as the one before, on which it covers at most
+    ``step`` + 1 cells in either direction; boxes wider than that on the coarsest grid share one cell. So a box has few rows however
+    wide it is, and a point one row a grid.
+    """
+    sizes = [cell * step**k for k in range(levels)]
+    wide = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    level = F.coalesce(*[F.when(wide <= size * step, F.lit(k)) for k, size in enumerate(sizes)], F.lit(levels))
+    size = F.element_at(F.array(*map(F.lit, sizes)), F.least(F.col("_l"), F.lit(levels - 1)) + 1)
+    at = lambda c: F.when(F.col("_l") == levels, 0).otherwise(F.floor(c / size).cast("int"))
+    p = points.withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(levels + 1)]))).withColumn("_x", at(F.col("lon"))).withColumn("_y", at(F.col("lat")))
+    b = boxes.withColumn("_l", level).where("min_lon <= max_lon and min_lat <= max_lat")
+    b = b.withColumn("_x", F.explode(F.sequence(at(F.col("min_lon")), at(F.col("max_lon")))))
     b = b.withColumn("_y", F.explode(F.sequence(at(F.col("min_lat")), at(F.col("max_lat")))))
     inside = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    return p.join(b, ["_x", "_y"]).where(inside).drop("_x", "_y")
+    return p.join(b, ["_l", "_x", "_y"]).where(inside).drop("_l", "_x", "_y")
 
 
 def platform_of(url: Column) -> Column:

@@ -277,3 +277,16 @@ def test_schemas(spark):
     e = spark.createDataFrame([("Claim", '{"confidence": 1}'), ("Weird", None), ("Preprint", '{"title": null}')], "type string, attributes string")
     done = {r.type: r.completed for r in ontology.complete_attributes(e, ontology.merged_schemas(ontology.own_schemas(every))).collect()}
     assert done == {"Claim": {"confidence": "1", "statement": "No statement"}, "Weird": {"name": "Unnamed Weird"}, "Preprint": {"title": None, "identifier": "", "name": "Unnamed Preprint", "type": "unknown"}}
+
+
+def test_wide_boxes_have_few_rows(spark):
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(300)] + [(300, None, 1.0)]
+    boxes = [(0, -180.0, -90.0, 180.0, 90.0), (1, 0.0, 0.0, 0.0, 0.0), (2, 5.0, 5.0, 4.0, 9.0), (3, None, 0.0, 1.0, 1.0)]
+    for k in range(4, 60):
+        x, y, w = rng.uniform(-180, 170), rng.uniform(-90, 80), 10 ** rng.uniform(-1, 2.4)
+        boxes.append((k, x, y, x + w, y + w * rng.random()))
+    p = spark.createDataFrame(points, "i int, lon double, lat double")
+    b = spark.createDataFrame(boxes, "k int, min_lon double, min_lat double, max_lon double, max_lat double")
+    want = sorted((i, k) for i, x, y in points if x is not None for k, a, c, e, f in boxes if a is not None and a <= x <= e and c <= y <= f)
+    assert sorted((r.i, r.k) for r in spatial.join_boxes(p, b).collect()) == want
