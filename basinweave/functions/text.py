@@ -301,3 +301,49 @@ def scope_signal(c: Column) -> Column:
 def place_pair(c: Column) -> Column:
     """A place named as 'Town, Country' in a text; null if there is none."""
     return F.nullif(F.regexp_extract(c, r"\b([A-Z][\p{L}'-]+(?: [A-Z][\p{L}'-]+)*, [A-Z][\p{L}'-]+(?: [A-Z][\p{L}'-]+)*)", 1), F.lit(""))
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def short_text(c: Column, size: int = 600) -> Column:
+    """Text with single blanks, cut to ``size`` characters with three points."""
+    t = strip(squeeze(c))
+    return F.when(F.length(t) > size, F.concat(strip(F.left(t, F.lit(size))), F.lit("..."))).otherwise(t)
+
+
+def long_sentence(c: Column) -> Column:
+    """The beginning of a text up to the first end of a sentence after 80 characters."""
+    t = short_text(c, 800)
+    return F.coalesce(F.nullif(F.regexp_extract(t, r"^(.{80,}?[.!?])\s", 1), F.lit("")), t)
+
+
+def claim_sentence(c: Column) -> Column:
+    """The first sentence of 80 and more characters that says what was shown, else the first of that length; null if there is none."""
+    sentences = F.filter(F.split(short_text(c, 1200), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 80)
+    says = F.filter(sentences, lambda s: s.rlike(r"(?i)\b(show|shows|demonstrate|achieve|achieves|provide|provides|improve|improves|result|results)\b"))
+    return F.coalesce(F.get(says, 0), F.get(sentences, 0))
+
+
+def section_map(section_array: Column) -> Column:
+    """Sections by key: array of (key, text), one for each type and title in lower case, the first of each; short sections have none."""
+    kept = F.filter(F.transform(section_array, lambda s: F.struct(s["type"].alias("type"), s["title"].alias("title"), strip(s["text"]).alias("text"))), lambda s: F.length(s["text"]) >= 20)
+    each = F.flatten(F.transform(kept, lambda s: F.array(*[F.struct(strip(F.lower(s[k])).alias("key"), s["text"].alias("text")) for k in ("type", "title")])))
+    named = F.filter(each, lambda e: e["key"] != "")
+    keys = F.transform(named, lambda e: e["key"])
+    return F.filter(named, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+
+
+def section_by_role(entries: Column, hints: tuple[str, ...]) -> Column:
+    """(key, text) of the section that suits a role: for each hint in turn the one of that key, else the first whose key holds it."""
+    long = F.filter(entries, lambda e: F.length(e["text"]) > 80)
+
+    def first(test) -> Column:
+        return F.get(F.filter(long, lambda e: test(e["key"])), 0)
+
+    def of_hint(hint: str) -> list[Column]:
+        return [first(lambda k: k == hint), first(lambda k: F.contains(k, F.lit(hint)))]
+
+    return F.coalesce(*[c for hint in hints for c in of_hint(hint)])

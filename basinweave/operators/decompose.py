@@ -261,3 +261,53 @@ def merge_projects(items: DataFrame, group: str, label: str, most: int) -> DataF
     )
     flat = merged.select(group, F.col("m.l").alias("label"), "sources", F.col("m.source_id").alias("first_source"), F.col("m.pos").alias("pos"))
     return cap_by_rank(flat, group, most, "first_source", "pos", "label")
+
+
+# Keys by which the sections of a role are found.
+ROLE_HINTS: dict[str, tuple[str, ...]] = {
+    "method": ("method", "model", "experiment", "algorithm"),
+    "data": ("data availability", "input data", "data", "dataset"),
+    "workflow": ("workflow", "experiment", "methods"),
+    "abstract": ("abstract",),
+    "evidence": (
+        "results", "result", "key findings", "findings", "impact details", "impact", "overall performance", "temperature records", "future risks", "current status", "assessment",
+    ),
+}
+
+
+def text_objects(sources: DataFrame) -> DataFrame:
+    """(source_id, origin, type, name, description, section, confidence) of what the sections of a source's text tell, where nothing better is known.
+
+    ``sources``: source_id, source_type, text, title, abstract. Texts of less than 100 characters give nothing. At most one object of
+    each origin: method, data, workflow, claim and scope (of the abstract), evidence (unless it says what the claim says).
+    """
+    from basinweave.functions import text as t
+
+    staged = t.with_sections(sources.where(F.length("text") >= 100)).withColumn("_map", t.section_map(F.col("sections")))
+    for role, hints in ROLE_HINTS.items():
+        staged = staged.withColumn(f"_{role}", t.section_by_role(F.col("_map"), hints))
+    own = F.struct(F.lit("abstract").alias("key"), t.strip("abstract").alias("text"))
+    staged = staged.withColumn("_abstract", F.coalesce("_abstract", F.when(F.length("abstract") > 0, own)))
+    staged = staged.withColumn("_claim", t.claim_sentence(F.col("_abstract.text"))).withColumn("_said", t.claim_sentence(F.col("_evidence.text")))
+    key = lambda role: F.col(f"_{role}.key")
+    body = lambda role: F.col(f"_{role}.text")
+    human = lambda role: F.array_join(F.transform(F.split(key(role), r"\s+"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 10_000))), " ")
+    address = F.nullif(F.regexp_extract(body("data"), r"(?i)(https?://[^\s),;]+)", 1), F.lit(""))
+    again = F.coalesce(t.overlap(t.significant_tokens(F.col("_claim")), t.significant_tokens(F.col("_said"))) > 0.8, F.lit(False))
+
+    def found(origin: str, type_: Column, name: Column, description: Column, section: Column, there: Column, confidence: float) -> Column:
+        o = F.struct(
+            F.lit(origin).alias("origin"), type_.alias("type"), name.alias("name"), description.alias("description"), section.alias("section"), F.lit(confidence).alias("confidence")
+        )
+        return F.when(F.coalesce(there, F.lit(False)), o)
+
+    none = F.lit(None).cast("string")
+    objects = F.array_compact(F.array(
+        found("method", F.when(F.contains(key("method"), F.lit("model")), "Model").otherwise("Method"), human("method"), t.long_sentence(body("method")), key("method"), key("method").isNotNull(), 0.5),
+        found("data", F.lit("Dataset"), F.coalesce(address, human("data")), t.long_sentence(body("data")), key("data"), key("data").isNotNull(), 0.5),
+        found("workflow", F.lit("Workflow"), F.concat(F.coalesce(F.nullif("title", F.lit("")), F.lit("Source-described")), F.lit(" workflow")), t.long_sentence(body("workflow")), key("workflow"), key("workflow").isNotNull(), 0.5),
+        found("claim", F.lit("Claim"), F.col("_claim"), none, key("abstract"), F.col("_claim").isNotNull(), 0.5),
+        found("scope", F.lit("Region"), F.lit("Global scope"), none, key("abstract"), (F.length(body("abstract")) > 0) & (body("abstract").rlike(r"(?i)\bglobal\b") | F.coalesce(F.col("title").rlike(r"(?i)\bglobal\b"), F.lit(False))), 0.45),
+        found("evidence", F.lit("Claim"), F.col("_said"), none, key("evidence"), F.col("_said").isNotNull() & ~again, 0.5),
+    ))
+    return staged.select("source_id", F.explode(objects).alias("o")).select("source_id", "o.*")

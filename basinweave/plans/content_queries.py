@@ -247,6 +247,14 @@ def m_mapped(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("type", "section", "field").agg(F.count("*").alias("n"))
 
 
+def m_text_objects(spark: SparkSession, d: str) -> DataFrame:
+    """What the sections of documents tell of methods, data, workflows, claims and scope, by origin and section."""
+    none = F.lit(None).cast("string")
+    rows = _docs(spark, d).select(F.col("doc_id").alias("source_id"), "source_type", "text", "title", none.alias("abstract"))
+    o = decompose.text_objects(rows)
+    return o.groupBy("origin", "type", "section", "confidence").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.sum(F.length("description")).alias("chars"))
+
+
 def m_scope_filter(spark: SparkSession, d: str) -> DataFrame:
     """Triples by section and whether it is out of scope."""
     t = graph.distinct_triples(table(spark, d, "triples"), "provenance")
@@ -407,7 +415,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         t_sections, t_section_stats, t_chunks, t_tokens, t_overlap, t_best_match, t_traceability, t_validate_text, t_find_span, t_urls, t_doi, t_slug, a_decide, a_roles, a_stats, a_activated,
-        a_evidence_potential, r_file_roles, r_key_files, r_review, r_dependencies, m_first_wins, m_priority_merge, m_paper_triples, m_source_triples, m_fallback_bridges, m_mapped, m_scope_filter, m_canonical_relations,
+        a_evidence_potential, r_file_roles, r_key_files, r_review, r_dependencies, m_first_wins, m_priority_merge, m_paper_triples, m_source_triples, m_fallback_bridges, m_mapped, m_text_objects, m_scope_filter, m_canonical_relations,
         m_bridge_infer, m_confidence, q_project_quality, q_benchmark, q_paper_quality, q_readiness, q_action_plan, q_review_actions, s_profile_fields, s_resource_rank,
         s_containment, k_applications, k_active_invites, k_latest_sessions, k_window_counts, k_rate_limit, k_export_triples,
     )
@@ -526,7 +534,33 @@ _TRACE = f"""WITH {E.replace('SELECT * FROM (', 'SELECT * EXCLUDE (project_id) F
  b AS (SELECT project_id, node_id, max((s, name, grounded)) AS m FROM h GROUP BY 1, 2),
  tr AS (SELECT n.project_id AS source_id, n.node_id, coalesce(m[1], 0) AS score, CASE WHEN m[1] >= 0.18 AND m[3] THEN 'traceable' WHEN m[1] >= 0.18 THEN 'weak' ELSE 'untraced' END AS level FROM (SELECT DISTINCT project_id, node_id FROM n) n LEFT JOIN b ON b.project_id = n.project_id AND b.node_id = n.node_id)"""
 
+_HINTS = _values([(role, h, i) for role, hs in decompose.ROLE_HINTS.items() for i, h in enumerate(hs)], "role, h, hi")
+_SHORT = r"(CASE WHEN length(trim(regexp_replace({0}, '\s+', ' ', 'g'))) > {1} THEN trim(left(trim(regexp_replace({0}, '\s+', ' ', 'g')), {1})) || '...' ELSE trim(regexp_replace({0}, '\s+', ' ', 'g')) END)"
+
+
+def _claim(c: str) -> str:
+    parts = f"list_filter(regexp_split_to_array(regexp_replace({_SHORT.format(c, 1200)}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 80)"
+    return f"coalesce(list_filter({parts}, lambda x: regexp_matches(x, '(?i)\\b(show|shows|demonstrate|achieve|achieves|provide|provides|improve|improves|result|results)\\b'))[1], {parts}[1])"
+
+
+_LONG = r"coalesce(nullif(regexp_extract({0}, '^(.{{80,}}?[.!?])\s', 1), ''), {0})"
+_TEXT_OBJECTS = rf"""{_LINES}, tx AS (SELECT h.doc_id, h.pos, h.type, lower(regexp_replace(regexp_replace(any_value(h.l), '^#+\s*', ''), '^\s+|\s+$', '', 'g')) AS title, regexp_replace(coalesce(string_agg(x.l, chr(10) ORDER BY x.i), ''), '^\s+|\s+$', '', 'g') AS body
+ FROM hs h LEFT JOIN sl x ON x.doc_id = h.doc_id AND x.i > h.i AND x.i < coalesce(h.nx, h.n) WHERE length(h.text) >= 100 GROUP BY 1, 2, 3
+ UNION ALL SELECT doc_id, 0, 'content', 'content', regexp_replace(any_value(text), '^\s+|\s+$', '', 'g') FROM hd GROUP BY doc_id HAVING count(type) = 0 AND any_value(length(text)) >= 100),
+ ky AS (SELECT doc_id, key, body, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos, k) AS rn, pos * 2 + k AS ord FROM (SELECT doc_id, pos, 0 AS k, type AS key, body FROM tx WHERE length(body) >= 20 UNION ALL SELECT doc_id, pos, 1, title, body FROM tx WHERE length(body) >= 20) WHERE key <> ''),
+ en AS (SELECT * FROM ky WHERE rn = 1 AND length(body) > 80), hi AS (SELECT * FROM {_HINTS}),
+ ch AS (SELECT doc_id, role, arg_min(key, (rank, ord)) AS key, arg_min(body, (rank, ord)) AS body FROM (SELECT doc_id, key, body, ord, role, CASE WHEN key = h THEN 2 * hi ELSE 2 * hi + 1 END AS rank FROM en JOIN hi ON contains(key, h)) GROUP BY 1, 2),
+ cl AS (SELECT doc_id, key, {_claim('body')} AS said FROM ch WHERE role = 'abstract'), ev AS (SELECT doc_id, key, {_claim('body')} AS said FROM ch WHERE role = 'evidence'),
+ ob AS (SELECT doc_id, 'method' AS origin, CASE WHEN contains(key, 'model') THEN 'Model' ELSE 'Method' END AS type, key AS section, 0.5::DOUBLE AS confidence, key AS name, {_LONG.format(_SHORT.format('body', 800))} AS description FROM ch WHERE role = 'method'
+ UNION ALL SELECT doc_id, 'data', 'Dataset', key, 0.5, coalesce(nullif(regexp_extract(body, '(?i)(https?://[^\s),;]+)', 1), ''), key), {_LONG.format(_SHORT.format('body', 800))} FROM ch WHERE role = 'data'
+ UNION ALL SELECT ch.doc_id, 'workflow', 'Workflow', key, 0.5, coalesce(nullif(title, ''), 'Source-described'), {_LONG.format(_SHORT.format('body', 800))} FROM ch JOIN documents d ON d.doc_id = ch.doc_id WHERE role = 'workflow'
+ UNION ALL SELECT doc_id, 'claim', 'Claim', key, 0.5, said, NULL FROM cl WHERE said IS NOT NULL
+ UNION ALL SELECT ch.doc_id, 'scope', 'Region', key, 0.45, 'Global scope', NULL FROM ch JOIN documents d ON d.doc_id = ch.doc_id WHERE role = 'abstract' AND (regexp_matches(body, '(?i)\bglobal\b') OR coalesce(regexp_matches(title, '(?i)\bglobal\b'), false))
+ UNION ALL SELECT ev.doc_id, 'evidence', 'Claim', ev.key, 0.5, ev.said, NULL FROM ev LEFT JOIN cl ON cl.doc_id = ev.doc_id
+ WHERE ev.said IS NOT NULL AND NOT coalesce(len(list_intersect({_tok('cl.said')}, {_tok('ev.said')})) / nullif(least(len({_tok('cl.said')}), len({_tok('ev.said')})), 0) > 0.8, false))"""
+
 ORACLES = {
+    "m_text_objects": f"WITH {_TEXT_OBJECTS} SELECT origin, type, section, confidence, count(*) AS n, count(DISTINCT name) AS names, sum(length(description))::BIGINT AS chars FROM ob GROUP BY 1, 2, 3, 4",
     "t_chunks": f"WITH RECURSIVE {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}), od AS (SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(w, 0.5) DESC, pos) AS i FROM se LEFT JOIN im ON ty = type), pk(doc_id, i, opened, done) AS (SELECT doc_id, i, chars::BIGINT, []::BIGINT[] FROM od WHERE i = 1 UNION ALL SELECT od.doc_id, od.i, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN opened + 2 + chars ELSE chars END::BIGINT, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN done ELSE list_append(done, opened) END FROM pk JOIN od ON od.doc_id = pk.doc_id AND od.i = pk.i + 1), lp AS (SELECT doc_id, list_append(done, opened) AS s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS rn FROM pk) WHERE rn = 1) SELECT doc_id, len(s) AS chunks, list_max(s) AS largest, list_sum(s)::BIGINT AS chars FROM lp WHERE len(s) > 1",
     "t_validate_text": f"WITH {_P}, a AS (SELECT paper_id, abstract, title FROM p WHERE abstract IS NOT NULL), b AS (SELECT abstract, 'late' AS name, upper(left(abstract, 60)) || ' zzz' AS quote FROM a UNION ALL SELECT abstract, 'title', title FROM a UNION ALL SELECT abstract, 'abstract', abstract FROM a), n AS (SELECT *, {_SQUEEZED.format('trim(quote)')} AS q, {_SQUEEZED.format('abstract')} AS f FROM b), x AS (SELECT *, {_MATCH} AS match, string_split(q, ' ')[1:20] AS ws FROM n) SELECT name AS quote, match, CASE match WHEN 'missing' THEN false WHEN 'similarity' THEN len(list_filter(ws, lambda w: contains(f, w))) / len(ws) >= 0.7 ELSE true END AS valid, count(*) AS n FROM x GROUP BY 1, 2, 3",
     "r_review": f"WITH {_FILES}, {_REVIEW} SELECT *, CASE WHEN c_readme AND c_license AND c_dependencies AND c_script AND c_run AND passed >= 6 THEN 'A' WHEN c_readme AND c_script AND (c_dependencies OR c_run) AND passed >= 4 THEN 'B' WHEN c_readme AND (c_script OR c_dependencies) AND passed >= 3 THEN 'C' WHEN c_readme OR passed >= 1 THEN 'D' ELSE 'E' END AS grade FROM cp",
