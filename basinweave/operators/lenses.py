@@ -313,6 +313,23 @@ def workflow_stages(members: DataFrame, entities: DataFrame, triples: DataFrame)
     return members.join(staged, "id").groupBy("project_id", "stage").agg(F.count("*").alias("n"))
 
 
+#: Stages of a workflow in order.
+STAGES = ("input", "processing", "experiment", "output")
+
+
+def workflow_pipeline(members: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """(project_id, position, stage, id, depends_on): the stages of each project in order with their entities, and the number of members
+    that an entity leads to; within a stage those that lead to fewer come first, so that what others rest on stands before them."""
+    staged = with_edges(entities, triples).select("id", workflow_stage().alias("stage"))
+    own = members.select("project_id", "id").distinct()
+    edges = triples.select("subject", "object").distinct()
+    out = own.join(edges.withColumnRenamed("subject", "id"), "id").join(own.withColumnRenamed("id", "object"), ["project_id", "object"], "left_semi")
+    degree = out.where("id != object").groupBy("project_id", "id").agg(F.count("*").alias("depends_on"))
+    rows = own.join(staged, "id").join(degree, ["project_id", "id"], "left")
+    position = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")) - 1
+    return rows.select("project_id", position.cast("int").alias("position"), "stage", "id", F.coalesce("depends_on", F.lit(0)).alias("depends_on"))
+
+
 def data_flows(inputs: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
     """(input, user, output, used_by): two-step flows from inputs over their users to what those bring forth (output may be null)."""
     ids = entities.select("id").distinct()

@@ -113,8 +113,14 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "Repository": ("repo",), "Package": ("registry",), "APIPage": ("apiName",), "DatasetPage": ("datasetName",), "Report": ("title",),
     "News": ("title",), "PolicyDocument": ("title",), "StandardDocument": ("standardId",), "ModelCard": ("modelName",), "TechnicalBlog": ("title",),
     "Coverage": ("type",), "Resolution": ("value", "unit"), "Gauge": ("stationId",), "Station": ("stationId",), "Standard": ("standardId",),
-    "ConfidenceLevel": ("level",), "ResourceAllocation": ("resource",), "Feedback": ("name",), "Teleconnection": ("name",), "Threshold": ("value",),
+    "ConfidenceLevel": ("level",), "ResourceAllocation": ("resource",), "EarthVariable": ("name",), "Feedback": ("name",), "Teleconnection": ("name",), "Threshold": ("value",),
+    "GaugeStation": ("stationId",), "PrecipitationGauge": ("stationId",), "WaterQualityIndicator": ("name", "value"), "ClimateIndex": ("name",),
+    "ExtremesIndicator": ("name",), "BiodiversityIndex": ("name",),
 }
+# Types that take no fields from the type above them, which belongs to a layer where their own is not looked for.
+FIELD_ROOTS = (
+    "EarthVariable", "GaugeStation", "PrecipitationGauge", "WaterQualityIndicator", "ExtremesIndicator", "ClimateIndex", "BiodiversityIndex", "GrowingSeason",
+)
 # Defaults of a type as JSON, beside those of the types above it.
 DEFAULTS: dict[str, str] = {
     "System": '{"components": [], "interfaces": []}', "Process": '{"steps": []}', "Claim": '{"confidence": 0.8}', "Evidence": '{"confidence": 0.8}',
@@ -168,9 +174,10 @@ def type_closure(parents: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def own_schemas(types: DataFrame) -> DataFrame:
-    """(name, parent, required, defaults) of registered types by definition, without what the types above them add."""
+    """(name, parent, required, defaults) of registered types by definition, without what the types above them add; ``parent`` is null
+    where no fields are taken from it."""
     spark = types.sparkSession
-    rows = [(n, PARENTS.get(n), list(REQUIRED.get(n, () if n in PARENTS else ("name",))), DEFAULTS.get(n)) for n in {*PARENTS, *PARENTS.values(), *REQUIRED, *DEFAULTS}]
+    rows = [(n, None if n in FIELD_ROOTS else PARENTS.get(n), list(REQUIRED.get(n, () if n in PARENTS else ("name",))), DEFAULTS.get(n)) for n in {*PARENTS, *PARENTS.values(), *REQUIRED, *DEFAULTS}]
     own = spark.createDataFrame(rows, "name string, parent string, required array<string>, defaults string")
     return types.select("name").distinct().join(F.broadcast(own), "name", "left").select("name", "parent", F.coalesce("required", F.array(F.lit("name"))).alias("required"), "defaults")
 

@@ -113,3 +113,23 @@ def export_triples(members: DataFrame, triples: DataFrame) -> DataFrame:
     a = triples.join(members.select("project_id", F.col("id").alias("subject")), "subject").select("project_id", "triple_id")
     b = triples.join(members.select("project_id", F.col("id").alias("object")), "object").select("project_id", "triple_id")
     return a.unionByName(b).distinct()
+
+
+def export_entities(members: DataFrame, entities: DataFrame) -> DataFrame:
+    """The entities of each project, with all their columns; members that do not exist are left out."""
+    return members.select("project_id", "id").distinct().join(entities, "id")
+
+
+def export_events(members: DataFrame, log: DataFrame) -> DataFrame:
+    """The events (event_id, objects and others) that name any member of a project, once for each project."""
+    named = log.select("event_id", F.explode("objects").alias("id")).join(members.select("project_id", "id").distinct(), "id").select("project_id", "event_id").distinct()
+    return named.join(log, "event_id")
+
+
+def export_chains(members: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """(project_id, start, id, level): the evidence chain of each claim and hypothesis of a project; each chain is followed once."""
+    from basinweave.operators.evidence import chain_nodes
+
+    claims = members.select("project_id", "id").distinct().join(entities.where(F.col("type").isin("Claim", "Hypothesis")).select("id"), "id", "left_semi")
+    nodes = chain_nodes(claims.select("id").distinct(), entities, triples)
+    return claims.withColumnRenamed("id", "start").join(nodes, "start").select("project_id", "start", "id", "level")

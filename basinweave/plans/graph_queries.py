@@ -260,7 +260,8 @@ _CLOSURE = (
 _OWN = [(n, f) for n in sorted({*ontology.PARENTS, *ontology.PARENTS.values(), *ontology.REQUIRED}) for f in ontology.REQUIRED.get(n, () if n in ontology.PARENTS else ("name",))]
 _SCHEMAS = (
     "own0 AS (SELECT * FROM " + _values(_OWN, "ty, field") + "), own AS (SELECT * FROM own0 UNION ALL SELECT name, 'name' FROM ontology_types WHERE name NOT IN (SELECT ty FROM own0) AND name NOT IN (SELECT name FROM par)), "
-    "rq AS (SELECT DISTINCT name, field FROM clo JOIN own ON own.ty = ancestor), dk AS (SELECT * FROM " + _values([(n, k) for n, j in ontology.DEFAULTS.items() for k in json.loads(j)], "ty, key") + ")"
+    "fpar AS (SELECT * FROM par WHERE name NOT IN ('" + "', '".join(ontology.FIELD_ROOTS) + "')), fclo(name, ancestor) AS (SELECT name, name FROM ontology_types UNION SELECT c.name, p.parent FROM fclo c JOIN fpar p ON c.ancestor = p.name), "
+    "rq AS (SELECT DISTINCT name, field FROM fclo JOIN own ON own.ty = ancestor), dk AS (SELECT * FROM " + _values([(n, k) for n, j in ontology.DEFAULTS.items() for k in json.loads(j)], "ty, key") + ")"
 )
 _NAME = "coalesce(nullif(name, ''), nullif(attributes->>'$.name', ''), nullif(attributes->>'$.title', ''), nullif(attributes->>'$.statement', ''), nullif(attributes->>'$.text', ''), id)"
 _BRIDGE_ROWS = [(p, a, b) for p, (ds, rs, _, _) in ontology.BRIDGES.items() for a in ds for b in rs]
@@ -287,8 +288,8 @@ ORACLES = {
     "o_layer_counts": f"WITH {E} SELECT coalesce(o.layer, 'unknown') AS type_layer, coalesce(o.category, 'other') AS type_category, count(*) AS n FROM e LEFT JOIN ontology_types o ON o.name = e.type GROUP BY 1, 2",
     "o_types_by_category": "SELECT layer, category, string_agg(name, ',' ORDER BY name) AS types FROM ontology_types GROUP BY 1, 2",
     "o_closure": f"WITH RECURSIVE {_CLOSURE} SELECT name, ancestor, min(steps) AS steps FROM clo GROUP BY 1, 2",
-    "o_schemas": f"WITH RECURSIVE {_CLOSURE}, {_SCHEMAS}, df AS (SELECT DISTINCT name, key FROM clo JOIN dk ON dk.ty = ancestor) SELECT r.name, fields AS required, coalesce(k.n, 0) AS defaults FROM (SELECT name, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM rq GROUP BY 1) r LEFT JOIN (SELECT name, count(*) AS n FROM df GROUP BY 1) k ON k.name = r.name",
-    "o_completed": f"WITH RECURSIVE {E}, {_CLOSURE}, {_SCHEMAS}, x AS (SELECT id, type, coalesce(json_keys(attributes), []) AS ks FROM e WHERE type IS NOT NULL), n AS (SELECT x.id, x.type, coalesce(rq.field, 'name') AS field, ks FROM x LEFT JOIN rq ON rq.name = x.type) SELECT type, field, count(*) AS filled FROM n WHERE NOT list_contains(ks, field) GROUP BY 1, 2",
+    "o_schemas": f"WITH RECURSIVE {_CLOSURE}, {_SCHEMAS}, df AS (SELECT DISTINCT name, key FROM fclo JOIN dk ON dk.ty = ancestor) SELECT o.name, coalesce(fields, '') AS required, coalesce(k.n, 0) AS defaults FROM ontology_types o LEFT JOIN (SELECT name, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM rq GROUP BY 1) r ON r.name = o.name LEFT JOIN (SELECT name, count(*) AS n FROM df GROUP BY 1) k ON k.name = o.name",
+    "o_completed": f"WITH RECURSIVE {E}, {_CLOSURE}, {_SCHEMAS}, x AS (SELECT id, type, coalesce(json_keys(attributes), []) AS ks FROM e WHERE type IS NOT NULL), n AS (SELECT x.id, x.type, coalesce(rq.field, 'name') AS field, ks FROM x LEFT JOIN rq ON rq.name = x.type WHERE rq.field IS NOT NULL OR x.type NOT IN (SELECT name FROM ontology_types)) SELECT type, field, count(*) AS filled FROM n WHERE NOT list_contains(ks, field) GROUP BY 1, 2",
     "o_alias_resolve": r"WITH k AS (SELECT lower(regexp_replace(name, '[\s_-]+', '', 'g')) AS t, name AS n, 0 AS r FROM ontology_types UNION ALL SELECT lower(regexp_replace(name, '[\s_-]+', '', 'g')) || 'object', name, 1 FROM ontology_types UNION ALL SELECT token, canonical, 2 FROM type_alias), f AS (SELECT t, arg_min(n, (r, n)) AS resolved FROM k GROUP BY 1) SELECT x.type, resolved FROM (SELECT DISTINCT type FROM entities WHERE type IS NOT NULL) x JOIN f ON f.t = lower(regexp_replace(x.type, '[\s_-]+', '', 'g'))",
     "o_bridge_valid_pairs": f"WITH RECURSIVE {_CLOSURE}, {E}, {T}, b AS (SELECT * FROM {_values(_BRIDGE_ROWS, 'predicate, dom, ran')}), c AS (SELECT DISTINCT name, ancestor FROM clo), pairs AS (SELECT DISTINCT s.type AS st, o.type AS ot FROM t JOIN e s ON s.id = t.subject JOIN e o ON o.id = t.object), hit AS (SELECT DISTINCT st, ot, predicate FROM pairs JOIN c x ON x.name = st JOIN b ON b.dom = x.ancestor JOIN c y ON y.name = ot AND y.ancestor = b.ran) SELECT predicate, count(*) AS pairs FROM hit GROUP BY 1",
     "o_conf_cap": f"WITH {T}, c AS (SELECT * FROM {_values([(p, x[3] if x[3] is not None else 0.0) for p, x in ontology.BRIDGES.items()], 'p, cap0')}), x AS (SELECT t.*, CASE WHEN p IS NULL THEN 0.5 WHEN coalesce(provenance.source_text <> '', false) THEN 0.9 ELSE cap0 END::DOUBLE AS cap FROM t LEFT JOIN c ON p = predicate) SELECT predicate, cap, count(*) AS n, count(*) FILTER (WHERE confidence > cap) AS above FROM x GROUP BY 1, 2",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinweave.operators import evidence, graph, lenses, ontology
+from basinweave.operators import evidence, graph, lenses, ontology, state
 from basinweave.plans.graph_queries import E as ALL_COLUMNS
 from basinweave.plans.graph_queries import MEMBERS as _M
 from basinweave.plans.graph_queries import T
@@ -77,6 +77,23 @@ def l_workflow_stage(spark: SparkSession, d: str) -> DataFrame:
     return lenses.workflow_stages(_members(spark, d), _entities(spark, d, "type", "attributes"), _triples(spark, d))
 
 
+def l_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of each project's pipeline per stage, in order, with the members they lead to."""
+    rows = lenses.workflow_pipeline(_members(spark, d), _entities(spark, d, "type", "attributes"), _triples(spark, d))
+    return rows.groupBy("project_id", "position", "stage").agg(F.count("*").alias("entities"), F.sum("depends_on").alias("links"))
+
+
+def k_export_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Exported entities per project and type."""
+    return state.export_entities(_members(spark, d), _entities(spark, d, "type")).groupBy("project_id", "type").agg(F.count("*").alias("n"))
+
+
+def k_export_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Exported evidence chains per project: claims, nodes and the deepest level."""
+    rows = state.export_chains(_members(spark, d), _entities(spark, d, "type"), _triples(spark, d))
+    return rows.groupBy("project_id").agg(F.countDistinct("start").alias("claims"), F.count("*").alias("nodes"), F.max("level").alias("deepest"))
+
+
 def l_data_flows(spark: SparkSession, d: str) -> DataFrame:
     """Flows from inputs over their users to outputs, counted by relation and whether an output follows."""
     ents, trip = _entities(spark, d, "type", "attributes"), _triples(spark, d)
@@ -167,7 +184,7 @@ def ev_chain_text(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        l_members, l_scores, l_recommend, l_graph_edges_in_project, l_metadata, l_map_bounds, l_geometry_kinds, l_coverage, l_workflow_stage, l_data_flows,
+        l_members, l_scores, l_recommend, l_graph_edges_in_project, l_metadata, l_map_bounds, l_geometry_kinds, l_coverage, l_workflow_stage, l_pipeline, k_export_entities, k_export_chains, l_data_flows,
         l_timeline_decades, l_compare_scope, l_compare_diff, l_metrics, ev_claims, ev_chain_depth, ev_claim_issues, ev_summary, ev_graph, ev_chain_nodes, ev_sufficient, ev_chain_text,
     )
 }
@@ -239,6 +256,9 @@ ORACLES = {
     "l_geometry_kinds": f"WITH {_LE}, x AS (SELECT {_KIND} AS geometry_from, type_layer FROM le) SELECT geometry_from, type_layer, count(*) AS n FROM x WHERE geometry_from IS NOT NULL GROUP BY 1, 2",
     "l_coverage": f"WITH {_LE}, {T}, {_M}, r AS (SELECT m.project_id, m.id FROM m JOIN le ON le.id = m.id WHERE type_layer = 'world' AND {_KIND} IS NOT NULL), c AS (SELECT DISTINCT subject, object FROM t WHERE predicate = 'covers') SELECT r.project_id, r.id, string_agg({_NAME.replace('name,', 'le.name,').replace('attributes', 'le.attributes').replace(', id)', ', le.id)')}, '; ' ORDER BY {_NAME.replace('name,', 'le.name,').replace('attributes', 'le.attributes').replace(', id)', ', le.id)')}) AS datasets FROM c JOIN r ON r.id = c.object JOIN m s ON s.id = c.subject AND s.project_id = r.project_id JOIN le ON le.id = c.subject GROUP BY 1, 2",
     "l_workflow_stage": f"WITH {_LE}, {T}, {_FLAGS}, {_M} SELECT project_id, {_STAGE} AS stage, count(*) AS n FROM m JOIN fe ON fe.id = m.id GROUP BY 1, 2",
+    "l_pipeline": f"WITH {_LE}, {T}, {_FLAGS}, {_M}, g AS (SELECT a.project_id, a.id, count(DISTINCT object) AS k FROM t JOIN m a ON a.id = subject JOIN m b ON b.id = object AND b.project_id = a.project_id WHERE subject <> object GROUP BY 1, 2), x AS (SELECT m.project_id, {_STAGE} AS stage, coalesce(k, 0) AS k FROM m JOIN fe ON fe.id = m.id LEFT JOIN g ON g.project_id = m.project_id AND g.id = m.id) SELECT project_id, list_position({list(lenses.STAGES)}, stage) - 1 AS position, stage, count(*) AS entities, sum(k)::BIGINT AS links FROM x GROUP BY 1, 2, 3",
+    "k_export_entities": f"WITH {E}, {_M} SELECT project_id, type, count(*) AS n FROM m JOIN e ON e.id = m.id GROUP BY 1, 2",
+    "k_export_chains": f"WITH RECURSIVE {E}, {T}, {_M}, cx AS (SELECT m.project_id, e.id FROM m JOIN e ON e.id = m.id WHERE type IN ('Claim', 'Hypothesis')), ed AS (SELECT DISTINCT subject AS id, object AS nxt FROM t WHERE predicate IN {_in(evidence.CHAIN_RELATIONS)} AND object IN (SELECT id FROM e)), w(start, id, level) AS (SELECT DISTINCT id, id, 0 FROM cx UNION SELECT w.start, ed.nxt, w.level + 1 FROM w JOIN ed ON ed.id = w.id), nd AS (SELECT start, id, min(level) AS level FROM w GROUP BY 1, 2) SELECT project_id, count(DISTINCT start) AS claims, count(*) AS nodes, max(level) AS deepest FROM cx JOIN nd ON nd.start = cx.id GROUP BY 1",
     "l_data_flows": f"WITH {_LE}, {T}, {_FLAGS}, i AS (SELECT id FROM fe WHERE {_STAGE} = 'input'), u AS (SELECT object AS input, subject AS usr, predicate AS used_by FROM t WHERE predicate IN {_in(lenses.INPUT_USE_RELATIONS)} AND object IN (SELECT id FROM i) AND subject IN (SELECT id FROM e)), k AS (SELECT subject AS usr, object AS output FROM t WHERE predicate IN {_in(lenses.OUTPUT_RELATIONS)} AND object IN (SELECT id FROM e)) SELECT used_by, output IS NOT NULL AS has_output, count(*) AS flows, count(DISTINCT input) AS inputs FROM u LEFT JOIN k ON k.usr = u.usr GROUP BY 1, 2",
     "l_timeline_decades": f"WITH {_LE}, {_M}, x AS (SELECT m.project_id, type, {_START} AS s FROM m JOIN le ON le.id = m.id) SELECT project_id, (floor(s / 10) * 10)::INT AS decade, count(*) AS events, count(DISTINCT type) AS types, min(s) AS first, max(s) AS last FROM x WHERE s IS NOT NULL GROUP BY 1, 2",
     "l_compare_scope": f"WITH {_LE}, {_M}, x AS (SELECT project_id, type, type_layer || ':' || type_category AS lc FROM m JOIN le ON le.id = m.id), a AS (SELECT project_id, max(n) AS n FROM (SELECT project_id, type, count(*) AS n FROM x GROUP BY 1, 2) GROUP BY 1), b AS (SELECT project_id, max(n) AS n FROM (SELECT project_id, lc, count(*) AS n FROM x GROUP BY 1, 2) GROUP BY 1), c AS (SELECT project_id, count(*) AS n FROM x GROUP BY 1) SELECT a.project_id, CASE WHEN a.n >= 2 THEN a.n WHEN b.n >= 2 THEN b.n ELSE c.n END AS n FROM a JOIN b USING (project_id) JOIN c USING (project_id)",
