@@ -559,6 +559,8 @@ _TEXT_OBJECTS = rf"""{_LINES}, tx AS (SELECT h.doc_id, h.pos, h.type, lower(rege
  UNION ALL SELECT ev.doc_id, 'evidence', 'Claim', ev.key, 0.5, ev.said, NULL FROM ev LEFT JOIN cl ON cl.doc_id = ev.doc_id
  WHERE ev.said IS NOT NULL AND NOT coalesce(len(list_intersect({_tok('cl.said')}, {_tok('ev.said')})) / nullif(least(len({_tok('cl.said')}), len({_tok('ev.said')})), 0) > 0.8, false))"""
 
+RATE_LIMIT = "WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), r(key, i, last, ok) AS (SELECT key, i, [us], true FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, CASE WHEN len(last) < 3 OR o.us - last[len(last) - 2] >= 3600000000 THEN list_append(last, o.us) ELSE last END, len(last) < 3 OR o.us - last[len(last) - 2] >= 3600000000 FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1) SELECT key, ok AS allowed, count(*) AS n FROM r GROUP BY 1, 2"
+
 ORACLES = {
     "m_text_objects": f"WITH {_TEXT_OBJECTS} SELECT origin, type, section, confidence, count(*) AS n, count(DISTINCT name) AS names, sum(length(description))::BIGINT AS chars FROM ob GROUP BY 1, 2, 3, 4",
     "t_chunks": f"WITH RECURSIVE {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}), od AS (SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(w, 0.5) DESC, pos) AS i FROM se LEFT JOIN im ON ty = type), pk(doc_id, i, opened, done) AS (SELECT doc_id, i, chars::BIGINT, []::BIGINT[] FROM od WHERE i = 1 UNION ALL SELECT od.doc_id, od.i, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN opened + 2 + chars ELSE chars END::BIGINT, CASE WHEN opened + chars <= {text.MAX_CHUNK} THEN done ELSE list_append(done, opened) END FROM pk JOIN od ON od.doc_id = pk.doc_id AND od.i = pk.i + 1), lp AS (SELECT doc_id, list_append(done, opened) AS s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS rn FROM pk) WHERE rn = 1) SELECT doc_id, len(s) AS chunks, list_max(s) AS largest, list_sum(s)::BIGINT AS chars FROM lp WHERE len(s) > 1",
@@ -569,7 +571,7 @@ ORACLES = {
     "q_paper_quality": f"WITH {_OBJ}, nf AS (SELECT source_id, count(*) AS n FROM fw GROUP BY 1), x AS (SELECT paper_id, coalesce(length(abstract), 0) > 0 AS has_one_line, coalesce(n, 0) AS n_points, coalesce(len(datasets), 0) AS n_nodes, coalesce(len(keywords), 0) AS n_edges, abstract FROM p LEFT JOIN nf ON source_id = paper_id), y AS (SELECT *, CASE WHEN has_one_line AND n_points >= 3 THEN 90 WHEN has_one_line OR n_points > 0 THEN 60 ELSE 20 END AS score_brief, CASE WHEN n_nodes >= 3 AND n_edges >= 2 THEN 90 WHEN n_nodes >= 2 THEN 65 ELSE 25 END AS score_route, 45 AS score_traceability, 45 AS score_fidelity, 75 AS score_visuals, CASE WHEN n_nodes = 0 THEN 35 ELSE 100 END AS score_resources, CASE WHEN abstract IS NOT NULL THEN 55 ELSE 50 END AS score_coverage FROM x), z AS (SELECT *, {_weighted(quality.SOURCE_WEIGHTS)}, (score_brief < 55)::INT + (score_route < 55)::INT + (n_nodes = 0)::INT AS weak FROM y) SELECT CASE WHEN score >= {quality.PRODUCT_READY} AND weak = 0 THEN 'product_ready' WHEN score >= {quality.REVIEWABLE} AND weak <= 1 THEN 'reviewable' ELSE 'weak' END AS level, score, count(*) AS papers FROM z GROUP BY 1, 2",
     "q_readiness": f"{_SIGNALS} SELECT project_id, count(*) FILTER (WHERE state = 'ready') AS ready, count(*) AS total, floor(count(*) FILTER (WHERE state = 'ready') * 100 / count(*) + 0.5)::BIGINT AS score FROM si GROUP BY 1",
     "q_action_plan": f"{_SIGNALS}, rk AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE state WHEN 'missing' THEN 1 ELSE 2 END, ord) AS rank FROM si WHERE state <> 'ready') SELECT project_id, rank, signal, state FROM rk WHERE rank <= 4",
-    "k_rate_limit": "WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), r(key, i, last, ok) AS (SELECT key, i, [us], true FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, CASE WHEN len(last) < 3 OR o.us - last[len(last) - 2] >= 3600000000 THEN list_append(last, o.us) ELSE last END, len(last) < 3 OR o.us - last[len(last) - 2] >= 3600000000 FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1) SELECT key, ok AS allowed, count(*) AS n FROM r GROUP BY 1, 2",
+    "k_rate_limit": RATE_LIMIT,
     "t_sections": f"WITH {_LINES} SELECT doc_id, pos, type, title, start_line, end_line, chars FROM se",
     "t_section_stats": f"WITH {_LINES}, im AS (SELECT * FROM {_values(list(text.IMPORTANCE.items()), 'ty, w')}) SELECT st AS source_type, type, count(*) AS n, sum(chars)::BIGINT AS chars, max(coalesce(w, 0.5))::DOUBLE AS importance FROM se LEFT JOIN im ON ty = type GROUP BY 1, 2",
     "t_tokens": f"SELECT token, count(*) AS documents FROM (SELECT unnest({_tok('text', '')}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 50",

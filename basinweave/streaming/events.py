@@ -34,12 +34,18 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def limit_rate(events: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFrame:
-    """(user_id, event_id, allowed) with at most ``limit`` allowed events in any ``seconds`` of event time; the state of a key is the last
-    ``limit`` allowed times."""
+def limit_rate(events: DataFrame, limit: int = 3, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """(user_id, event_id, allowed) with at most ``limit`` allowed events in any ``seconds`` of event time.
+
+    The state of a key is the last ``limit`` allowed times; it goes once the watermark is ``seconds`` past the last of them, when it
+    can deny nothing any more. Events are taken in order of time within a micro-batch; events later than ``late`` are left out.
+    """
     span = seconds * 1_000_000
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = list(state.get[0]) if state.exists else []
         for pdf in batches:
             pdf = pdf.sort_values(["us", "event_id"])
@@ -51,9 +57,12 @@ def limit_rate(events: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFr
                 out.append(ok)
             yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "allowed": out})
         state.update((seen,))
+        if seen:
+            state.setTimeoutTimestamp(max(seen[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, allowed boolean", "seen array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).where("user_id is not null and ts is not null").withWatermark("ts", late)
+    rows = rows.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, allowed boolean", "seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, folder_name: str, mode: str = "complete") -> DataFrame:

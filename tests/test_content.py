@@ -290,3 +290,29 @@ def test_wide_boxes_have_few_rows(spark):
     b = spark.createDataFrame(boxes, "k int, min_lon double, min_lat double, max_lon double, max_lat double")
     want = sorted((i, k) for i, x, y in points if x is not None for k, a, c, e, f in boxes if a is not None and a <= x <= e and c <= y <= f)
     assert sorted((r.i, r.k) for r in spatial.join_boxes(p, b).collect()) == want
+
+
+LONG = "The gauge network shows that mean flow in the upper reach depends on snow in the early season of most years."
+
+
+def test_objects_from_sections(spark):
+    body = f"# Abstract\n{LONG} A global view.\n# Model setup\nignored\n# Methods\n{LONG} It has a second sentence.\n# Data\nSee https://a.example/d1, for {LONG}\n# Results\nShort start. This other sentence tells of turbidity, algae and nutrients that were sampled in ponds, lakes and ditches.\n"
+    rows = [("a", "Paper", body, "Flow", None), ("b", "Paper", "too short", "x", LONG), ("c", None, None, None, None), ("d", "Paper", "z" * 200, None, LONG), ("e", "Paper", "# Abstract\n" + LONG + "\n# Results\n" + LONG, None, None)]
+    df = spark.createDataFrame(rows, "source_id string, source_type string, text string, title string, abstract string")
+    got = {(r.source_id, r.origin): r for r in decompose.text_objects(df).collect()}
+    assert {k[1] for k in got if k[0] == "a"} == {"method", "data", "workflow", "claim", "scope", "evidence"}
+    assert got["a", "method"].name == "Methods" and got["a", "method"].description == LONG and got["a", "data"].name == "https://a.example/d1"
+    assert got["a", "workflow"].name == "Flow workflow" and got["a", "claim"].name == LONG and got["a", "evidence"].name.startswith("This other") and got["a", "scope"].confidence == 0.45
+    assert {k for k in got if k[0] in "bcde"} == {("d", "claim"), ("e", "claim")}  # what the results say again is no further claim
+    assert decompose.text_objects(df.limit(0)).count() == 0
+
+
+def test_exports(spark):
+    members = spark.createDataFrame([("p", "a", 0), ("p", "a", 1), ("p", "gone", 2), ("q", "b", 0), ("q", "a", 1)], "project_id string, id string, pos int")
+    ents = spark.createDataFrame([("a", "Claim"), ("b", "Dataset"), ("c", "Evidence")], "id string, type string")
+    trip = spark.createDataFrame([("a", "supports", "c"), ("c", "supports", "a"), ("b", "uses", "a")], "subject string, predicate string, object string")
+    assert sorted((r.project_id, r.id) for r in state.export_entities(members, ents).collect()) == [("p", "a"), ("q", "a"), ("q", "b")]
+    log = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["z"]), (3, None)], "event_id long, objects array<string>")
+    assert sorted((r.project_id, r.event_id) for r in state.export_events(members, log).collect()) == [("p", 1), ("q", 1)]
+    chains = state.export_chains(members, ents, trip)
+    assert sorted(tuple(r) for r in chains.collect()) == [("p", "a", "a", 0), ("p", "a", "c", 1), ("q", "a", "a", 0), ("q", "a", "c", 1)]

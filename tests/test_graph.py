@@ -166,3 +166,16 @@ def test_walks_by_their_end_only(spark):
     e = layered(spark, [(i, "X", i, "{}", 1.0, None) for i in "abcz"])
     t = trips(spark, [("a", "p", "z"), ("b", "p", "z"), ("a", "p", "c"), ("a", "q", "z")])
     assert {(r.end, r.walks) for r in graph.query_path(e.select("id"), t, ["p"], e, keep_start=False).collect()} == {("z", 2), ("c", 1)}
+
+
+def test_pipeline_and_evidence_graph(spark):
+    e = layered(spark, [(i, t, i, "{}", 0.9, None) for i, t in [("in", "Dataset"), ("m", "Model"), ("cl", "Claim"), ("e1", "Claim")]])
+    t = trips(spark, [("m", "uses", "in"), ("m", "uses", "in"), ("m", "uses", "m"), ("e1", "supports", "cl"), ("cl", "contradicts", "e1")])
+    members = spark.createDataFrame([("p", "in", 0), ("p", "m", 1), ("p", "cl", 2), ("q", "m", 0)], "project_id string, id string, pos int")
+    got = {(r.project_id, r.id): (r.position, r.depends_on) for r in lenses.workflow_pipeline(members, e, t).collect()}
+    assert got["p", "m"] == (1, 1) and got["q", "m"] == (1, 0) and got["p", "in"] == (0, 0) and len(got) == 4
+    claims = lenses.evidence_claims(e, t)
+    edges = {tuple(r) for r in lenses.evidence_graph(members, claims, e, t).collect()}
+    assert edges == {("p", "e1", "supports", "cl"), ("p", "cl", "contradicts", "e1")}
+    s = lenses.evidence_summary(members, claims, lenses.evidence_chains(claims, e, t)).first()
+    assert (s.project_id, s.claims, s.complete, s.unconnected, s.avg_depth) == ("p", 1, 1, 0, 2.0)
