@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = os.environ.get("BASINWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Ids in one output batch, but for those of its last text.
+MOST_IDS = 1_000_000
 KEEP_LETTERS, KEEP_PIECES = 32, 400_000
 
 #: How the public vocabulary cuts a text into pieces (fixed value).
@@ -121,16 +123,21 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         if encoder is None:
             encoder = _ENCODERS[key] = Encoder(read_ranks(shared.value))
         encode = encoder.encode
+        def packed(batch: pa.RecordBatch, first: int, sizes: list[int], ids: array) -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, np.int32)))
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), lists], names=[id_col, "ids"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounded output batches, however long the texts are
-                part = batch.slice(at, 256)
-                ids, sizes = array("i"), []
-                for text in part.column(1).to_pylist():
-                    got = encode(text)
-                    sizes.append(len(got))
-                    ids.extend(got)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
+            first, sizes, ids = 0, [], array("i")
+            for at, text in enumerate(batch.column(1)):
+                got = encode(text.as_py())
+                sizes.append(len(got))
+                ids.extend(got)
+                if len(sizes) == 256 or len(ids) >= MOST_IDS:  # bounded output batches, however long the texts are
+                    yield packed(batch, first, sizes, ids)
+                    first, sizes, ids = at + 1, [], array("i")
+            if sizes:
+                yield packed(batch, first, sizes, ids)
 
     return documents.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")

@@ -64,3 +64,11 @@ def test_corpus(spark, public):
     got = {r.doc_id: r.ids for r in T.encode_corpus(df).collect()}
     assert got == {i: public(t) if t else [] for i, t, _ in rows}
     assert T.encode_corpus(df.limit(0)).collect() == []
+
+
+def test_batches_are_bounded_by_ids(spark, public, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["a b c", None, "", "one two three four five", "x"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(T, "MOST_IDS", 4)
+    got = {r.doc_id: r.ids for r in T.encode_corpus(df).collect()}
+    assert got == {i: public(t) if t else [] for i, t in rows}
