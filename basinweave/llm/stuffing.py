@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 WINDOW, SHORT_LAG, LONG_LAG = 24, 5, 24
 SHORT_RECUR, LONG_RECUR, REGULAR = 0.4, 0.6, 0.6
 #: Regular recurrence: greatest deviation of a term's gaps, by their mean, from this many gaps on; least share of the content words
-#: in one window of lags (of lags that the page holds so many times), and the width of these windows by the lag.
+#: in one window of lags (of lags that the page holds so many times), ``WINDOW`` of them at least, and the width of these windows by the lag.
 EVEN, EVEN_GAPS, PEAK, LAG_WIDTH = 0.25, 6, 0.25, 0.05
 #: Words of a sentence at least, on average, where its ends are taken for those of prose.
 SENTENCE_WORDS = 4
@@ -52,9 +52,10 @@ FUNCTION_WORDS = frozenset(
 )
 _PARTICLES = frozenset("的了在是和与为於于及或但而被把从对由也都就着过其此该中仍已将")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_TOKEN = re.compile(r"\x01|https?://\S+|www\.\S+|[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+", re.I)
-_URL, _END = "\x00url", "\x01"
-_ENDS = re.compile(r"[.!?…]+(?=[\"'”»)\]]*(?:\s|$))|[。！？]")
+_TOKEN = re.compile(r"[.!?…](?=[\"'”»)\]]*(?:\s|$))|[。！？]|https?://\S+|www\.\S+|[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+", re.I)
+_URL = "\x00url"
+#: Marks that end a sentence, where the pattern of tokens finds them.
+_ENDS = ".!?…。！？"
 _TAG = re.compile(r"<[/a-z!][^<>]{0,2000}>", re.I)
 _NEUTRAL = re.compile(r"^\s*(?:#{1,6}\s|\||\[\d+\]|\d{1,3}[.)]\s.*\(\d{4}\)|[-=*_\s]{3,}$)")
 
@@ -63,9 +64,8 @@ def page_words(text: str) -> list[str]:
     """Words of the lines that count, and ends of sentences; a tag with an address in it is that address, others are blanks."""
     if "<" in text:
         text = _TAG.sub(lambda m: " http://x " if "http" in m[0] else " ", text)
-    lines = [line for line in text.replace(_END, " ").splitlines() if not _NEUTRAL.match(line)]
-    marked = _ENDS.sub(f" {_END} ", "\n".join(lines).lower())
-    return [_URL if w[:4] == "http" or w[:4] == "www." else w for w in _TOKEN.findall(marked)]
+    lines = [line for line in text.splitlines() if not _NEUTRAL.match(line)]
+    return [_URL if w[:4] == "http" or w[:4] == "www." else w for w in _TOKEN.findall("\n".join(lines).lower())]
 
 
 def _recurrences(codes: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def regular_words(n: int, order: np.ndarray, term: np.ndarray) -> np.ndarray:
         spread = np.sqrt(np.maximum(np.bincount(of, gaps * gaps, size) / np.maximum(count, 1) - mean**2, 0))
         regular[order] = (often & (spread <= EVEN * mean))[term]
     # peaks of the autocorrelation, over lags to the last occurrence and the one before it
-    least = PEAK * len(order)
+    least = max(PEAK * len(order), WINDOW)
     for step in (1, 2):
         hit = np.flatnonzero((term[step:] == term[:-step]) & ((order[step:] - order[:-step]) * (EVEN_GAPS + 1) <= n))
         if len(hit) < least:
@@ -106,7 +106,7 @@ def regular_words(n: int, order: np.ndarray, term: np.ndarray) -> np.ndarray:
 
 
 _FUNCTION, _PARTICLE, _ENDED = -1, -3, -2
-_FIXED = dict.fromkeys(FUNCTION_WORDS, _FUNCTION) | dict.fromkeys(_PARTICLES, _PARTICLE) | {_END: _ENDED}
+_FIXED = dict.fromkeys(FUNCTION_WORDS, _FUNCTION) | dict.fromkeys(_PARTICLES, _PARTICLE) | dict.fromkeys(_ENDS, _ENDED)
 
 
 def page_weights(tokens: list[str]) -> tuple[int, int]:
@@ -140,7 +140,8 @@ def page_weights(tokens: list[str]) -> tuple[int, int]:
     ends = np.flatnonzero(is_end)
     ends = ends - np.arange(len(ends)) - 1  # numbers of the words before them
     closed = np.bincount(ends[ends >= 0] // WINDOW, minlength=len(starts))
-    beside = np.pad(closed > 0, 1)
+    beside = np.zeros(len(starts) + 2, bool)
+    beside[1:-1] = closed > 0
     prose = (closed <= size / SENTENCE_WORDS) & ((closed > 0) | (beside[:-2] & beside[2:]))
     short, long = per_window(near), per_window(far)
     stuffed = (
