@@ -1,16 +1,17 @@
 """Evaluation passages inside training documents, found by winnowing.
 
-Both sides are cut into words, every run of ``K`` words gets a hash, and each window of ``WINDOW`` neighbouring hashes keeps its
-smallest: a shared run of ``K + WINDOW - 1`` words or more is sure to share a fingerprint. The fingerprints of the corpus are
-joined to those of the items (Spark chooses how, by their size), pairs with enough distinctive hits are kept, and only for these
-the hits are extended word by word over the whole text, over small edits, to runs in order. A document is reported for an item
-if such runs cover ``SHARE`` of the passage.
+Both sides are cut into words, every run of ``K`` words gets a hash, and each window of neighbouring hashes keeps its smallest: with
+a window of ``w`` hashes, a shared run of ``K + w - 1`` words or more is sure to share a fingerprint. Here the window is one, so that
+none of them is left out. From shared fingerprints on, runs are extended word by word over the whole text, over small edits, and a
+document is reported for an item if such runs, in order, cover ``SHARE`` of the passage.
 
 Passages are worked on once each, however many items have them. They share phrases, so a run counts only if it holds a distinctive
 word of the passage (one that at most ``RARE`` of all different sentences have, such as a name), and a run does not go on over a
-distinctive word that the document lacks. Candidates share a fingerprint with such a word, or fingerprints of few sentences with
-the weight ``HIT_WEIGHT``: a shared span with a distinctive word and two words on either side of it is sure to be looked at.
-All of this is in proportion to the number of items.
+distinctive word that the document lacks.
+
+Candidates are all pairs in which such a run can occur; no fingerprint or word is left out for being common. For a passage with
+distinctive words they are the documents that share a fingerprint with any passage and hold one of these words, in any spelling that
+a run takes for it; for a passage without, the documents that share a fingerprint with it.
 
 Instructions that many items share and the questions at the end are no part of a passage. A sentence of several items is taken for
 an instruction if what most of these have in common is shorter than what they differ in, so that a passage which many items share
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinweave.llm.canonical import edits
+from basinweave.llm.canonical import SENT_BLOCKS, blocks, edits
 from basinweave.session import stable
 
 K, WINDOW = 3, 3
@@ -50,11 +51,9 @@ RUN_WORDS = 6
 STOCK_ITEMS = 5
 #: A word is distinctive if at most this share of the different sentences of passages have it, or only one.
 RARE = 0.01
-#: Least weight of a candidate's fingerprints without a distinctive word, each by 1 / different sentences with it; more sentences than ``COMMON`` tell nothing.
-HIT_WEIGHT, COMMON = 0.34, 20
 #: Passages that one row compares with a document; further ones go into further rows.
 TESTS = 256
-#: Ids of candidate documents are sent to all executors up to this number (16 MB).
+#: Ids of candidate documents and fingerprints of passages are sent to all executors up to this number (16 MB), words up to ``SENT_BLOCKS``.
 MAX_SENT_IDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -89,45 +88,26 @@ class _WordHashes(dict):
         return h
 
 
-def _grams(words: list[str], hashes: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``K`` words, and the least one of each window of them."""
+def fingerprints(words: list[str], hashes: _WordHashes, window: int = WINDOW) -> np.ndarray:
+    """Distinct winnowed hashes of all runs of ``K`` words, as signed 64-bit numbers."""
     n = len(words) - K + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64)
     a = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     h = a[:n].copy()
     for j in range(1, K):
         h = h * np.uint64(0x9E3779B97F4A7C15) ^ (a[j : n + j] + np.uint64(0x632BE59BD9B4E019 * j % 2**64))
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    w = min(WINDOW, n)
+    w = min(window, n)
     low = h[: n - w + 1].copy()
     for j in range(1, w):
         np.minimum(low, h[j : n - w + 1 + j], out=low)
-    return h, low
-
-
-def fingerprints(words: list[str], hashes: _WordHashes) -> np.ndarray:
-    """Distinct winnowed hashes of a list of words, as signed 64-bit numbers."""
-    return np.unique(_grams(words, hashes)[1]).view(np.int64)
-
-
-def placed_fingerprints(passage: str, rare: frozenset[str], hashes: _WordHashes) -> list[tuple[int, str, bool]]:
-    """(print, sentence, telling) for the winnowed hashes of a passage: the sentence where each begins, and if it holds a distinctive word."""
-    parts = [(w, k) for k, s in enumerate(_SENTENCE.split(passage)) for w in words_of(s)]
-    words, sentences = [w for w, _ in parts], _SENTENCE.split(passage)
-    h, low = _grams(words, hashes)
-    out: dict[int, tuple[str, bool]] = {}
-    for j in np.flatnonzero(np.isin(h, low)).tolist():
-        telling = any(w in rare for w in words[j : j + K])
-        key = int(h[j].view(np.int64))
-        if key not in out or telling:
-            out[key] = (sentences[parts[j][1]], telling)
-    return [(p, s, t) for p, (s, t) in out.items()]
+    return np.unique(low).view(np.int64)
 
 
 def fingerprint_table(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, print) of all texts; no shuffle."""
+    """(id, print) of all runs of ``K`` words of the texts; no shuffle."""
     id_type = texts.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +115,7 @@ def fingerprint_table(texts: DataFrame, id_col: str, text_col: str) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [fingerprints(words_of(t), hashes) if t else np.empty(0, np.int64) for t in part.column(1).to_pylist()]
+                sets = [fingerprints(words_of(t), hashes, 1) if t else np.empty(0, np.int64) for t in part.column(1).to_pylist()]
                 rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 prints = np.concatenate(sets) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(prints)], names=["id", "print"])
@@ -185,19 +165,6 @@ def distinctive_words(texts: DataFrame) -> DataFrame:
     return texts.join(rare, "pid", "left").select("pid", "passage", F.coalesce("rare", F.array().cast("array<string>")).alias("rare"))
 
 
-def passage_prints(told: DataFrame) -> DataFrame:
-    """(print, pid, n, telling): the prints of passages (pid, passage, rare), and how many different sentences have each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for pdf in batches:
-            rows = [(p, i, s, x) for i, t, rare in zip(pdf["pid"], pdf["passage"], pdf["rare"]) for p, s, x in placed_fingerprints(t, frozenset(rare), hashes)]
-            yield pd.DataFrame(rows, columns=["print", "pid", "sentence", "telling"])
-
-    own = stable(told.mapInPandas(run, "print long, pid long, sentence string, telling boolean"))
-    return own.join(own.groupBy("print").agg(F.countDistinct("sentence").alias("n")), "print").drop("sentence")
-
-
 def _same(a: str, b: str) -> bool:
     return a == b or (len(a) > 3 and len(b) > 3 and a[:1].isalpha() and edits(a, b, 1 if min(len(a), len(b)) < 8 else 2) <= (1 if min(len(a), len(b)) < 8 else 2))
 
@@ -273,6 +240,60 @@ def matched_share(doc: list[str], item: list[str], rare: frozenset[str] = frozen
     return most / len(item)
 
 
+def _sent(few: DataFrame, most: int) -> DataFrame:
+    """A table, written once, that is sent to all executors if it has at most so many rows; a larger one is joined like any table."""
+    few = stable(few)
+    return F.broadcast(few) if few.count() <= most else few
+
+
+def _reach(word: str) -> int:
+    """Edits that ``_same`` may allow a word."""
+    return 1 if len(word) < 8 else 2
+
+
+def spellings(words: DataFrame, rare: DataFrame) -> DataFrame:
+    """(word, rare): all pairs of a word of documents and a distinctive word that ``_same`` takes for one."""
+
+    def expand(known: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(w, b) for w in pdf.iloc[:, 0] for b in blocks(w, _reach(w), known)]
+                yield pd.DataFrame(rows, columns=["rare" if known else "word", "block"])
+
+        return run
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[_same(w, r) for w, r in zip(pdf["word"], pdf["rare"])]]
+
+    listed = _sent(rare.mapInPandas(expand(True), "rare string, block string"), SENT_BLOCKS)
+    met = words.mapInPandas(expand(False), "word string, block string").join(listed, "block").select("word", "rare").distinct()
+    return met.mapInPandas(verify, "word string, rare string")
+
+
+def candidates(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc_id, pid): every pair of a document and a passage (pid, passage, rare) for which ``matched_share`` may not be 0, once."""
+    plain = F.size("rare") == 0
+    prints = stable(fingerprint_table(told.select(F.struct("pid", plain.alias("plain")).alias("of"), "passage"), "of", "passage"))
+    prints = prints.select("print", "id.pid", "id.plain")
+    known = _sent(prints.groupBy("print").agg(F.max("plain").alias("plain")), MAX_SENT_IDS)
+    # which fingerprint it was matters only for passages without distinctive words
+    hits = fingerprint_table(docs, "doc_id", "text").join(known, "print").select(F.col("id").alias("doc_id"), F.when(F.col("plain"), F.col("print")).alias("print"))
+    hits = stable(hits.distinct())
+    by_print = hits.join(prints.where("plain").select("print", "pid"), "print").select("doc_id", "pid")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, w) for i, t in zip(pdf["doc_id"], pdf["text"]) for w in set(words_of(t)) if len(w) > 3 and w[0].isalpha()]
+            yield pd.DataFrame(rows, columns=["doc_id", "word"])
+
+    words = docs.join(_sent(hits.select("doc_id").distinct(), MAX_SENT_IDS), "doc_id", "left_semi").mapInPandas(split, "doc_id long, word string")
+    rare = stable(told.select("pid", F.explode("rare").alias("rare")))
+    near = _sent(spellings(words.select("word").distinct(), rare.select("rare").distinct()), SENT_BLOCKS)
+    by_word = words.join(near, "word").select("doc_id", "rare").distinct().join(rare, "rare").select("doc_id", "pid")
+    return by_print.unionByName(by_word).distinct()
+
+
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", share: float = SHARE, scores: bool = False
 ) -> DataFrame:
@@ -281,10 +302,7 @@ def leaked_items(
     held = stable(passages(items))
     texts = stable(held.groupBy("passage").agg(F.min("item_id").alias("pid")).select("pid", "passage"))
     told = stable(distinctive_words(texts))
-    prints = passage_prints(told).where(F.col("telling") | (F.col("n") <= COMMON))
-    weight = F.when(F.col("telling"), F.lit(1.0)).otherwise(1 / F.col("n"))
-    hits = fingerprint_table(docs, "doc_id", "text").join(prints.select("print", "pid", weight.alias("w")), "print")
-    pairs = hits.groupBy(F.col("id").alias("doc_id"), "pid").agg(F.sum("w").alias("w")).where(F.col("w") >= HIT_WEIGHT)
+    pairs = candidates(docs, told)
     part = F.floor(F.row_number().over(Window.partitionBy("doc_id").orderBy("pid")) / TESTS).alias("part")
     tests = pairs.select("doc_id", "pid", part).join(told, "pid")
     tests = stable(tests.groupBy("doc_id", "part").agg(F.collect_list(F.struct("pid", "passage", "rare")).alias("tests")))

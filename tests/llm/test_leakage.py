@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
@@ -112,3 +113,48 @@ def test_many_passages_in_one_document(spark, monkeypatch):
     doc = [(7, " ".join(t for _, t, _ in its), "x")]
     monkeypatch.setattr(L, "TESTS", 4)
     assert find(spark, doc, its) == [(7, k) for k in range(30)]
+
+
+def common_items(n=300):
+    """Passages of few phrases, each in far more than 20 sentences; every fifth has no name."""
+    rng = random.Random(5)
+    out = []
+    for i in range(n):
+        names = ["".join(rng.choice("bdfghjklmn") + rng.choice("aeiou") for _ in range(4)) for _ in range(3)]
+        text = " ".join(f"{rng.choice(WHO).capitalize()} {rng.choice(DID)} {f'across the {p.capitalize()} moor ' if i % 5 else ''}{rng.choice(WHEN)}." for p in names)
+        out.append((i, text, "a"))
+    return out
+
+
+def test_no_candidate_is_left_out(spark, monkeypatch):
+    its = common_items()
+    rng = random.Random(8)
+    other = lambda w: "".join(rng.choice("qxz") for _ in w)
+    named = re.compile(r"(?<=across the )\w+")
+    misspelt = lambda t: named.sub(lambda m: m[0][:3] + "x" + m[0][4:], t)
+    docs = []
+    for k in range(0, 60, 2):
+        docs.append((k, "fill " * 9 + misspelt(its[k][1]), "x"))
+        docs.append((k + 1, " ".join(w if j % 4 != k % 4 or "moor" in its[k][1].split()[j : j + 2] else other(w) for j, w in enumerate(its[k][1].split())), "x"))
+    held = {r.item_id: r.passage for r in L.passages(spark.createDataFrame(its, "item_id long, text string, answer string")).collect()}
+    told = spark.createDataFrame(sorted(held.items()), "pid long, passage string")
+    rare = {r.pid: frozenset(r.rare) for r in L.distinctive_words(told).collect()}
+    assert {not r for r in rare.values()} == {True, False}
+    share = lambda t, i: L.matched_share(L.words_of(t), L.words_of(held[i]), rare[i])
+    want = sorted((d, i) for d, t, _ in docs for i in held if share(t, i) >= L.SHARE)
+    assert {(k, k) for k in range(0, 60, 2)} <= set(want) and sum((k + 1, k) in want for k in range(0, 60, 2)) > 20
+    assert find(spark, docs, its) == want
+    monkeypatch.setattr(L, "MAX_SENT_IDS", 0)
+    monkeypatch.setattr(L, "SENT_BLOCKS", 0)
+    assert find(spark, docs, its) == want
+
+
+def test_spellings_are_those_of_a_run(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice((3, 4, 5, 7, 8, 9, 20, 21, 23, 40))))
+    rare = sorted({w for w in (word() for _ in range(60)) if len(w) > 3})
+    change = lambda w, j, x: rng.choice((w[:j] + x + w[j:], w[:j] + w[j + 1 :], w[:j] + x + w[j + 1 :], w[:j] + w[j : j + 2][::-1] + w[j + 2 :]))
+    seen = [change(change(w, rng.randrange(len(w)), "b"), rng.randrange(len(w) - 1), "c") for w in rare for _ in range(4)]
+    words = sorted({w for w in seen + rare + [word() for _ in range(60)] if len(w) > 3})
+    got = L.spellings(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(w,) for w in rare], "rare string"))
+    assert sorted(map(tuple, got.collect())) == sorted((w, r) for w in words for r in rare if L._same(w, r))
